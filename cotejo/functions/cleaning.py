@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.functions.operand import Operand
@@ -32,6 +32,24 @@ def is_empty(value: Operand) -> Column:
     return value.column.isNull()
 
 
+def with_clean_columns(df: DataFrame, raw: str, numeric: Column) -> DataFrame:
+    """Add original value, clean value and hash of the raw texts in ``raw``.
+
+    ``numeric`` tells which rows are cleaned as numbers. Each step is a column of its own, so
+    that no pattern is searched twice.
+    """
+    text = F.col(raw)
+    original = F.col("valor_original")
+    cleaned = F.when(numeric, numeric_text(original)).otherwise(collapse_blanks(original))
+    return (
+        df.withColumn("valor_original", F.when(strip(text) != "", text))
+        .withColumn("__cleaned", cleaned)
+        .withColumn("valor_limpio", F.nullif(F.col("__cleaned"), F.lit("")))
+        .withColumn("firma_auditoria", audit_hash(F.col("valor_limpio")))
+        .drop("__cleaned")
+    )
+
+
 def original_value(value: Operand) -> Column:
     return F.when(~is_empty(value), to_text(value))
 
@@ -45,7 +63,7 @@ def clean_value(value: Operand, generic_type: str) -> Column:
     """The clean text; NULL where nothing is left. An empty internal id is an error, see below."""
     text = to_text(value)
     cleaned = numeric_text(text) if is_numeric_type(generic_type) else collapse_blanks(text)
-    return F.when(~is_empty(value), F.nullif(cleaned, F.lit("")))
+    return F.nullif(F.when(~is_empty(value), cleaned), F.lit(""))
 
 
 def clean_error(value: Operand, generic_type: str) -> Column:

@@ -16,13 +16,12 @@ TRUE_WORDS = ("1", "true", "t", "yes", "y", "si", "sí")
 NUMBER = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 INFINITE = r"^(?i)[+-]?inf(inity)?$"
 NOT_A_NUMBER = r"^(?i)[+-]?nan$"
-ISO_INSTANT = (
-    r"^(?s)(\d{4}-\d{2}-\d{2})"
-    r"(?:.(\d{2}(?::\d{2}(?::\d{2}(?:\.\d{3}(?:\d{3})?)?)?)?)([+-]\d{2}:\d{2})?)?$"
-)
+ISO_INSTANT = "yyyy-MM-dd['T'HH[:mm[:ss[.SSSSSS][.SSS]]]]XXX"
+BAD_FRACTION = r":\d{2}\.(?!\d{3}(\d{3})?(?!\d))"  # seconds have 3 or 6 decimals
 
 MILLISECONDS_FROM = 1e12  # larger numbers are milliseconds, others seconds
 DAY_MICROS = 86_400_000_000
+FIRST_MICRO, LAST_MICRO = -62_135_596_800_000_000, 253_402_300_799_999_999  # the years 1 to 9999
 
 
 def null_of(dtype: str) -> Column:
@@ -101,24 +100,18 @@ def to_epoch_micros(value: Operand) -> Column:
     if not value.is_text:
         return null_of("bigint")
     text = strip(column)
-    iso = F.regexp_replace(text, "[zZ]$", "+00:00")
-    clock = F.regexp_extract(iso, ISO_INSTANT, 2)
-    offset = F.regexp_extract(iso, ISO_INSTANT, 3)
-    full_clock = F.concat(clock, F.substring(F.lit("00:00:00"), F.length(clock) + 1, F.lit(8)))
-    zone = F.when(offset == "", F.lit("+00:00")).otherwise(offset)
-    instant = F.concat(F.substring(iso, 1, 10), F.lit("T"), full_clock, zone)
-    return F.when(text.rlike(r"^\d+$"), _epoch_number(text.try_cast("double"))).when(
-        iso.rlike(ISO_INSTANT), F.unix_micros(instant.try_cast("timestamp"))
-    )
+    # any separator becomes T; a missing zone or a Z becomes the offset of UTC
+    separated = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})(?s:.)(\d{2}.*)$", "$1T$2")
+    zoned = F.regexp_replace(separated, r"^(\d{4}-\d{2}-\d{2}(?:T[\d:.]+)?)[zZ]?$", "$1+00:00")
+    instant = F.unix_micros(F.try_to_timestamp(zoned, F.lit(ISO_INSTANT)))
+    number = _epoch_number(column.try_cast("double"))
+    return F.when(text.rlike(r"^\d+$"), number).when(~text.rlike(BAD_FRACTION), instant)
 
 
 def _epoch_number(number: Column) -> Column:
-    seconds = F.when(F.abs(number) > MILLISECONDS_FROM, number / F.lit(1000.0)).otherwise(number)
-    # the years 1 to 9999
-    in_range = (seconds >= -62135596800) & (seconds < 253402300800)
-    bounded = F.when(in_range, seconds)
-    whole = bounded.cast("bigint")
-    return whole * F.lit(1_000_000) + F.rint((bounded - whole) * F.lit(1e6)).cast("bigint")
+    unit = F.when(F.abs(number) > MILLISECONDS_FROM, F.lit(1e3)).otherwise(F.lit(1e6))
+    micros = F.rint(number * unit)
+    return F.when(micros.between(FIRST_MICRO, LAST_MICRO), micros.cast("bigint"))
 
 
 def day_start(micros: Column) -> Column:

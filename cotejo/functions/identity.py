@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.functions.operand import Operand
@@ -30,11 +30,18 @@ def anchor_key(row_id: Operand) -> Column:
     return F.concat(F.lit(ANCHOR), to_text(row_id))
 
 
-def entity_id(key: Column) -> Column:
-    """UUID version 5 of the key in the standard DNS namespace."""
-    name = F.concat(F.unhex(F.lit(uuid.NAMESPACE_DNS.hex)), F.encode(key, "utf-8"))
-    digest = F.sha1(name)
-    variant = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3) + 9
+def with_entity_id(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """Add the UUID version 5 of the key in the standard DNS namespace; NULL for a NULL key.
+
+    The digest is a column of its own for a while, so that it is computed once per row.
+    """
+    namespace = F.unhex(F.lit(uuid.NAMESPACE_DNS.hex))
+    digest = F.sha1(F.concat(namespace, key.cast("binary")))
+    return df.withColumn("__digest", digest).withColumn(name, _uuid5(F.col("__digest"))).drop("__digest")
+
+
+def _uuid5(digest: Column) -> Column:
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
     return F.concat(
         F.substring(digest, 1, 8),
         F.lit("-"),
@@ -42,7 +49,7 @@ def entity_id(key: Column) -> Column:
         F.lit("-5"),
         F.substring(digest, 14, 3),
         F.lit("-"),
-        F.substring(F.lit("0123456789ab"), variant, F.lit(1)),
+        variant,
         F.substring(digest, 18, 3),
         F.lit("-"),
         F.substring(digest, 21, 12),

@@ -13,7 +13,9 @@ from cotejo.functions.operand import Operand
 
 # The characters that count as blank when a text is stripped or its blanks are collapsed.
 BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
-BLANK_RUN = "[" + "".join(f"\\u{ord(blank):04x}" for blank in BLANKS) + "]+"
+_BLANK_CLASS = "".join(f"\\u{ord(blank):04x}" for blank in BLANKS)
+# a run of blanks other than one plain space, which needs no replacement
+_BLANK_RUN = f" [{_BLANK_CLASS}]+|[{_BLANK_CLASS.replace(chr(92) + 'u0020', '')}][{_BLANK_CLASS}]*"
 
 _SIMPLE_LIMIT = 0x250  # Basic Latin to Latin Extended-B
 
@@ -24,7 +26,7 @@ def strip(text: Column) -> Column:
 
 def collapse_blanks(text: Column) -> Column:
     """One space for every run of blanks, none at the ends."""
-    return F.btrim(F.regexp_replace(text, BLANK_RUN, " "))
+    return F.btrim(F.regexp_replace(text, _BLANK_RUN, " "))
 
 
 def to_text(value: Operand) -> Column:
@@ -57,30 +59,25 @@ def to_text(value: Operand) -> Column:
 def _double_text(column: Column) -> Column:
     plain = column.cast("string")
     size = F.abs(column)
-    mantissa = F.regexp_replace(F.split_part(plain, F.lit("E"), F.lit(1)), r"\.0$", "")
-    exponent = F.split_part(plain, F.lit("E"), F.lit(2)).try_cast("int")
-    digits = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        mantissa,
-        F.lit("e"),
-        F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.when(F.length(digits) < 2, F.lit("0")).otherwise(F.lit("")),
-        digits,
-    )
+    no_number = F.isnan(column) | (size == float("inf"))
+    decimal = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
+    digits = F.regexp_replace(column.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
     return (
-        F.when(F.isnan(column), F.lit("nan"))
-        .when(column == float("inf"), F.lit("inf"))
-        .when(column == float("-inf"), F.lit("-inf"))
-        .when(~plain.contains("E"), plain)
-        .when((size >= 1e7) & (size < 1e16), _decimal_text(column, 12))
-        .when((size >= 1e-4) & (size < 1e-3), _decimal_text(column, 24))
-        .otherwise(scientific)
+        F.when(((size >= 1e-3) & (size < 1e7)) | (column == 0), plain)
+        .when(no_number, F.regexp_replace(F.lower(plain), "inity", ""))
+        .when(decimal, digits)
+        .otherwise(F.regexp_replace(_shortest(column), r"\.?0*e", "e"))
     )
 
 
-def _decimal_text(column: Column, scale: int) -> Column:
-    digits = F.regexp_replace(column.try_cast(f"decimal(38,{scale})").cast("string"), r"0+$", "")
-    return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+def _shortest(column: Column) -> Column:
+    """The fewest digits that read back as the same double; Java may print more."""
+    fewer, few, all_digits = (F.format_string(f"%.{n}e", column) for n in (14, 15, 16))
+    return (
+        F.when(fewer.try_cast("double") == column, fewer)
+        .when(few.try_cast("double") == column, few)
+        .otherwise(all_digits)
+    )
 
 
 def _timestamp_text(column: Column) -> Column:

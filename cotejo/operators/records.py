@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.functions.cleaning import audit_hash, clean_error, clean_value, original_value
-from cotejo.functions.identity import DEFAULT_SEPARATOR, anchor_key, entity_id, human_key
+from cotejo.functions.cleaning import (
+    clean_error,
+    is_numeric_type,
+    with_clean_columns,
+)
+from cotejo.functions.identity import DEFAULT_SEPARATOR, anchor_key, human_key, with_entity_id
 from cotejo.functions.operand import Operand, operand, quoted
-from cotejo.functions.text import strip
+from cotejo.functions.text import strip, to_text
 from cotejo.operators.state import BULK_LOAD
 from cotejo.sources.config import ConfigRow, kept_properties
 
 ROW_ID = "id"  # fixed value: the source column that identifies rows without key columns
 KEY, ENTITY, ERROR, ORDER = "__key", "__entity", "__error", "__order"  # added to source rows
+TEXT, DOUBLE = T.StringType(), T.DoubleType()
 LOOKUP_ROWS = 100_000  # a lookup table up to this many rows is broadcast
 
 
@@ -24,7 +29,7 @@ def row_key(source: DataFrame, config: Sequence[ConfigRow], separator: str) -> C
     """Key columns in alphabetical order, or the anchored row id; NULL when there is none."""
     names = sorted(row.columna_origen for row in config if row.es_llave)
     if names:
-        absent = Operand(F.lit(""), T.StringType())
+        absent = Operand(F.lit(""), TEXT)
         parts = [operand(source, n) if n in source.columns else absent for n in names]
         return human_key(parts, separator)
     if ROW_ID in source.columns:
@@ -32,102 +37,124 @@ def row_key(source: DataFrame, config: Sequence[ConfigRow], separator: str) -> C
     return F.lit(None).cast("string")
 
 
+def has_key() -> Column:
+    return F.col(KEY).isNotNull() & (strip(F.col(KEY)) != "")
+
+
+def stored_ids(inventory: DataFrame, source_table: str) -> DataFrame | None:
+    """Keys whose stored id is not the derived one: mostly none, so no lookup join is needed."""
+    listed = inventory.filter(F.col("tabla_origen") == source_table).select(
+        F.col("llave_humana_completa").alias("known_key"), F.col("entidad_interna_id").alias("id")
+    )
+    stored = (
+        with_entity_id(listed, F.col("known_key"), "derived")
+        .filter("id <> derived")
+        .groupBy("known_key")
+        .agg(F.min("id").alias("known_id"))
+    )
+    rows = stored.limit(LOOKUP_ROWS + 1).count()
+    if rows == 0:
+        return None
+    return F.broadcast(stored) if rows <= LOOKUP_ROWS else stored
+
+
 def identified(
     source: DataFrame,
     config: Sequence[ConfigRow],
-    inventory: DataFrame,
+    known: DataFrame | None,
     *,
-    source_table: str,
     separator: str = DEFAULT_SEPARATOR,
     order_by: Sequence[str] = (),
 ) -> DataFrame:
     """Source rows with human key, entity id, order within the run and error text.
 
-    Rows of one entity are ordered by ``order_by``; ties by the hash of the row.
+    ``known`` holds the ids that replace derived ones. Rows of one entity are ordered by
+    ``order_by``; ties by the hash of the configured columns, as rows alike in those are equal.
     """
-    hashed = [quoted(f.name) for f in source.schema if not isinstance(f.dataType, T.MapType)]
-    keyed = source.withColumn(KEY, row_key(source, config, separator))
-    blank = F.col(KEY).isNull() | (strip(F.col(KEY)) == "")
-    errors = [F.when(blank, F.lit("the row has no key"))]
-    for row in kept_properties(config):
-        if row.columna_origen in source.columns:
-            errors.append(clean_error(operand(source, row.columna_origen), row.tipo_dato_generico))
+    kept = [row for row in kept_properties(config) if row.columna_origen in source.columns]
+    errors = [F.when(~has_key(), F.lit("the row has no key"))]
+    errors += [clean_error(operand(source, r.columna_origen), r.tipo_dato_generico) for r in kept]
+    hashed = [quoted(row.columna_origen) for row in kept] or [KEY]
     order = F.struct(
         *[F.col(quoted(name)).alias(f"o{i}") for i, name in enumerate(order_by)],
         F.xxhash64(*hashed).alias("tie"),
     )
+    keyed = source.withColumn(KEY, row_key(source, config, separator))
     marked = keyed.withColumn(ERROR, F.coalesce(*errors)).withColumn(ORDER, order)
-    derived = F.when(~blank, entity_id(F.col(KEY)))
-    known = _stored_ids(inventory, source_table)
+    derived = with_entity_id(marked, F.when(has_key(), F.col(KEY)), ENTITY)
     if known is None:
-        return marked.withColumn(ENTITY, derived)
+        return derived
     return (
-        marked.join(known, F.col(KEY) == F.col("known_key"), "left")
-        .withColumn(ENTITY, F.coalesce("known_id", derived))
+        derived.join(known, F.col(KEY) == F.col("known_key"), "left")
+        .withColumn(ENTITY, F.coalesce("known_id", ENTITY))
         .drop("known_key", "known_id")
     )
 
 
-def _stored_ids(inventory: DataFrame, source_table: str) -> DataFrame | None:
-    """Stored ids that differ from the derived one: mostly none, so no lookup join is needed."""
-    entity, key = F.col("entidad_interna_id"), F.col("llave_humana_completa")
-    stored = (
-        inventory.filter((F.col("tabla_origen") == source_table) & (entity != entity_id(key)))
-        .groupBy(key.alias("known_key"))
-        .agg(F.min(entity).alias("known_id"))
-    )
-    rows = stored.limit(LOOKUP_ROWS + 1).count()
-    if rows == 0:
-        return None
-    return F.broadcast(stored) if rows <= LOOKUP_ROWS else stored
-
-
 def property_records(
     rows: DataFrame, config: Sequence[ConfigRow], *, source_table: str, origin: str = BULK_LOAD
 ) -> DataFrame:
-    """One record per kept property of each faultless row: original, clean, hash and type."""
-    properties = []
-    for row in kept_properties(config):
-        if row.columna_origen not in rows.columns:
-            continue
-        value = operand(rows, row.columna_origen)
-        clean = clean_value(value, row.tipo_dato_generico)
-        properties.append(
-            F.struct(
-                F.lit(row.columna_origen).alias("propiedad_origen"),
-                original_value(value).alias("valor_original"),
-                clean.alias("valor_limpio"),
-                audit_hash(clean).alias("firma_auditoria"),
-                F.lit(row.tipo_dato_generico).alias("tipo_dato_generico"),
-            )
-        )
-    if not properties:
+    """One record per kept property of each faultless row: original, clean, hash and type.
+
+    The wide rows are placed by entity before they are unpivoted, so one shuffle of the
+    narrower form serves the version chains too.
+    """
+    kept = [row for row in kept_properties(config) if row.columna_origen in rows.columns]
+    if not kept:
         raise ValueError("the source has none of the configured properties")
-    return (
+    values = {row.columna_origen: operand(rows, row.columna_origen) for row in kept}
+    carried = [
+        (value.column.cast(DOUBLE) if value.is_float else to_text(value)).alias(f"p{i}")
+        for i, value in enumerate(values.values())
+    ]
+    placed = (
         rows.filter(F.col(ERROR).isNull())
         .select(
             F.col(ENTITY).alias("entidad_interna_id"),
             F.col(KEY).alias("llave_humana_completa"),
             F.col(ORDER).alias("orden"),
-            F.inline(F.array(*properties)),
-        )
-        .withColumns(
-            {
-                "tabla_origen": F.lit(source_table),
-                "origen_dato": F.lit(origin),
-                "creado_por": F.lit(None).cast("string"),
-            }
+            *carried,
         )
+        .repartition("entidad_interna_id")
     )
-
-
-def seen_entities(rows: DataFrame) -> DataFrame:
-    """One row per entity of the run: its latest key, and whether a faultless row had it."""
-    return (
-        rows.filter(F.col(ENTITY).isNotNull())
-        .groupBy(F.col(ENTITY).alias("entidad_interna_id"))
-        .agg(
-            F.max_by(KEY, ORDER).alias("llave_humana_completa"),
-            F.max(F.col(ERROR).isNull()).alias("faultless"),
+    # floating values become text after the unpivot: one conversion, however many columns
+    properties = []
+    for i, row in enumerate(kept):
+        floating = values[row.columna_origen].is_float
+        properties.append(
+            F.struct(
+                F.lit(row.columna_origen).alias("propiedad_origen"),
+                F.lit(None if floating else F.col(f"p{i}")).cast(TEXT).alias("raw"),
+                F.lit(F.col(f"p{i}") if floating else None).cast(DOUBLE).alias("number"),
+                F.lit(row.tipo_dato_generico).alias("tipo_dato_generico"),
+                F.lit(is_numeric_type(row.tipo_dato_generico)).alias("numeric"),
+            )
         )
+    unpivoted = placed.select(
+        "entidad_interna_id", "llave_humana_completa", "orden", F.inline(F.array(*properties))
+    )
+    if any(value.is_float for value in values.values()):
+        number = F.when(~F.isnan("number"), to_text(Operand(F.col("number"), DOUBLE)))
+        unpivoted = unpivoted.withColumn("raw", F.coalesce("raw", number))
+    constants = {
+        "tabla_origen": F.lit(source_table),
+        "origen_dato": F.lit(origin),
+        "creado_por": F.lit(None).cast("string"),
+    }
+    cleaned = with_clean_columns(unpivoted, "raw", F.col("numeric"))
+    return cleaned.withColumns(constants).drop("raw", "number", "numeric")
+
+
+def seen_entities(rows: DataFrame, *, shared_ids: bool = False) -> DataFrame:
+    """One row per entity of the run: its latest key, and whether a faultless row had it.
+
+    Derived ids belong to one key each; only stored ids may be shared by several keys.
+    """
+    faultless = F.max(F.col(ERROR).isNull()).alias("faultless")
+    entity, key = F.col(ENTITY).alias("entidad_interna_id"), F.col(KEY).alias("llave_humana_completa")
+    named = rows.filter(has_key())
+    if not shared_ids:
+        return named.groupBy(entity, key).agg(faultless)
+    return named.groupBy(entity).agg(
+        F.max_by(KEY, ORDER).alias("llave_humana_completa"), faultless
     )

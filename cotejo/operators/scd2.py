@@ -78,9 +78,11 @@ def apply_to_touched(
 def _mark_removed(
     current: DataFrame, removed: DataFrame | None, source_table: str | None
 ) -> DataFrame:
+    """Current rows placed by entity: the one shuffle that join and chains need."""
+    placed = current.repartition("entidad_interna_id")
     if removed is None:
-        return current.withColumn("gone", F.lit(False))
-    marked = current.join(
+        return placed.withColumn("gone", F.lit(False))
+    marked = placed.join(
         removed.select("entidad_interna_id", F.lit(True).alias("listed")),
         "entidad_interna_id",
         "left",
@@ -118,7 +120,10 @@ def _differs(before: Column, has_before: Column) -> Column:
 
 
 def _chained(current: DataFrame, records: DataFrame) -> DataFrame:
-    """One shuffle: the current version leads the records of its property."""
+    """The current version leads the records of its property.
+
+    Both sides are placed by entity already, so the windows need no further shuffle.
+    """
     rows = _stored(current, records).unionByName(_arriving(records))
     chain = Window.partitionBy(*PROPERTY).orderBy("new", "orden")
     linked = rows.withColumns(

@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.functions.cleaning import audit_hash, clean_error, clean_value, original_value
+from cotejo.functions.cleaning import (
+    NUMERIC_TYPES,
+    clean_error,
+    with_clean_columns,
+)
 from cotejo.functions.operand import Operand, operand
 from cotejo.functions.text import strip, to_text
 from cotejo.operators.inventory import live_counts, recounted_inventory
@@ -90,7 +94,10 @@ def checked_edits(
         first.setdefault(row.columna_origen, row)
     rows = list(first.values())
     value = operand(edits, "nuevo_valor")
-    text = Operand(to_text(value), T.StringType())
+    written = to_text(value)
+    if value.is_float:
+        written = F.when(~F.isnan(value.column), written)
+    text = Operand(written, T.StringType())
     source = inventory.filter(F.col("tabla_origen") == source_table).select(
         ENTITY, "llave_humana_completa"
     )
@@ -107,23 +114,17 @@ def checked_edits(
         ),
         _by_property(rows, [clean_error(text, row.tipo_dato_generico) for row in rows], "string"),
     )
-    clean = _by_property(rows, [clean_value(text, row.tipo_dato_generico) for row in rows], "string")
-    return (
-        edits.withColumn(ENTITY, strip(F.col(ENTITY)))
-        .join(source, ENTITY, "left")
-        .withColumns(
-            {
-                "error": error,
-                "usuario_email": email,
-                "valor_original": original_value(text),
-                "valor_limpio": clean,
-                "tipo_dato_generico": _by_property(
-                    rows, [F.lit(row.tipo_dato_generico) for row in rows], "string"
-                ),
-            }
-        )
-        .withColumn("firma_auditoria", audit_hash(F.col("valor_limpio")))
-    )
+    named = {
+        "error": error,
+        "usuario_email": email,
+        "raw": text.column,
+        "tipo_dato_generico": _by_property(
+            rows, [F.lit(row.tipo_dato_generico) for row in rows], "string"
+        ),
+    }
+    numeric = F.lower(F.trim("tipo_dato_generico")).isin(*NUMERIC_TYPES)
+    listed = edits.withColumn(ENTITY, strip(F.col(ENTITY))).join(source, ENTITY, "left")
+    return with_clean_columns(listed.withColumns(named), "raw", numeric).drop("raw")
 
 
 def apply_edits(
@@ -186,17 +187,18 @@ def run_edits(
     at: datetime,
     order_by: Sequence[str] = (),
 ) -> EditRun:
+    last = store.version()
     batch = apply_edits(
         edits,
         load_config(config, source_table),
-        store.current(),
-        store.inventory(),
+        store.current(last),
+        store.inventory(last),
         source_table=source_table,
         job_id=job_id,
         at=at,
         order_by=order_by,
     )
-    version = store.version() + 1
+    version = last + 1
     store.write_changes(version, batch.changes)
     changes = store.changes(version)
     store.write_inventory(version, batch.inventory(changes))

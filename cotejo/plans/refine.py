@@ -18,9 +18,11 @@ from cotejo.operators.records import (
     ENTITY,
     ERROR,
     KEY,
+    has_key,
     identified,
     property_records,
     seen_entities,
+    stored_ids,
 )
 from cotejo.operators.scd2 import (
     CHANGE,
@@ -133,15 +135,9 @@ def refine(
     """
     if not separator:
         raise ValueError("the key separator cannot be empty")
-    rows = identified(
-        accepted(source),
-        config,
-        inventory,
-        source_table=source_table,
-        separator=separator,
-        order_by=order_by,
-    )
-    seen = seen_entities(rows)
+    known = stored_ids(inventory, source_table)
+    rows = identified(accepted(source), config, known, separator=separator, order_by=order_by)
+    seen = seen_entities(rows, shared_ids=known is not None)
     missing = missing_entities(inventory, seen, source_table=source_table, job_id=job_id)
     records = property_records(rows, config, source_table=source_table)
     changes = apply_changes(
@@ -151,7 +147,7 @@ def refine(
         at=at,
         removed=missing,
         source_table=source_table,
-        hot_entities=hot_values(rows.filter(F.col(ENTITY).isNotNull()), F.col(ENTITY), hot_rows),
+        hot_entities=hot_values(rows.filter(has_key()), F.col(ENTITY), hot_rows),
         hot_rows=hot_rows or HOT_ROWS,
     )
     present = [row for row in kept_properties(config) if row.columna_origen in source.columns]
@@ -179,18 +175,19 @@ def run_refine(
     order_by: Sequence[str] = (),
 ) -> RefineRun:
     """Refine into the store: one write of the changes, from which the rest is derived."""
+    last = store.version()
     run = refine(
         source,
         load_config(config, source_table),
-        store.current(),
-        store.inventory(),
+        store.current(last),
+        store.inventory(last),
         source_table=source_table,
         job_id=job_id,
         at=at,
         separator=separator,
         order_by=order_by,
     )
-    version = store.version() + 1
+    version = last + 1
     store.write_changes(version, run.changes)
     changes = store.changes(version)
     store.write_inventory(version, run.inventory(changes))

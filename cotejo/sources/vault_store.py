@@ -55,8 +55,9 @@ class VaultStore:
         rows = self._read("vault", _STORED_VAULT).filter(F.col("version") == version)
         return rows.select(*VAULT_SCHEMA.names, CHANGE)
 
-    def current(self) -> DataFrame:
-        return self.changes(self.version()).filter(F.col("estado") == CURRENT).drop(CHANGE)
+    def current(self, version: int | None = None) -> DataFrame:
+        wanted = self.version() if version is None else version
+        return self.changes(wanted).filter(F.col("estado") == CURRENT).drop(CHANGE)
 
     def vault(self) -> DataFrame:
         """Current and closed rows."""
