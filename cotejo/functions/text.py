@@ -13,11 +13,9 @@ from cotejo.functions.operand import Operand
 
 # The characters that count as blank when a text is stripped or its blanks are collapsed.
 BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
-_BLANK_CLASS = "".join(f"\\u{ord(blank):04x}" for blank in BLANKS)
+_BLANK = r"\s\x1c-\x1f"  # the same characters as a class, with Unicode classes on
 # a run of blanks other than one plain space, which needs no replacement
-_BLANK_RUN = f" [{_BLANK_CLASS}]+|[{_BLANK_CLASS.replace(chr(92) + 'u0020', '')}][{_BLANK_CLASS}]*"
-
-_SIMPLE_LIMIT = 0x250  # Basic Latin to Latin Extended-B
+_BLANK_RUN = rf"(?U) [{_BLANK}]+|[{_BLANK}&&[^ ]][{_BLANK}]*"
 
 
 def strip(text: Column) -> Column:
@@ -66,7 +64,7 @@ def _double_text(column: Column) -> Column:
         F.when(((size >= 1e-3) & (size < 1e7)) | (column == 0), plain)
         .when(no_number, F.regexp_replace(F.lower(plain), "inity", ""))
         .when(decimal, digits)
-        .otherwise(F.regexp_replace(_shortest(column), r"\.?0*e", "e"))
+        .when(column.isNotNull(), F.regexp_replace(_shortest(column), r"\.?0*e", "e"))
     )
 
 
@@ -96,27 +94,10 @@ def key_text(value: Operand) -> Column:
 
 
 def _fold(text: str) -> str:
-    decomposed = unicodedata.normalize("NFKD", text.strip().lower())
-    return "".join(mark for mark in decomposed if not unicodedata.combining(mark))
-
-
-def _simple_letters() -> tuple[str, str, str]:
-    """Latin letters that fold to one character each, and the class of those that do not."""
-    source, target, others = [], [], []
-    for code in range(0x80, _SIMPLE_LIMIT):
-        letter = chr(code)
-        lowered = unicodedata.normalize("NFKD", letter.lower())
-        folded = "".join(mark for mark in lowered if not unicodedata.combining(mark))
-        if len(folded) != 1:
-            others.append(f"\\u{code:04x}")
-        elif folded != letter:
-            source.append(letter)
-            target.append(folded)
-    return "".join(source), "".join(target), "".join(others)
-
-
-_LETTERS, _FOLDED, _OTHERS = _simple_letters()
-_NEEDS_FULL_FOLD = f"[^\\u0000-\\u{_SIMPLE_LIMIT - 1:04x}]|[{_OTHERS}]"
+    folded = unicodedata.normalize("NFKD", text.strip().lower())
+    for mark in filter(unicodedata.combining, set(folded)):
+        folded = folded.replace(mark, "")
+    return folded
 
 
 @F.pandas_udf(T.StringType())
@@ -127,8 +108,8 @@ def _fold_batch(texts: pd.Series) -> pd.Series:
 def normalize_text(text: Column) -> Column:
     """Strip, lower case, compatibility decomposition, combining marks dropped.
 
-    Latin texts stay in the JVM; only texts with other characters go to Python.
+    ASCII texts stay in the JVM; only the others go to Python.
     """
-    full = text.rlike(_NEEDS_FULL_FOLD)
-    simple = F.lower(F.translate(strip(text), _LETTERS, _FOLDED))
-    return F.when(full, _fold_batch(F.when(full, text))).otherwise(simple)
+    ascii_only = F.octet_length(text) == F.length(text)
+    folded = _fold_batch(F.when(~ascii_only, text))
+    return F.when(ascii_only, F.lower(strip(text))).otherwise(folded)

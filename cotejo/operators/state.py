@@ -45,7 +45,9 @@ DEFAULTS = {
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    """A table without rows that the optimizer knows to be empty."""
+    columns = [F.lit(None).cast(field.dataType).alias(field.name) for field in schema]
+    return spark.range(1).filter(F.lit(False)).select(*columns)
 
 
 def aligned(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -48,6 +48,8 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def conf_bytes(spark: SparkSession, key: str, default: str) -> int:
-    """A byte-sized setting such as ``10MB`` as a number."""
+    """A byte-sized setting such as ``10MB`` as a number; -1, which switches it off, as it is."""
     text = spark.conf.get(key, default).strip()
+    if text.startswith("-"):
+        return -1
     return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))

@@ -92,7 +92,9 @@ class VaultStore:
         rows.write.mode("overwrite").parquet(f"{self.path}/inventory/version={version}")
 
     def commit(self, version: int, job_id: str, at: datetime) -> None:
-        row = self.spark.createDataFrame(
-            [(version, job_id, at)], "version int, job_id string, committed_at timestamp"
+        row = self.spark.range(1, numPartitions=1).select(
+            F.lit(version).alias("version"),
+            F.lit(job_id).alias("job_id"),
+            F.lit(at).alias("committed_at"),
         )
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        row.write.mode("append").parquet(f"{self.path}/commits")

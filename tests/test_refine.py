@@ -77,7 +77,7 @@ def assert_invariants(vault):
     assert vault.filter("estado <> 'VIGENTE' AND (hasta IS NULL OR hasta < desde)").isEmpty()
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 @pytest.mark.parametrize("hot_rows", [None, 3])
 def test_runs_equal_row_by_row_replay(spark, tmp_path, monkeypatch, seed, hot_rows):
     if hot_rows:
