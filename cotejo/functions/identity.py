@@ -31,12 +31,13 @@ def anchor_key(row_id: Operand) -> Column:
 
 
 def with_entity_id(df: DataFrame, key: Column, name: str) -> DataFrame:
-    """Add the UUID version 5 of the key in the standard DNS namespace; NULL for a NULL key.
+    """Add the UUID version 5 of the key in the standard DNS namespace.
 
-    The digest is a column of its own for a while, so that it is computed once per row.
+    The digest is a column of its own for a while, so that it is computed once per row. Give a
+    key that cannot be NULL where the id is joined on: else Spark filters on the id not being
+    NULL, and computes it over again for that.
     """
-    namespace = F.unhex(F.lit(uuid.NAMESPACE_DNS.hex))
-    digest = F.sha1(F.concat(namespace, key.cast("binary")))
+    digest = F.sha1(F.concat(F.lit(uuid.NAMESPACE_DNS.bytes), key.cast("binary")))
     return df.withColumn("__digest", digest).withColumn(name, _uuid5(F.col("__digest"))).drop("__digest")
 
 

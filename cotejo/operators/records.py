@@ -68,6 +68,8 @@ def identified(
 ) -> DataFrame:
     """Source rows with human key, entity id, order within the run and error text.
 
+    The id of a row without key means nothing; ``has_key`` tells them apart.
+
     ``known`` holds the ids that replace derived ones. Rows of one entity are ordered by
     ``order_by``; ties by the hash of the configured columns, as rows alike in those are equal.
     """
@@ -81,7 +83,7 @@ def identified(
     )
     keyed = source.withColumn(KEY, row_key(source, config, separator))
     marked = keyed.withColumn(ERROR, F.coalesce(*errors)).withColumn(ORDER, order)
-    derived = with_entity_id(marked, F.when(has_key(), F.col(KEY)), ENTITY)
+    derived = with_entity_id(marked, F.coalesce(KEY, F.lit("")), ENTITY)
     if known is None:
         return derived
     return (
@@ -92,12 +94,17 @@ def identified(
 
 
 def property_records(
-    rows: DataFrame, config: Sequence[ConfigRow], *, source_table: str, origin: str = BULK_LOAD
+    rows: DataFrame,
+    config: Sequence[ConfigRow],
+    *,
+    source_table: str,
+    origin: str = BULK_LOAD,
+    placed: bool = True,
 ) -> DataFrame:
     """One record per kept property of each faultless row: original, clean, hash and type.
 
     The wide rows are placed by entity before they are unpivoted, so one shuffle of the
-    narrower form serves the version chains too.
+    narrower form serves the version chains too; not so the rows of entities with very many.
     """
     kept = [row for row in kept_properties(config) if row.columna_origen in rows.columns]
     if not kept:
@@ -107,16 +114,14 @@ def property_records(
         (value.column.cast(DOUBLE) if value.is_float else to_text(value)).alias(f"p{i}")
         for i, value in enumerate(values.values())
     ]
-    placed = (
-        rows.filter(F.col(ERROR).isNull())
-        .select(
-            F.col(ENTITY).alias("entidad_interna_id"),
-            F.col(KEY).alias("llave_humana_completa"),
-            F.col(ORDER).alias("orden"),
-            *carried,
-        )
-        .repartition("entidad_interna_id")
+    narrow = rows.filter(F.col(ERROR).isNull()).select(
+        F.col(ENTITY).alias("entidad_interna_id"),
+        F.col(KEY).alias("llave_humana_completa"),
+        F.col(ORDER).alias("orden"),
+        *carried,
     )
+    if placed:
+        narrow = narrow.repartition("entidad_interna_id")
     # floating values become text after the unpivot: one conversion, however many columns
     properties = []
     for i, row in enumerate(kept):
@@ -130,7 +135,7 @@ def property_records(
                 F.lit(is_numeric_type(row.tipo_dato_generico)).alias("numeric"),
             )
         )
-    unpivoted = placed.select(
+    unpivoted = narrow.select(
         "entidad_interna_id", "llave_humana_completa", "orden", F.inline(F.array(*properties))
     )
     if any(value.is_float for value in values.values()):
@@ -148,13 +153,15 @@ def property_records(
 def seen_entities(rows: DataFrame, *, shared_ids: bool = False) -> DataFrame:
     """One row per entity of the run: its latest key, and whether a faultless row had it.
 
-    Derived ids belong to one key each; only stored ids may be shared by several keys.
+    Derived ids belong to one key each, so they are made after the keys are grouped; only
+    stored ids may be shared by several keys.
     """
     faultless = F.max(F.col(ERROR).isNull()).alias("faultless")
-    entity, key = F.col(ENTITY).alias("entidad_interna_id"), F.col(KEY).alias("llave_humana_completa")
     named = rows.filter(has_key())
     if not shared_ids:
-        return named.groupBy(entity, key).agg(faultless)
-    return named.groupBy(entity).agg(
+        keys = named.groupBy(F.col(KEY).alias("llave_humana_completa")).agg(faultless)
+        key = F.coalesce("llave_humana_completa", F.lit(""))
+        return with_entity_id(keys, key, "entidad_interna_id")
+    return named.groupBy(F.col(ENTITY).alias("entidad_interna_id")).agg(
         F.max_by(KEY, ORDER).alias("llave_humana_completa"), faultless
     )

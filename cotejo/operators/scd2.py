@@ -42,19 +42,21 @@ def apply_changes(
     removed: DataFrame | None = None,
     source_table: str | None = None,
     hot_entities: Sequence[str] = (),
+    hot_records: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every vault row the run keeps, closes, removes or adds, labelled in ``cambio``.
 
     ``removed`` holds ids of entities whose current rows of ``source_table`` end in this run.
-    Entities in ``hot_entities`` have too many records for one task; theirs are cut into ranges.
+    Entities in ``hot_entities`` have too many records for one task: theirs come apart, in
+    ``hot_records``, not placed by entity, and are cut into ranges.
     """
     versions = _mark_removed(current, removed, source_table)
-    if not hot_entities:
+    if hot_records is None:
         return _labelled(_chained(versions, records), job_id, at)
     hot = F.col("entidad_interna_id").isin(*hot_entities)
-    chained = _chained(versions.filter(~hot), records.filter(~hot)).unionByName(
-        _chained_in_ranges(versions.filter(hot), records.filter(hot), hot_rows)
+    chained = _chained(versions.filter(~hot), records).unionByName(
+        _chained_in_ranges(versions.filter(hot), hot_records, hot_rows)
     )
     return _labelled(chained, job_id, at)
 
@@ -63,7 +65,10 @@ def apply_to_touched(
     current: DataFrame, records: DataFrame, *, job_id: str, at: datetime, **hot
 ) -> DataFrame:
     """``apply_changes`` for few records: entities without any skip the shuffle and are kept."""
-    touched = records.select("entidad_interna_id").distinct()
+    touched = records.select("entidad_interna_id")
+    if hot.get("hot_records") is not None:
+        touched = touched.unionByName(hot["hot_records"].select("entidad_interna_id"))
+    touched = touched.distinct()
     rest = current.join(touched, "entidad_interna_id", "left_anti")
     changes = apply_changes(
         current.join(touched, "entidad_interna_id", "left_semi"),

@@ -159,12 +159,15 @@ def apply_edits(
         F.col("usuario_email").alias("creado_por"),
         "orden",
     )
+    hot = hot_values(edits, strip(F.col(ENTITY)), hot_rows)
+    is_hot = F.col(ENTITY).isin(*hot) if hot else F.lit(False)
     changes = apply_to_touched(
         current,
-        records,
+        records.filter(~is_hot).repartition(ENTITY),
         job_id=job_id,
         at=at,
-        hot_entities=hot_values(edits, strip(F.col(ENTITY)), hot_rows),
+        hot_entities=hot,
+        hot_records=records.filter(is_hot) if hot else None,
         hot_rows=hot_rows or HOT_ROWS,
     )
     return EditBatch(source_table, inventory, checked, records, changes)

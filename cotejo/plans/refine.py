@@ -139,15 +139,22 @@ def refine(
     rows = identified(accepted(source), config, known, separator=separator, order_by=order_by)
     seen = seen_entities(rows, shared_ids=known is not None)
     missing = missing_entities(inventory, seen, source_table=source_table, job_id=job_id)
-    records = property_records(rows, config, source_table=source_table)
+    hot = hot_values(rows.filter(has_key()), F.col(ENTITY), hot_rows)
+    is_hot = F.col(ENTITY).isin(*hot) if hot else F.lit(False)
+    hot_records = None
+    if hot:
+        hot_records = property_records(
+            rows.filter(is_hot), config, source_table=source_table, placed=False
+        )
     changes = apply_changes(
         current,
-        records,
+        property_records(rows.filter(~is_hot), config, source_table=source_table),
         job_id=job_id,
         at=at,
         removed=missing,
         source_table=source_table,
-        hot_entities=hot_values(rows.filter(has_key()), F.col(ENTITY), hot_rows),
+        hot_entities=hot,
+        hot_records=hot_records,
         hot_rows=hot_rows or HOT_ROWS,
     )
     present = [row for row in kept_properties(config) if row.columna_origen in source.columns]

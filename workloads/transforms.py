@@ -90,25 +90,37 @@ def lists(t: Tables) -> DataFrame:
 
 @workload(
     "T5_to_instant",
-    """SELECT event_id, epoch_us(ts) AS from_timestamp, epoch_us(ts) AS from_iso,
-       epoch_us(ts) - 19800000000 AS from_offset, (epoch_us(ts) // 86400000000) * 86400000000 AS from_day,
-       (epoch_us(ts) // 1000000) * 1000000 AS from_seconds, (epoch_us(ts) // 1000) * 1000 AS from_millis,
-       CAST(NULL AS BIGINT) AS from_word FROM events""",
+    """SELECT event_id, form, CASE form
+         WHEN 'offset' THEN epoch_us(ts) - 19800000000
+         WHEN 'day' THEN (epoch_us(ts) // 86400000000) * 86400000000
+         WHEN 'seconds' THEN (epoch_us(ts) // 1000000) * 1000000
+         WHEN 'word' THEN NULL ELSE epoch_us(ts) END AS from_text,
+       epoch_us(ts) AS from_timestamp, (epoch_us(ts) // 1000) * 1000 AS from_millis
+FROM events, (VALUES ('iso'), ('offset'), ('day'), ('seconds'), ('word')) AS f(form)""",
 )
 def instants(t: Tables) -> DataFrame:
-    micros = coerce.to_epoch_micros(operand(t.events, "ts"))
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    values = {
-        "from_timestamp": operand(t.events, "ts"),
-        "from_iso": _text(F.concat(F.lit(" "), iso, F.lit("Z"))),
-        "from_offset": _text(F.concat(iso, F.lit("+05:30"))),
-        "from_day": _text(F.date_format("ts", "yyyy-MM-dd")),
-        "from_seconds": _text(F.floor(micros / 1_000_000).cast("string")),
-        "from_millis": Operand(F.floor(micros / 1_000).cast("long"), T.LongType()),
-        "from_word": operand(t.events, "event_type"),
+    """Timestamps, milliseconds, and texts in all accepted forms."""
+    events = t.events.withColumns(
+        {
+            "micros": coerce.to_epoch_micros(operand(t.events, "ts")),
+            "iso": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        }
+    )
+    forms = {
+        "iso": F.concat(F.lit(" "), "iso", F.lit("Z")),
+        "offset": F.concat("iso", F.lit("+05:30")),
+        "day": F.date_format("ts", "yyyy-MM-dd"),
+        "seconds": F.floor(F.col("micros") / 1_000_000).cast("string"),
+        "word": F.col("event_type"),
     }
-    return t.events.select(
-        "event_id", *[coerce.to_epoch_micros(value).alias(name) for name, value in values.items()]
+    pairs = [F.struct(F.lit(name).alias("form"), text.alias("text")) for name, text in forms.items()]
+    millis = Operand(F.floor(F.col("micros") / 1_000).cast("long"), T.LongType())
+    return events.select("event_id", "micros", F.inline(F.array(*pairs))).select(
+        "event_id",
+        "form",
+        coerce.to_epoch_micros(_text(F.col("text"))).alias("from_text"),
+        F.col("micros").alias("from_timestamp"),
+        coerce.to_epoch_micros(millis).alias("from_millis"),
     )
 
 
