@@ -62,17 +62,22 @@ def apply_changes(
 
 
 def apply_to_touched(
-    current: DataFrame, records: DataFrame, *, job_id: str, at: datetime, **hot
+    current: DataFrame,
+    records: DataFrame,
+    touched: DataFrame,
+    *,
+    job_id: str,
+    at: datetime,
+    **hot,
 ) -> DataFrame:
-    """``apply_changes`` for few records: entities without any skip the shuffle and are kept."""
-    touched = records.select("entidad_interna_id")
-    if hot.get("hot_records") is not None:
-        touched = touched.unionByName(hot["hot_records"].select("entidad_interna_id"))
-    touched = touched.distinct()
+    """``apply_changes`` for few records: entities not in ``touched`` are kept as they are.
+
+    When Spark finds the touched ids small enough to broadcast, the rest is not shuffled.
+    """
     rest = current.join(touched, "entidad_interna_id", "left_anti")
     changes = apply_changes(
         current.join(touched, "entidad_interna_id", "left_semi"),
-        records,
+        records.repartition("entidad_interna_id"),
         job_id=job_id,
         at=at,
         **hot,

@@ -163,7 +163,8 @@ def apply_edits(
     is_hot = F.col(ENTITY).isin(*hot) if hot else F.lit(False)
     changes = apply_to_touched(
         current,
-        records.filter(~is_hot).repartition(ENTITY),
+        records.filter(~is_hot),
+        edits.select(strip(F.col(ENTITY)).alias(ENTITY)).distinct(),
         job_id=job_id,
         at=at,
         hot_entities=hot,

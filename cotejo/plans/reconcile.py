@@ -70,10 +70,12 @@ def run_reconcile(
     nulls: str = PIPELINE,
     strategy: str = "auto",
 ) -> ReconcileRun:
-    """Reconcile and append. The summary reads the appended run, so the join runs once."""
+    """Reconcile and append. The summary reads the appended run, so the join runs once.
+
+    A join without rows uses no run number and leaves no table behind.
+    """
     spark = a.sparkSession
-    if a.isEmpty() and b.isEmpty():
-        return ReconcileRun(None, None, False, reconcile_summary(a, b, key_a, key_b))
+    created = not spark.catalog.tableExists(target_table)
     result = reconcile(a, b, key_a, key_b, pairs, nulls=nulls, strategy=strategy)
     run_id = history.next_run_id(spark, target_table)
     stamped = history.stamp(
@@ -87,5 +89,9 @@ def run_reconcile(
     )
     changed = history.append(history.metadata_last(stamped), target_table)
     rows = history.read_run(spark, target_table, run_id)
+    if rows.isEmpty():
+        if created:
+            spark.sql(f"DROP TABLE {target_table}")
+        return ReconcileRun(None, None, changed, reconcile_summary(a, b, key_a, key_b))
     summary = cross_summary(rows, key_uniqueness(a, b, key_a, key_b))
     return ReconcileRun(run_id, rows, changed, summary)

@@ -37,9 +37,12 @@ class VaultStore:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def _read(self, part: str, schema: T.StructType) -> DataFrame:
+    def _read(self, part: str, schema: T.StructType, version: int | None = None) -> DataFrame:
+        """All of a part, or one version of it, whose files alone are then listed."""
+        root = f"{self.path}/{part}"
+        path = root if version is None else f"{root}/version={version}"
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+            return self.spark.read.schema(schema).option("basePath", root).parquet(path)
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -52,8 +55,7 @@ class VaultStore:
 
     def changes(self, version: int) -> DataFrame:
         """What one run wrote, with its change labels."""
-        rows = self._read("vault", _STORED_VAULT).filter(F.col("version") == version)
-        return rows.select(*VAULT_SCHEMA.names, CHANGE)
+        return self._read("vault", _STORED_VAULT, version).select(*VAULT_SCHEMA.names, CHANGE)
 
     def current(self, version: int | None = None) -> DataFrame:
         wanted = self.version() if version is None else version
@@ -73,7 +75,7 @@ class VaultStore:
 
     def inventory(self, version: int | None = None) -> DataFrame:
         wanted = self.version() if version is None else version
-        rows = self._read("inventory", _STORED_INVENTORY).filter(F.col("version") == wanted)
+        rows = self._read("inventory", _STORED_INVENTORY, wanted)
         return rows.select(*INVENTORY_SCHEMA.names)
 
     def load(self, vault: DataFrame, inventory: DataFrame, at: datetime) -> None:

@@ -170,6 +170,9 @@ def test_history_numbers_runs_and_evolves(spark):
     )
     assert empty.run_id is None and history.next_run_id(spark, "hist") == 4
     assert tuple(empty.summary.first()) == (0, 0, 0, 0, False)
+    common["target_table"] = "never_filled"
+    run_reconcile(a.limit(0), b.limit(0), "id", "id", column_pairs("q", "q", "DIFERENCIA"), **common)
+    assert not spark.catalog.tableExists("never_filled")
 
 
 def test_run_id_of_a_table_that_is_not_partitioned(spark):
