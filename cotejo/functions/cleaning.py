@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.functions.operand import Operand
-from cotejo.functions.text import collapse_blanks, strip, to_text
+from cotejo.functions.text import squeeze_blanks, strip, to_text
 
 # The types cleaned as numbers, and the type that must not be empty.
 NUMERIC_TYPES = ("numero", "superficie", "largo", "moneda", "porcentaje", "peso")
@@ -40,7 +40,7 @@ def with_clean_columns(df: DataFrame, raw: str, numeric: Column) -> DataFrame:
     """
     text = F.col(raw)
     original = F.col("valor_original")
-    cleaned = F.when(numeric, numeric_text(original)).otherwise(collapse_blanks(original))
+    cleaned = F.when(numeric, numeric_text(original)).otherwise(squeeze_blanks(original))
     return (
         df.withColumn("valor_original", F.when(strip(text) != "", text))
         .withColumn("__cleaned", cleaned)
@@ -62,7 +62,7 @@ def numeric_text(text: Column) -> Column:
 def clean_value(value: Operand, generic_type: str) -> Column:
     """The clean text; NULL where nothing is left. An empty internal id is an error, see below."""
     text = to_text(value)
-    cleaned = numeric_text(text) if is_numeric_type(generic_type) else collapse_blanks(text)
+    cleaned = numeric_text(text) if is_numeric_type(generic_type) else squeeze_blanks(text)
     return F.nullif(F.when(~is_empty(value), cleaned), F.lit(""))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from cotejo.functions.operand import Operand
 
-# The characters that count as blank when a text is stripped or its blanks are collapsed.
+# The characters that count as blank when a text is stripped or its blanks are squeezed.
 BLANKS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 _BLANK = r"\s\x1c-\x1f"  # the same characters as a class, with Unicode classes on
 # a run of blanks other than one plain space, which needs no replacement
@@ -22,7 +22,7 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def collapse_blanks(text: Column) -> Column:
+def squeeze_blanks(text: Column) -> Column:
     """One space for every run of blanks, none at the ends."""
     return F.btrim(F.regexp_replace(text, _BLANK_RUN, " "))
 

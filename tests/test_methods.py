@@ -15,7 +15,7 @@ from cotejo.functions.methods import (
 )
 from cotejo.functions.operand import operand
 from cotejo.functions.similarity import jaro_winkler_text
-from cotejo.functions.text import collapse_blanks, normalize_text, to_text
+from cotejo.functions.text import squeeze_blanks, normalize_text, to_text
 
 
 def scored(spark, method, a, b, options=None, schema="a string, b string"):
@@ -293,8 +293,8 @@ def test_folding_and_blanks(spark):
 
     texts = [f" {chr(c)}A{chr(c)} \xa0" for c in range(1, 0x2100) if not 0xD800 <= c < 0xE000]
     df = spark.createDataFrame([(text,) for text in texts], "a string")
-    rows = df.select("a", normalize_text(F.col("a")), collapse_blanks(F.col("a"))).collect()
-    for text, folded, collapsed in rows:
+    rows = df.select("a", normalize_text(F.col("a")), squeeze_blanks(F.col("a"))).collect()
+    for text, folded, squeezed in rows:
         decomposed = unicodedata.normalize("NFKD", text.strip().lower())
         assert folded == "".join(c for c in decomposed if not unicodedata.combining(c))
-        assert collapsed == re.sub(r"\s+", " ", text).strip()
+        assert squeezed == re.sub(r"\s+", " ", text).strip()
