@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.llm.bpe import decode, encode
+from cotejo.llm.common import scratch_folder, text_of
 from cotejo.llm.decontaminate import decontaminate
 from cotejo.llm.line_dedup import line_dedup
 from cotejo.llm.quality_rules import quality_rules
+from cotejo.llm.simhash import simhash_groups
+from cotejo.llm.token_shards import write_shards
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -29,6 +32,10 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_groups(table(spark, folder, "documents"), size=4, bits=4)
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, folder, "benchmark"), size=10)
@@ -43,6 +50,15 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts as byte ids, one byte each, in shuffled training order."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", text_of("text").cast("binary").alias("token_ids")
+    )
+    shards = scratch_folder(spark, "shards")
+    return write_shards(docs, shards, key=20240229, length=512, dtype="uint8")
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup(docs, min_docs=10, min_chars=1).select(
@@ -189,7 +205,9 @@ def _op8_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
+    "op3_token_shards": op3_token_shards,
     "op5_line_dedup": op5_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
