@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotejo.llm import kneser_ney, knn_quality, toxicity
 from cotejo.llm.bpe import decode, encode
 from cotejo.llm.common import scratch_folder, text_of
 from cotejo.llm.decontaminate import decontaminate
+from cotejo.llm.labelled import part_of
 from cotejo.llm.line_dedup import line_dedup
 from cotejo.llm.quality_rules import quality_rules
 from cotejo.llm.simhash import simhash_groups
@@ -66,6 +68,33 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = part_of("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, folder, "labels").where(~held_out))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = part_of("doc_id", 10) == 0
+    model = kneser_ney.train(docs.where(~held_out))
+    return kneser_ney.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.words.n_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality_rules(docs).select(
@@ -80,6 +109,18 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_knn_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = part_of("doc_id", 3) == 1
+    model = knn_quality.fit(docs, table(spark, folder, "labels").where(~held_out))
+    return knn_quality.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ranks = rank_file()
@@ -209,7 +250,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_token_shards": op3_token_shards,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_quality_rules": op8_quality_rules,
+    "op9_knn_quality": op9_knn_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
