@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def place_of(uri: str) -> tuple[fs.FileSystem, str]:
@@ -43,3 +48,51 @@ def mapped(uri: str, dtype: str) -> np.ndarray:
         fs.copy_files(path, local, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
         path = local
     return np.memmap(path, dtype, "r")
+
+
+def write_sorted(rows: DataFrame, uri: str, bits: int, name: str) -> None:
+    """Columns of longs as arrays sorted by the first one, a hash of 63 bits; one file per column
+    and shard, the shard being the hash's first bits."""
+    columns = rows.columns
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt, shard, out, done = TaskContext.get().taskAttemptId(), -1, [], 0
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            for here in np.unique(shards):
+                if here != shard:
+                    for writer in out:
+                        writer.close()
+                    shard, done = here, done + 1
+                    out = [ArrayWriter(f"{uri}/{name}-{c}-{here}", attempt) for c in columns]
+                mine = shards == here
+                for writer, column in zip(out, batch.columns[1:], strict=True):
+                    writer.add(column.to_numpy()[mine])
+        for writer in out:
+            writer.close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int32())], names=["done"])
+
+    (
+        rows.select(F.shiftright(columns[0], 63 - bits).alias("_shard"), "*")
+        .repartition("_shard")
+        .sortWithinPartitions("_shard", *columns)
+        .mapInArrow(write, "done int")
+        .agg(F.sum("done"))
+        .collect()
+    )
+
+
+def find_sorted(
+    uri: str, bits: int, name: str, columns: list[str], wanted: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """By shard: places in ``wanted``, from and to of the rows with that hash, and the arrays."""
+    shards = wanted >> (63 - bits)
+    for shard in np.unique(shards):
+        at = np.flatnonzero(shards == shard)
+        arrays = [mapped(f"{uri}/{name}-{c}-{shard}", "<i8") for c in columns]
+        yield (
+            at,
+            np.searchsorted(arrays[0], wanted[at], side="left"),
+            np.searchsorted(arrays[0], wanted[at], side="right"),
+            arrays,
+        )

@@ -16,6 +16,7 @@ from cotejo.llm.labelled import part_of
 from cotejo.llm.line_dedup import line_dedup
 from cotejo.llm.quality_rules import quality_rules
 from cotejo.llm.simhash import simhash_groups
+from cotejo.llm.suffix_dedup import remove_repeats
 from cotejo.llm.token_shards import write_shards
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -61,6 +62,17 @@ def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     return write_shards(docs, shards, key=20240229, length=512, dtype="uint8")
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=400).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup(docs, min_docs=10, min_chars=1).select(
@@ -249,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_shards": op3_token_shards,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_kneser_ney": op7_kneser_ney,
