@@ -2,11 +2,11 @@
 
 A sequence of tokens is the BPE encoding of its bytes exactly if every two neighbours stay two
 tokens when their bytes are merged alone. So the encodings of all prefixes of a text can be grown
-byte by byte: a hypothesis is a place, with the last token before it, whose following bytes still
-begin some token. The set of live hypotheses is a state, and a step gives the next state and the
-last token of the encoding up to there. Tokens are emitted once all live hypotheses agree on
-them. States and steps are made when first met and kept in a bounded table, so nothing is compiled
-for byte strings that never occur.
+byte by byte: of the tokens that end at a place exactly one follows the encoding up to its start.
+The machine that knows the tokens ending at each place is the determinised trie of all tokens: a
+state is the set of places whose following bytes still begin a token. States and steps are made
+when first met and kept in a bounded table, so nothing is compiled for byte strings that never
+occur. Tokens are emitted once the encodings up to all live places agree on them.
 
 Pieces (matches of the split pattern) that are tokens themselves are emitted whole, as the
 rank files' own encoder does.
@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from cotejo.llm.common import text_of, with_columns
 
 #: Entries of the tables of steps and of encoded pieces; a full one is emptied.
-STEPS = 400_000
-PIECES = 600_000
+STEPS = 300_000
+PIECES = 300_000
 #: Bytes after which a long piece gives up the tokens that are settled.
 LOOK_BACK = 4096
 #: Tokens in one batch of rows given back to Spark.
@@ -88,21 +88,21 @@ class Transducer:
             self._token[at] = rank
         self._inner = inner  # nodes that longer tokens pass through
         self._edges: dict[int, tuple | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        #: A state is a tuple of hypotheses: a node and the token before it (-1: none).
-        self._states: list[tuple] = []
-        self._number: dict[tuple, int] = {}
-        self._moves: dict[int, tuple[int, int]] = {}
-        self._state(((0, -1),))
-
-    def _state(self, key: tuple) -> int:
-        number = self._number.get(key)
+        #: A state is the nodes of the places whose following bytes still begin a token.
+        self._states: list[tuple[int, ...]] = []
+        self._number: dict[tuple[int, ...], int] = {}
+        self._moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
+        self._state((0,))
+
+    def _state(self, nodes: tuple[int, ...]) -> int:
+        number = self._number.get(nodes)
         if number is None:
-            number = self._number[key] = len(self._states)
-            self._states.append(key)
+            number = self._number[nodes] = len(self._states)
+            self._states.append(nodes)
         return number
 
     def _edge(self, token: int) -> tuple | None:
@@ -133,86 +133,90 @@ class Transducer:
         return self._edges[token]
 
     def _fits(self, last: int, token: int) -> bool:
-        """Whether the token is one that merging makes, and stays apart from the one before."""
-        edge = self._edge(token)
-        if edge is None or last < 0:
-            return edge is not None
-        apart = self._pairs.get((last, token))
-        if apart is None:
-            if len(self._pairs) >= self.max_steps:
-                self._pairs.clear()
-            apart = self._pairs[last, token] = self._apart(last, token, edge)
-        return apart
-
-    def _apart(self, last: int, token: int, edge: tuple) -> bool:
+        """Whether two tokens stay apart when their bytes are merged alone."""
+        if len(self._pairs) >= self.max_steps:
+            self._pairs.clear()
+        fits = self._pairs[last << 32 | token] = self._apart(last, token)
+        return fits
+
+    def _apart(self, last: int, token: int) -> bool:
         _, right, monotone = self._edge(last)
-        if not (monotone and edge[2]):
+        left, _, also = self._edge(token)
+        if not (monotone and also):
             a, b = self.bytes_of[last], self.bytes_of[token]
             return merge(a + b, self.ranks) == [a, b]
         # ranks of merges only rise, so a merge across comes about if it outranks both merges
         # that would take its parts in; of equal ranks the leftmost merge comes first
         for x, x_taken in right:
-            for y, y_taken in edge[0]:
+            for y, y_taken in left:
                 across = self.ranks.get(x + y)
                 if across is not None and across < x_taken and across <= y_taken:
                     return False
         return True
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state and the last token of the encoding up to here."""
-        grown, ended = [], -1
-        for node, last in self._states[state]:
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """The next state, and the tokens that end here with their sizes, longest first."""
+        live, ended = [], []
+        for node in self._states[state]:
             to = self._step.get(node << 8 | byte)
             if to is None:
                 continue
             token = self._token.get(to)
-            if ended < 0 and token is not None and self._fits(last, token):
-                ended = token
+            if token is not None and self._edge(token) is not None:
+                ended.append((token, self.size_of[token]))
             if to in self._inner:
-                grown.append((to, last))
-        return self._state((*grown, (0, ended))), ended
+                live.append(to)
+        return self._state((*live, 0)), tuple(ended)
 
     def _back(self, ends: list[int], at: int) -> list[int]:
-        """Tokens up to a place, the last one first. ends: the last token at each place."""
+        """Tokens up to a place, the last one first. ends: the last token before each place."""
         found = []
         while at > 0:
-            found.append(ends[at - 1])
-            at -= self.size_of[ends[at - 1]]
+            found.append(ends[at])
+            at -= self.size_of[ends[at]]
         return found
 
     def tokens(self, data: bytes) -> list[int]:
         if len(self._moves) >= self.max_steps:
             self._reset()
         out: list[int] = []
-        ends: list[int] = []
-        moves, state = self._moves, 0
+        moves, pairs, state = self._moves, self._pairs, 0
+        ends = [-1]
         for byte in data:
             move = moves.get(state << 8 | byte)
             if move is None:
                 move = moves[state << 8 | byte] = self._move(state, byte)
             state, ended = move
-            ends.append(ended)
-            if len(ends) == LOOK_BACK:
-                ends, agreed = self._agreed(ends, state)
-                out += agreed
+            for token, size in ended:  # exactly one follows what is before it
+                last = ends[-size]
+                if last < 0:
+                    break
+                fits = pairs.get(last << 32 | token)
+                if fits or (fits is None and self._fits(last, token)):
+                    break
+            ends.append(token)
+            if len(ends) > LOOK_BACK:
+                ends = self._settle(ends, state, out)
                 if len(moves) >= self.max_steps:
-                    key = self._states[state]
+                    nodes = self._states[state]
                     self._reset()
-                    moves, state = self._moves, self._state(key)
-        out += reversed(self._back(ends, len(ends)))
+                    moves, state = self._moves, self._state(nodes)
+        out += reversed(self._back(ends, len(ends) - 1))
         return out
 
-    def _agreed(self, ends: list[int], state: int) -> tuple[list[int], list[int]]:
-        """Cuts off the tokens that all live hypotheses share."""
-        paths = []
-        for node, _ in self._states[state]:
-            path = self._back(ends, len(ends) - self._depth[node])
-            paths.append(path[::-1])
+    def _settle(self, ends: list[int], state: int, out: list[int]) -> list[int]:
+        """Gives out the tokens that the encodings up to all live places share, and cuts them off;
+        the last of them stays as what is before the first place."""
+        at = len(ends) - 1
+        paths = [
+            self._back(ends, at - self._depth[node])[::-1] for node in self._states[state]
+        ]
         shared = 0
         while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
             shared += 1
         tokens = paths[0][:shared]
-        return ends[sum(self.size_of[t] for t in tokens) :], tokens
+        out += tokens
+        return ends[sum(self.size_of[t] for t in tokens) :]
 
 
 class _OddBlank(Exception):
@@ -476,14 +480,21 @@ def encode(
     blanks_split: bool = False,
     text_col: str = "text",
     ids_col: str = "token_ids",
+    decoded_col: str | None = None,
 ) -> DataFrame:
-    """Adds the token ids of the text. ``ranks``: the content of a rank file."""
+    """Adds the token ids of the text, and with ``decoded_col`` the text decoded from them in the
+    same worker. ``ranks``: the content of a rank file."""
     source = with_columns(docs, _text=text_of(text_col))
-    out = T.StructType([*source.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])
+    added = [T.StructField("_ids", T.ArrayType(T.IntegerType()))]
+    if decoded_col:
+        added.append(T.StructField("_out", T.StringType()))
+    rest = source.columns[:-1]
+    out = T.StructType([*source.schema.fields[:-1], *added])
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a rank file: about a MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern, blanks_split)
+        decoder = _decoder(shared.value) if decoded_col else None
         for whole in batches:
             for batch in _sized(whole, "_text", 3 * BATCH_TOKENS):
                 found = [encoder.encode(x) for x in batch.column("_text").to_pylist()]
@@ -491,11 +502,14 @@ def encode(
                 np.cumsum([len(x) for x in found], out=offsets[1:])
                 values = np.fromiter(chain.from_iterable(found), np.int32, offsets[-1])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-                names = [*batch.schema.names, "_ids"]
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=names)
+                columns = [*[batch.column(name) for name in rest], ids]
+                if decoder:
+                    columns.append(decoder.texts(ids))
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     encoded = source.mapInArrow(run, out)
-    return with_columns(encoded.drop("_text"), **{ids_col: F.col("_ids")}).drop("_ids")
+    values = {ids_col: F.col("_ids")} | ({decoded_col: F.col("_out")} if decoded_col else {})
+    return with_columns(encoded, **values).drop("_ids", "_out")
 
 
 def decode(

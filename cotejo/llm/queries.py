@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.llm import kneser_ney, knn_quality, toxicity
-from cotejo.llm.bpe import decode, encode
+from cotejo.llm.bpe import encode
 from cotejo.llm.common import scratch_folder, text_of
 from cotejo.llm.decontaminate import decontaminate
 from cotejo.llm.labelled import part_of
@@ -136,8 +136,10 @@ def op9_knn_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ranks = rank_file()
-    ids = encode(docs, ranks, public_tokenizers.PATTERN, blanks_split=True).drop("text")
-    return decode(ids, ranks).select(
+    coded = encode(
+        docs, ranks, public_tokenizers.PATTERN, blanks_split=True, decoded_col="decoded"
+    )
+    return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         _sha256(F.array_join("token_ids", " ")).alias("ids_sha256"),
