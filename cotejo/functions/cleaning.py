@@ -12,7 +12,7 @@ from cotejo.functions.text import squeeze_blanks, strip, to_text
 NUMERIC_TYPES = ("numero", "superficie", "largo", "moneda", "porcentaje", "peso")
 INTERNAL_ID = "internal_id"
 
-NUMBER_TYPE = "decimal(38,10)"
+NUMBER_SCALE = 10  # decimals of a number column unless told otherwise
 
 
 def type_key(generic_type: str) -> str:
@@ -78,15 +78,24 @@ def audit_hash(clean: Column) -> Column:
     return F.sha2(F.coalesce(clean, F.lit("")), 256)
 
 
-def typed_value(clean: Column, generic_type: str, on_bad_number: str = "fail") -> Column:
-    """The clean text as a number for numeric types, else unchanged."""
+def typed_value(
+    clean: Column,
+    generic_type: str,
+    on_bad_number: str = "fail",
+    scale: int = NUMBER_SCALE,
+) -> Column:
+    """The clean text as decimal(38, scale) for numeric types, else unchanged.
+
+    A text that is no number, or has more decimals than the scale holds, is a bad number.
+    """
     if not is_numeric_type(generic_type):
         return clean
     digits = F.nullif(clean, F.lit(""))
+    decimals = F.length(F.regexp_extract(digits, r"\.(\d*?)0*$", 1))
+    number = F.when(decimals <= scale, digits.try_cast(f"decimal(38,{scale})"))
     if on_bad_number == "null":
-        return digits.try_cast(NUMBER_TYPE)
+        return number
     if on_bad_number != "fail":
         raise ValueError("on_bad_number must be 'fail' or 'null'")
-    number = digits.try_cast(NUMBER_TYPE)
-    message = F.concat(F.lit("not a number: "), digits)
+    message = F.concat(F.lit(f"not a number of up to {scale} decimals: "), digits)
     return F.when(digits.isNotNull() & number.isNull(), F.raise_error(message)).otherwise(number)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cotejo.functions.operand import Operand
-from cotejo.functions.text import strip
+from cotejo.functions.text import strip, to_text
 
 # Texts that count as true.
 TRUE_WORDS = ("1", "true", "t", "yes", "y", "si", "sí")
@@ -70,10 +70,7 @@ def to_list(value: Operand) -> Operand:
     if value.is_text:
         strings = T.ArrayType(T.StringType())
         trimmed = strip(column)
-        parsed = F.when(
-            trimmed.rlike(r"^(?s)\[.*\]$"),
-            F.from_json(trimmed, strings, {"allowSingleQuotes": "false"}),
-        )
+        parsed = F.when(trimmed.rlike(r"^(?s)\[.*\]$"), _json_items(trimmed))
         items = F.transform(F.split(column, ",", -1), strip)
         listed = F.filter(items, lambda item: item != "")
         return Operand(F.coalesce(parsed, listed, F.array().cast(strings)), strings)
@@ -82,6 +79,38 @@ def to_list(value: Operand) -> Operand:
     return Operand(single, dtype)
 
 
+def _json_items(text: Column) -> Column:
+    """Texts of the items of a JSON array, NULL if it is none.
+
+    Texts are taken as they are, null is NULL, other values have the form of to_text; lists and
+    objects are written as JSON with sorted keys.
+    """
+    items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+
+    def item_text(item: Column) -> Column:
+        kind = F.schema_of_variant(item)
+        double = F.try_variant_get(item, "$", "double")
+        return (
+            F.when(kind == "VOID", null_of("string"))
+            .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(item, "$", "string")))
+            .when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), to_text(Operand(double, T.DoubleType())))
+            .when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json(item))
+            .otherwise(F.try_variant_get(item, "$", "string"))
+        )
+
+    return F.transform(items, item_text)
+
+
+def holds_nested_json(value: Operand) -> Column:
+    """Whether a text is a JSON array with lists or objects among its items."""
+    if not value.is_text:
+        return F.lit(False)
+    trimmed = strip(value.column)
+    items = F.try_variant_get(F.try_parse_json(trimmed), "$", "array<variant>")
+    nested = F.exists(items, lambda item: F.schema_of_variant(item).rlike("^(OBJECT|ARRAY)"))
+    return F.coalesce(trimmed.startswith("[") & nested, F.lit(False))
+
+
 def to_epoch_micros(value: Operand) -> Column:
     """Microseconds since 1970 UTC, NULL where the value is no instant.
 

@@ -11,6 +11,14 @@ from pyspark.sql import types as T
 
 META = r"[\\.^$*+?{}\[\]|()]"
 
+#: Patterns that are valid in both dialects and mean the same: a row of characters, classes and
+#: escapes, each with one quantifier at most, between optional anchors.
+_ATOM = (
+    r"(?:[\w\s@#%&=<>!~'\",:;/-]|\.|\\[dwsDWS.\\+*?()\[\]{}|^$/-]"
+    r"|\[\^?(?:a-z|A-Z|0-9|[\w.,:;@/+ ])+-?\])"
+)
+COMMON = rf"^\^?(?:{_ATOM}(?:[*+?]|\{{\d{{1,3}},?\}})?)*\$?$"
+
 
 def pattern_error(pattern: str) -> str | None:
     try:
@@ -35,15 +43,21 @@ def search_fixed(text: Column, pattern: str, ignore_case: bool) -> Column:
 def search_column(text: Column, pattern: Column, ignore_case: bool) -> Column:
     """Search for each row's own pattern; NULL where it is no valid expression.
 
-    Patterns without special characters are plain text searches and stay in the JVM.
+    Patterns without special characters are plain text searches, and common ones mean the same
+    in the JVM; only the others go to Python.
     """
-    special = pattern.rlike(META)
-    if ignore_case:
-        special = F.lit(True)
-    searched = _search_batch(
-        F.when(special, text), F.when(special, pattern), F.lit(ignore_case)
+    plain = ~pattern.rlike(META) & F.lit(not ignore_case)
+    common = pattern.rlike(COMMON) & ~pattern.contains("\n")
+    other = ~plain & ~common
+    searched = _search_batch(F.when(other, text), F.when(other, pattern), F.lit(ignore_case))
+    prefix = F.lit("(?dUui)" if ignore_case else "(?dU)")
+    # a pattern of another kind never reaches the JVM's compiler
+    own = F.concat(prefix, F.when(common, pattern).otherwise(F.lit("")))
+    return (
+        F.when(plain, text.contains(pattern))
+        .when(common, F.rlike(text, own))
+        .otherwise(searched)
     )
-    return F.when(special, searched).otherwise(text.contains(pattern))
 
 
 @F.pandas_udf(T.BooleanType())

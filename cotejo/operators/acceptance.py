@@ -32,6 +32,11 @@ def accepted(df: DataFrame) -> DataFrame:
     return df.filter(value.column if value.is_bool else is_accepted(df))
 
 
+def acceptance_flag(df: DataFrame, name: str) -> DataFrame:
+    """The rows with a column that tells whether they are accepted."""
+    return df.withColumn(name, is_accepted(df))
+
+
 def rejected_count(df: DataFrame) -> DataFrame:
     """One row: how many rows are not accepted."""
     return df.agg(F.count_if(~is_accepted(df)).alias("filas_omitidas"))

@@ -151,6 +151,41 @@ def key_uniqueness(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFr
     )
 
 
+def counted_summary(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
+    """The summary of a cross from the rows per key on both sides: no join, no pairs.
+
+    A row without key matches nothing and reads Only B, whichever side it is from.
+    """
+    known = F.col("k0").isNotNull()
+    rows_a, rows_b = F.col("rows_a"), F.col("rows_b")
+    pairs = rows_a.cast("decimal(19,0)") * rows_b.cast("decimal(19,0)")
+
+    def total(rows: Column) -> Column:
+        return F.coalesce(F.sum(rows), F.lit(0)).cast("long")
+
+    counts = key_counts(a, b, [(key_a, key_b)]).agg(
+        total(F.when(known, pairs)).alias("matches"),
+        total(F.when(known & (rows_b == 0), rows_a)).alias("onlyA"),
+        total(F.when(~known, rows_a + rows_b).when(rows_a == 0, rows_b)).alias("onlyB"),
+        total(rows_a).alias("total_a"),
+        total(rows_b).alias("total_b"),
+        F.count_if(known & (rows_a > 0)).alias("unique_a"),
+        F.count_if(known & (rows_b > 0)).alias("unique_b"),
+    )
+    rows = F.col("matches") + F.col("onlyA") + F.col("onlyB")
+    return counts.select(
+        rows.alias("totalRows"),
+        "matches",
+        "onlyA",
+        "onlyB",
+        (
+            (F.col("total_a") > F.col("unique_a"))
+            | (F.col("total_b") > F.col("unique_b"))
+            | (rows > F.col("unique_a") + F.col("unique_b"))
+        ).alias("hasDuplicates"),
+    )
+
+
 def cross_summary(crossed: DataFrame, uniqueness: DataFrame | None = None) -> DataFrame:
     """One row: the state counts and whether keys repeat."""
     counts = state_counts(crossed)

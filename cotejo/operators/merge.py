@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cotejo.functions.operand import quoted
 from cotejo.operators.cross import MATCH, ONLY_A, ONLY_B
 from cotejo.operators.outer_join import full_outer
+from cotejo.session import setting
 
 logger = logging.getLogger(__name__)
 
@@ -95,10 +96,15 @@ def coalesce_suffixes(df: DataFrame) -> DataFrame:
 
 
 def derive(df: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
-    """Add ``target = SQL expression`` in order; a rule Spark rejects is logged and skipped."""
+    """Add ``target = SQL expression`` in order; a rule Spark rejects is logged and skipped.
+
+    Rules are resolved with lenient arithmetic, which their plan keeps: a division by zero or a
+    text that is no number gives NULL in its row, not the end of the job.
+    """
     for target, expression in rules:
         try:
-            df = df.withColumn(target, F.expr(expression))
+            with setting(df.sparkSession, "spark.sql.ansi.enabled", "false"):
+                df = df.withColumn(target, F.expr(expression))
         except (AnalysisException, ParseException) as problem:
             logger.error("rule skipped: %s = %s: %s", target, expression, problem)
     return df

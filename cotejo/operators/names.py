@@ -10,8 +10,9 @@ IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 def split_list(text: str | Sequence[str]) -> list[str]:
     """Items of a comma-separated list, or of a sequence, without blanks."""
-    items = text.split(",") if isinstance(text, str) else text
-    return [item.strip() for item in items if item.strip()]
+    if not isinstance(text, str):
+        return split_list(",".join(text))
+    return re.findall(r"[^\s,](?:[^,]*[^\s,])?", text)
 
 
 def safe_part(name: str) -> str:
@@ -28,19 +29,3 @@ def identifier(name: str) -> str:
     if not IDENTIFIER.fullmatch(bare):
         raise ValueError(f"not an identifier: {name!r}")
     return bare
-
-
-def method_column_name(col_a: str, col_b: str, method: str) -> str:
-    """Name of a result by its columns: ``a__method`` or ``a__vs__b__method``."""
-    first, second = safe_part(col_a), safe_part(col_b)
-    columns = first if first == second else f"{first}__vs__{second}"
-    return f"{columns}__{safe_part(method)}"
-
-
-def match_column_name(col_a: str, col_b: str, method: str) -> str:
-    return "is_match__" + method_column_name(col_a, col_b, method)
-
-
-def wide_table_name(source_table: str) -> str:
-    """Curated table for a source table: ``a_1_x`` becomes ``a_4_x``."""
-    return "a_4_" + source_table.removeprefix("a_1_")

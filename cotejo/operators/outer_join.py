@@ -6,41 +6,33 @@ holding a large share of the rows would end in one task. Three plans, same rows:
 ``full``    one shuffled full outer join;
 ``split``   left outer join plus the unmatched rest, so that a side below the broadcast
             limit is broadcast and the large side is not shuffled at all;
-``salted``  hot keys leave the shuffled join. Hot keys of one side only need no join.
-            Those of both sides are joined on a grid of salts, where unmatched copies
-            cannot occur because a key matches as a whole.
+``grid``    one shuffled full outer join on the key and the cell of a grid. Rows of a hot key
+            are dealt over their side's parts and repeated over the other side's; what finds
+            no partner in its cell is dropped where the key matches as a whole.
 
-``auto`` picks by plan size and, for large inputs, by an exact count of rows per key.
+``auto`` takes ``split`` for a side below Spark's broadcast limit and decides between the others
+by the exact number of rows per key. NULL keys, which match nothing, are dealt over all tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cotejo.functions.operand import quoted
-from cotejo.session import conf_bytes, estimated_bytes
+from cotejo.session import conf_bytes, estimated_bytes, written
 
 HOT_ROWS = 1_000_000  # rows of one key that a single task may hold
 HOT_PAIRS = 100_000_000  # joined rows of one key that a single task may produce
-HOT_KEYS = 1_000  # most frequent keys treated apart; any other has under 0.1 % of the rows
-COPIES = 10_000  # identical rows carried as one row with a count
+SPREAD = 1 << 20  # salts of rows whose key is NULL
 
 Keys = Sequence[tuple[str, str]]
 
 
-@dataclass(frozen=True)
-class HotKey:
-    values: tuple
-    rows_a: int
-    rows_b: int
-
-
 def full_outer(
     a: DataFrame,
     b: DataFrame,
@@ -62,23 +54,16 @@ def full_outer(
     if strategy == "full":
         return _shuffled(a, b, on, null_safe)
     if hot_rows is None:
-        spark = a.sparkSession
-        small = conf_bytes(spark, "spark.sql.autoBroadcastJoinThreshold", "10MB")
-        large = conf_bytes(
-            spark, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "256MB"
-        )
-        size_a, size_b = estimated_bytes(a), estimated_bytes(b)
-        if size_a + size_b < large:
-            return _shuffled(a, b, on, null_safe)
-        if size_b <= small:
+        small = conf_bytes(a.sparkSession, "spark.sql.autoBroadcastJoinThreshold", "10MB")
+        if estimated_bytes(b) <= small:
             return _broadcast_right(a, b, on, null_safe)
-        if size_a <= small:
+        if estimated_bytes(a) <= small:
             mirrored = _broadcast_right(b, a, [(kb, ka) for ka, kb in on], null_safe)
             return mirrored.select(*_columns(a), *_columns(b))
-    hot = hot_keys(a, b, on, hot_rows or HOT_ROWS)
-    if not hot:
+    hot = hot_keys(a, b, on, null_safe, hot_rows or HOT_ROWS)
+    if hot is None:
         return _shuffled(a, b, on, null_safe)
-    return _salted(a, b, on, null_safe, hot, hot_rows or HOT_ROWS)
+    return _on_grid(a, b, on, null_safe, hot)
 
 
 def key_counts(a: DataFrame, b: DataFrame, on: Keys) -> DataFrame:
@@ -100,17 +85,37 @@ def key_counts(a: DataFrame, b: DataFrame, on: Keys) -> DataFrame:
     )
 
 
-def hot_keys(a: DataFrame, b: DataFrame, on: Keys, hot_rows: int) -> list[HotKey]:
-    """The most frequent keys above the limit, ``HOT_KEYS`` at most."""
-    pairs = F.col("rows_a").cast("double") * F.col("rows_b")
-    rows = (
+def hot_keys(
+    a: DataFrame, b: DataFrame, on: Keys, null_safe: bool, hot_rows: int
+) -> DataFrame | None:
+    """Every key above a limit with its grid, as a small written table; None if there is none.
+
+    ``parts_a`` and ``parts_b`` are the numbers of parts its rows are dealt over.
+    """
+    rows_a, rows_b = F.col("rows_a"), F.col("rows_b")
+    pairs = rows_a.cast("double") * rows_b
+    names = [f"k{i}" for i in range(len(on))]
+    joinable = F.lit(True) if null_safe else _all(F.col(name).isNotNull() for name in names)
+    parts_b = F.greatest(F.ceil(rows_b / hot_rows), F.lit(1))
+    parts_a = F.greatest(
+        F.ceil(rows_a / hot_rows), F.ceil(pairs / (F.lit(float(HOT_PAIRS)) * parts_b)), F.lit(1)
+    )
+    hot = written(
         key_counts(a, b, on)
         .filter((F.greatest("rows_a", "rows_b") > hot_rows) | (pairs > HOT_PAIRS))
-        .orderBy((pairs + F.col("rows_a") + F.col("rows_b")).desc())
-        .limit(HOT_KEYS)
-        .collect()
+        .select(
+            *[F.col(name).alias(f"__{name}") for name in names],
+            parts_a.cast("long").alias("__parts_a"),
+            parts_b.cast("long").alias("__parts_b"),
+            (joinable & (rows_a > 0) & (rows_b > 0)).alias("__matched"),
+        ),
+        "hot-keys",
     )
-    return [HotKey(tuple(row)[: len(on)], row["rows_a"], row["rows_b"]) for row in rows]
+    return None if hot.isEmpty() else hot
+
+
+def _all(tests) -> Column:
+    return reduce(lambda one, other: one & other, tests)
 
 
 def _columns(df: DataFrame) -> list[Column]:
@@ -122,15 +127,33 @@ def _nulls(df: DataFrame) -> list[Column]:
 
 
 def _equal(on: Keys, null_safe: bool) -> Column:
-    tests = []
-    for ka, kb in on:
-        left, right = F.col(quoted(ka)), F.col(quoted(kb))
-        tests.append(left.eqNullSafe(right) if null_safe else left == right)
-    return reduce(lambda one, other: one & other, tests)
+    pairs = [(F.col(quoted(ka)), F.col(quoted(kb))) for ka, kb in on]
+    return _all(x.eqNullSafe(y) if null_safe else x == y for x, y in pairs)
+
+
+def _salt(df: DataFrame) -> Column:
+    """A number by which rows are dealt: the same when a task runs again, and different for
+    copies of a row that come from different tasks."""
+    plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    return F.xxhash64(F.spark_partition_id(), *[F.col(quoted(name)) for name in plain])
+
+
+def _no_key(keys: Sequence[str]) -> Column:
+    return ~_all(F.col(quoted(key)).isNotNull() for key in keys)
 
 
 def _shuffled(a: DataFrame, b: DataFrame, on: Keys, null_safe: bool) -> DataFrame:
-    return a.join(b, _equal(on, null_safe), "full_outer")
+    if null_safe:
+        return a.join(b, _equal(on, null_safe), "full_outer")
+
+    def dealt(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        part = F.when(_no_key(keys), F.pmod(_salt(df), F.lit(SPREAD)))
+        return df.withColumn(name, F.coalesce(part, F.lit(0).cast("long")))
+
+    left = dealt(a, [ka for ka, _ in on], "__part_a")
+    right = dealt(b, [kb for _, kb in on], "__part_b")
+    same = _equal(on, null_safe) & (F.col("__part_a") == F.col("__part_b"))
+    return left.join(right, same, "full_outer").select(*_columns(a), *_columns(b))
 
 
 def _broadcast_right(a: DataFrame, b: DataFrame, on: Keys, null_safe: bool) -> DataFrame:
@@ -150,86 +173,41 @@ def _broadcast_right(a: DataFrame, b: DataFrame, on: Keys, null_safe: bool) -> D
     return matched.unionByName(rest.select(*_nulls(a), *_columns(b)))
 
 
-def _salted(
-    a: DataFrame, b: DataFrame, on: Keys, null_safe: bool, hot: list[HotKey], hot_rows: int
-) -> DataFrame:
-    table = _hot_table(a, on, null_safe, hot, hot_rows)
-    keys_a, keys_b = [ka for ka, _ in on], [kb for _, kb in on]
-    cold = _shuffled(_without(a, keys_a, table), _without(b, keys_b, table), on, null_safe)
-
-    hot_a, hot_b = _with(a, keys_a, table), _with(b, keys_b, table)
-    alone_a = hot_a.filter(~F.col("__matched")).select(*_columns(a), *_nulls(b))
-    alone_b = hot_b.filter(~F.col("__matched")).select(*_nulls(a), *_columns(b))
-
-    grid_a = _on_grid(hot_a, a.columns, "__part_a", "__part_b", "__copies_a")
-    grid_b = _on_grid(hot_b, b.columns, "__part_b", "__part_a", "__copies_b")
-    pairs = (
-        grid_a.join(grid_b, ["__hot", "__part_a", "__part_b"])
-        .withColumn("__copy_a", F.explode(F.sequence(F.lit(1), F.col("__copies_a"))))
-        .withColumn("__copy_b", F.explode(F.sequence(F.lit(1), F.col("__copies_b"))))
-        .select(*_columns(a), *_columns(b))
-    )
-    return cold.unionByName(pairs).unionByName(alone_a).unionByName(alone_b)
-
-
-def _hot_table(
-    a: DataFrame, on: Keys, null_safe: bool, hot: list[HotKey], hot_rows: int
-) -> DataFrame:
-    """The hot keys (``HOT_KEYS`` rows at most) with the size of their salt grid."""
-    rows = []
-    for number, key in enumerate(hot):
-        joinable = null_safe or all(value is not None for value in key.values)
-        parts_b = -(-key.rows_b // hot_rows) or 1
-        parts_a = max(
-            -(-key.rows_a // hot_rows) or 1, -(-key.rows_a * key.rows_b // (HOT_PAIRS * parts_b))
-        )
-        matched = joinable and key.rows_a > 0 and key.rows_b > 0
-        rows.append(Row(*key.values, number, matched, int(parts_a), int(parts_b)))
-    schema = T.StructType(
-        [T.StructField(f"__k{i}", a.schema[ka].dataType) for i, (ka, _) in enumerate(on)]
-        + [
-            T.StructField("__hot", T.IntegerType(), False),
-            T.StructField("__matched", T.BooleanType(), False),
-            T.StructField("__parts_a", T.LongType(), False),
-            T.StructField("__parts_b", T.LongType(), False),
-        ]
-    )
-    return a.sparkSession.createDataFrame(rows, schema)
-
-
-def _hot_condition(keys: list[str]) -> Column:
-    tests = [F.col(quoted(key)).eqNullSafe(F.col(f"__k{i}")) for i, key in enumerate(keys)]
-    return reduce(lambda one, other: one & other, tests)
-
-
-def _without(df: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(table), _hot_condition(keys), "left_anti")
-
-
-def _with(df: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(table), _hot_condition(keys), "inner")
-
-
 def _on_grid(
-    hot: DataFrame, columns: list[str], own: str, other: str, copies: str
+    a: DataFrame, b: DataFrame, on: Keys, null_safe: bool, hot: DataFrame
 ) -> DataFrame:
-    """Rows of matched hot keys spread over their own salts and repeated over the other's.
+    def tagged(df: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:
+        """Rows with their cell, ``__own_part`` and ``__own_cell``, once per cell."""
+        listed = _all(
+            F.col(quoted(key)).eqNullSafe(F.col(f"__k{i}")) for i, key in enumerate(keys)
+        )
+        parts = F.col(f"__parts_{own}")
+        lone = F.lit(False) if null_safe else _no_key(keys)
+        part = (
+            F.when(parts.isNotNull(), F.pmod(_salt(df), parts))
+            .when(lone, F.pmod(_salt(df), F.lit(SPREAD)))
+            .otherwise(F.lit(0).cast("long"))
+        )
+        zero = F.array(F.lit(0).cast("long"))
+        cells = F.when(
+            F.col("__matched"), F.sequence(F.lit(0).cast("long"), F.col(f"__parts_{other}") - 1)
+        )
+        return df.join(hot, listed, "left").select(
+            *_columns(df),
+            part.alias(f"__part_{own}"),
+            F.explode(F.coalesce(cells, zero)).alias(f"__cell_{own}"),
+            F.coalesce("__matched", F.lit(False)).alias(f"__matched_{own}"),
+            F.lit(True).alias(f"__in_{own}"),
+        )
 
-    Identical rows are first folded to counts, so copies of one row spread as well, and the
-    salt is a function of the row, so a task that runs again places its rows alike.
-    """
-    own_parts, other_parts = own.replace("part", "parts"), other.replace("part", "parts")
-    names = [quoted(name) for name in columns]
-    folded = (
-        hot.filter("__matched")
-        .groupBy(*names, "__hot", own_parts, other_parts)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-    )
-    chunks = F.sequence(F.lit(0), F.floor((F.col("__rows") - 1) / COPIES).cast("long"))
-    return (
-        folded.withColumn("__chunk", F.explode(chunks))
-        .withColumn(copies, F.least(F.lit(COPIES), F.col("__rows") - F.col("__chunk") * COPIES).cast("int"))
-        .withColumn(own, F.pmod(F.xxhash64(*names, "__chunk"), F.col(own_parts)))
-        .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_parts) - 1)))
-        .select(*names, "__hot", own, other, copies)
+    left = tagged(a, [ka for ka, _ in on], "a", "b")
+    right = tagged(b, [kb for _, kb in on], "b", "a")
+    same = (
+        _equal(on, null_safe)
+        & (F.col("__part_a") == F.col("__cell_b"))
+        & (F.col("__cell_a") == F.col("__part_b"))
     )
+    alone = F.col("__in_a").isNull() | F.col("__in_b").isNull()
+    matched = F.coalesce("__matched_a", "__matched_b")
+    joined = left.join(right, same, "full_outer")
+    return joined.filter(~(alone & matched)).select(*_columns(a), *_columns(b))

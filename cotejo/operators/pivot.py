@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.functions.cleaning import typed_value
+from cotejo.functions.cleaning import NUMBER_SCALE, typed_value
 from cotejo.functions.operand import quoted
 from cotejo.operators.state import CURRENT
 from cotejo.sources.config import ConfigRow, kept_properties
@@ -21,11 +21,13 @@ def wide_entities(
     *,
     source_table: str,
     on_bad_number: str = "fail",
+    scales: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per entity: key, origin and author of the latest value, then its properties.
 
     Origin and author come from the latest row, NULLs included; rows of one instant rank by
-    property name, the order in which a run writes them.
+    property name, the order in which a run writes them. ``scales`` gives the decimals of number
+    columns that have others than the usual ones.
     """
     properties = kept_properties(config)
     rows = vault.filter((F.col("tabla_origen") == source_table) & (F.col("estado") == CURRENT))
@@ -44,9 +46,12 @@ def wide_entities(
         *values,
     )
     typed = [
-        typed_value(F.col(quoted(row.columna_origen)), row.tipo_dato_generico, on_bad_number).alias(
-            row.columna_origen
-        )
+        typed_value(
+            F.col(quoted(row.columna_origen)),
+            row.tipo_dato_generico,
+            on_bad_number,
+            (scales or {}).get(row.columna_origen, NUMBER_SCALE),
+        ).alias(row.columna_origen)
         for row in properties
     ]
     fixed = grouped.columns[: len(grouped.columns) - len(properties)]

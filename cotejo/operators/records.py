@@ -22,7 +22,6 @@ from cotejo.sources.config import ConfigRow, kept_properties
 ROW_ID = "id"  # fixed value: the source column that identifies rows without key columns
 KEY, ENTITY, ERROR, ORDER = "__key", "__entity", "__error", "__order"  # added to source rows
 TEXT, DOUBLE = T.StringType(), T.DoubleType()
-LOOKUP_ROWS = 100_000  # a lookup table up to this many rows is broadcast
 
 
 def row_key(source: DataFrame, config: Sequence[ConfigRow], separator: str) -> Column:
@@ -52,10 +51,7 @@ def stored_ids(inventory: DataFrame, source_table: str) -> DataFrame | None:
         .groupBy("known_key")
         .agg(F.min("id").alias("known_id"))
     )
-    rows = stored.limit(LOOKUP_ROWS + 1).count()
-    if rows == 0:
-        return None
-    return F.broadcast(stored) if rows <= LOOKUP_ROWS else stored
+    return None if stored.isEmpty() else stored
 
 
 def identified(
@@ -150,18 +146,32 @@ def property_records(
     return cleaned.withColumns(constants).drop("raw", "number", "numeric")
 
 
-def seen_entities(rows: DataFrame, *, shared_ids: bool = False) -> DataFrame:
-    """One row per entity of the run: its latest key, and whether a faultless row had it.
+def counted_entities(tagged: DataFrame, accepted: str, *, shared_ids: bool = False) -> DataFrame:
+    """What a run needs to know of its source besides the records, from one pass over it.
 
-    Derived ids belong to one key each, so they are made after the keys are grouped; only
-    stored ids may be shared by several keys.
+    One row per entity of accepted rows with a key (id, latest key, whether a faultless row had
+    it), and one each, without id, for accepted rows without key and for rejected rows; all with
+    their number of rows and of errors. ``accepted`` names the flag of the rows.
     """
-    faultless = F.max(F.col(ERROR).isNull()).alias("faultless")
-    named = rows.filter(has_key())
-    if not shared_ids:
-        keys = named.groupBy(F.col(KEY).alias("llave_humana_completa")).agg(faultless)
-        key = F.coalesce("llave_humana_completa", F.lit(""))
-        return with_entity_id(keys, key, "entidad_interna_id")
-    return named.groupBy(F.col(ENTITY).alias("entidad_interna_id")).agg(
-        F.max_by(KEY, ORDER).alias("llave_humana_completa"), faultless
+    known = F.col(accepted) & has_key()
+    by = ENTITY if shared_ids else KEY
+    grouped = tagged.groupBy(F.col(accepted), F.when(known, F.col(by)).alias("by")).agg(
+        F.max_by(KEY, F.struct(ORDER, KEY)).alias("key"),
+        F.max(F.col(ERROR).isNull()).alias("faultless"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count(ERROR).alias("errors"),
+    )
+    derived = grouped
+    if shared_ids:
+        derived = grouped.withColumn("id", F.col("by"))
+    else:
+        derived = with_entity_id(grouped, F.coalesce("by", F.lit("")), "id")
+    has_id = F.col("by").isNotNull()
+    return derived.select(
+        F.when(has_id, F.col("id")).alias("entidad_interna_id"),
+        F.when(has_id, F.col("key")).alias("llave_humana_completa"),
+        "faultless",
+        F.col(accepted).alias("accepted"),
+        "rows",
+        "errors",
     )

@@ -7,13 +7,13 @@ change again, so only current ones take part.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.operators.outer_join import HOT_ROWS
+from cotejo.operators.skew import is_among
 from cotejo.operators.state import CLOSED, CURRENT, REMOVED, VAULT_SCHEMA
 from cotejo.session import ensure_checkpoint_dir
 
@@ -41,22 +41,25 @@ def apply_changes(
     at: datetime,
     removed: DataFrame | None = None,
     source_table: str | None = None,
-    hot_entities: Sequence[str] = (),
+    hot: DataFrame | None = None,
     hot_records: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every vault row the run keeps, closes, removes or adds, labelled in ``cambio``.
 
     ``removed`` holds ids of entities whose current rows of ``source_table`` end in this run.
-    Entities in ``hot_entities`` have too many records for one task: theirs come apart, in
-    ``hot_records``, not placed by entity, and are cut into ranges.
+    Entities listed in ``hot`` (``value`` and their number of records, ``rows``) have too many for
+    one task: theirs come apart, in ``hot_records``, not placed by entity, and are cut into ranges.
     """
     versions = _mark_removed(current, removed, source_table)
-    if hot_records is None:
+    if hot is None:
         return _labelled(_chained(versions, records), job_id, at)
-    hot = F.col("entidad_interna_id").isin(*hot_entities)
-    chained = _chained(versions.filter(~hot), records).unionByName(
-        _chained_in_ranges(versions.filter(hot), hot_records, hot_rows)
+    entity = F.col("entidad_interna_id")
+    rest = is_among(versions, entity, hot, wanted=False)
+    listed = is_among(versions, entity, hot, wanted=True)
+    ranges = max(8, -(-hot.agg(F.sum("rows")).first()[0] // hot_rows))
+    chained = _chained(rest, records).unionByName(
+        _chained_in_ranges(listed, hot_records, ranges)
     )
     return _labelled(chained, job_id, at)
 
@@ -148,7 +151,7 @@ def _chained(current: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def _chained_in_ranges(current: DataFrame, records: DataFrame, hot_rows: int) -> DataFrame:
+def _chained_in_ranges(current: DataFrame, records: DataFrame, ranges: int) -> DataFrame:
     """The same chain for properties with very many records.
 
     Records are range-partitioned by property and order, so one property spans several
@@ -158,7 +161,6 @@ def _chained_in_ranges(current: DataFrame, records: DataFrame, hot_rows: int) ->
     spark = records.sparkSession
     ensure_checkpoint_dir(spark)
     arriving = _arriving(records).dropDuplicates()  # a copy never differs from its twin
-    ranges = max(8, -(-records.count() // hot_rows))
     cut = (
         arriving.repartitionByRange(ranges, *PROPERTY, "orden")
         .withColumn("range", F.spark_partition_id())
@@ -196,8 +198,7 @@ def _chained_in_ranges(current: DataFrame, records: DataFrame, hot_rows: int) ->
     changed = linked.filter(_differs(F.col("before"), F.col("has_before"))).withColumn(
         "followed", F.lead(F.lit(True), 1, False).over(within)
     )
-    # one row per property of the hot entities, of which there are HOT_KEYS at most
-    last = F.broadcast(changed.groupBy(*PROPERTY).agg(F.max("range").alias("last_range")))
+    last = changed.groupBy(*PROPERTY).agg(F.max("range").alias("last_range"))
     columns = [*stored.columns, "has_before", "followed"]
     ended = F.col("followed") | (F.col("range") < F.col("last_range"))
     new = changed.join(last, PROPERTY).withColumn("followed", ended).select(*columns)

@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.operators.outer_join import HOT_KEYS, HOT_ROWS
-from cotejo.session import conf_bytes, estimated_bytes
+from cotejo.operators.outer_join import HOT_ROWS
+from cotejo.session import written
 
 
-def hot_values(df: DataFrame, column: Column, hot_rows: int | None = None) -> list[str]:
-    """The values with most rows above the limit, ``HOT_KEYS`` at most.
+def hot_values(
+    df: DataFrame, column: Column, hot_rows: int | None = None, within: DataFrame | None = None
+) -> DataFrame | None:
+    """Every ``value`` with more rows than the limit and its ``rows``, written; None without any.
 
-    Without an explicit limit, a table smaller than one skewed partition is not counted.
+    ``within`` has at least the rows of ``df`` and is cheap to count: if it has no more rows than
+    the limit, neither has any value.
     """
-    if hot_rows is None:
-        large = conf_bytes(
-            df.sparkSession,
-            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
-            "256MB",
-        )
-        if estimated_bytes(df) < large:
-            return []
-    rows = (
+    limit = hot_rows or HOT_ROWS
+    if within is not None and within.count() <= limit:
+        return None
+    hot = written(
         df.groupBy(column.alias("value"))
         .agg(F.count(F.lit(1)).alias("rows"))
-        .filter(F.col("rows") > (hot_rows or HOT_ROWS))
-        .orderBy(F.col("rows").desc())
-        .limit(HOT_KEYS)
-        .collect()
+        .filter(F.col("rows") > limit),
+        "hot-values",
     )
-    return [row["value"] for row in rows]
+    return None if hot.isEmpty() else hot
+
+
+def is_among(df: DataFrame, column: Column, hot: DataFrame, *, wanted: bool) -> DataFrame:
+    """The rows whose value is listed, or those whose value is not."""
+    listed = hot.select(F.col("value").alias("__listed"))
+    return df.join(listed, column == F.col("__listed"), "left_semi" if wanted else "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 # States of vault rows and of entities, and origins of a value.
 CURRENT, CLOSED, REMOVED = "VIGENTE", "HISTORICO", "ELIMINADO"
 ACTIVE, INACTIVE = "ACTIVO", "INACTIVO"
-BULK_LOAD, MANUAL_EDIT, SYSTEM_INFERENCE = "carga_masiva", "edicion_manual", "inferencia_sistema"
+BULK_LOAD, MANUAL_EDIT = "carga_masiva", "edicion_manual"
 
 
 def _fields(names: str, dtype: T.DataType) -> list[T.StructField]:

@@ -21,7 +21,7 @@ from cotejo.functions.text import strip, to_text
 from cotejo.operators.inventory import live_counts, recounted_inventory
 from cotejo.operators.outer_join import HOT_ROWS
 from cotejo.operators.scd2 import CHANGE, INSERTED, UPDATED, apply_to_touched
-from cotejo.operators.skew import hot_values
+from cotejo.operators.skew import hot_values, is_among
 from cotejo.operators.state import MANUAL_EDIT
 from cotejo.sources.config import ConfigRow, load_config
 from cotejo.sources.vault_store import VaultStore
@@ -159,16 +159,19 @@ def apply_edits(
         F.col("usuario_email").alias("creado_por"),
         "orden",
     )
-    hot = hot_values(edits, strip(F.col(ENTITY)), hot_rows)
-    is_hot = F.col(ENTITY).isin(*hot) if hot else F.lit(False)
+    hot = hot_values(edits, strip(F.col(ENTITY)), hot_rows, within=edits)
+    usual, hot_records = records, None
+    if hot is not None:
+        usual = is_among(records, F.col(ENTITY), hot, wanted=False)
+        hot_records = is_among(records, F.col(ENTITY), hot, wanted=True)
     changes = apply_to_touched(
         current,
-        records.filter(~is_hot),
+        usual,
         edits.select(strip(F.col(ENTITY)).alias(ENTITY)).distinct(),
         job_id=job_id,
         at=at,
-        hot_entities=hot,
-        hot_records=records.filter(is_hot) if hot else None,
+        hot=hot,
+        hot_records=hot_records,
         hot_rows=hot_rows or HOT_ROWS,
     )
     return EditBatch(source_table, inventory, checked, records, changes)
@@ -191,20 +194,21 @@ def run_edits(
     at: datetime,
     order_by: Sequence[str] = (),
 ) -> EditRun:
-    last = store.version()
-    batch = apply_edits(
-        edits,
-        load_config(config, source_table),
-        store.current(last),
-        store.inventory(last),
-        source_table=source_table,
-        job_id=job_id,
-        at=at,
-        order_by=order_by,
-    )
-    version = last + 1
-    store.write_changes(version, batch.changes)
-    changes = store.changes(version)
-    store.write_inventory(version, batch.inventory(changes))
-    store.commit(version, job_id, at)
-    return EditRun(version, batch.summary(changes), batch.errors)
+    with store.recorded(job_id, at):
+        last = store.version()
+        batch = apply_edits(
+            edits,
+            load_config(config, source_table),
+            store.current(last),
+            store.inventory(last),
+            source_table=source_table,
+            job_id=job_id,
+            at=at,
+            order_by=order_by,
+        )
+        version = last + 1
+        store.write_changes(version, batch.changes)
+        changes = store.changes(version)
+        store.write_inventory(version, batch.inventory(changes))
+        store.commit(version, job_id, at)
+        return EditRun(version, batch.summary(changes), batch.errors)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cotejo.operators.pivot import wide_entities
 from cotejo.sources.config import load_config
@@ -26,9 +28,47 @@ def run_materialize(
     source_table: str,
     target_table: str,
     on_bad_number: str = "fail",
+    scales: Mapping[str, int] | None = None,
+    failures_table: str | None = None,
+    job_id: str | None = None,
+) -> MaterializeRun:
+    """Replace the target table. Columns are counted from the configuration, repeats included.
+
+    A run that fails leaves the target as it was; ``failures_table`` gets its job, target and
+    reason before the error is raised.
+    """
+    try:
+        return _materialize(
+            vault,
+            config,
+            source_table=source_table,
+            target_table=target_table,
+            on_bad_number=on_bad_number,
+            scales=scales,
+        )
+    except Exception as problem:
+        if failures_table:
+            row = vault.sparkSession.range(1, numPartitions=1).select(
+                F.lit(job_id).cast("string").alias("job_id"),
+                F.lit(target_table).alias("target"),
+                F.lit(f"{type(problem).__name__}: {problem}"[:2000]).alias("error"),
+            )
+            row.write.mode("append").format("parquet").saveAsTable(failures_table)
+        raise
+
+
+def _materialize(
+    vault: DataFrame,
+    config: DataFrame,
+    *,
+    source_table: str,
+    target_table: str,
+    on_bad_number: str,
+    scales: Mapping[str, int] | None,
 ) -> MaterializeRun:
-    """Replace the target table. Columns are counted from the configuration, repeats included."""
     rows = load_config(config, source_table)
     columns = sum(row.guardar for row in rows) + FIXED_COLUMNS
-    wide = wide_entities(vault, rows, source_table=source_table, on_bad_number=on_bad_number)
+    wide = wide_entities(
+        vault, rows, source_table=source_table, on_bad_number=on_bad_number, scales=scales
+    )
     return MaterializeRun(replace_table(wide, target_table), columns)

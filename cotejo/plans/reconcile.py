@@ -12,6 +12,7 @@ from cotejo.functions.methods import PIPELINE
 from cotejo.operators.cross import (
     ColumnPair,
     apply_pairs,
+    counted_summary,
     cross,
     cross_summary,
     key_uniqueness,
@@ -38,9 +39,9 @@ def reconcile(
 def reconcile_summary(
     a: DataFrame, b: DataFrame, key_a: str, key_b: str, crossed: DataFrame | None = None
 ) -> DataFrame:
-    """One row of counters; without ``crossed`` only the keys are joined."""
+    """One row of counters; without ``crossed`` they follow from the rows per key."""
     if crossed is None:
-        crossed = cross(a, b, key_a, key_b, [])
+        return counted_summary(a, b, key_a, key_b)
     return cross_summary(crossed, key_uniqueness(a, b, key_a, key_b))
 
 
@@ -70,12 +71,14 @@ def run_reconcile(
     nulls: str = PIPELINE,
     strategy: str = "auto",
 ) -> ReconcileRun:
-    """Reconcile and append. The summary reads the appended run, so the join runs once.
+    """Reconcile and append. The summary needs no join, so the join runs once.
 
-    A join without rows uses no run number and leaves no table behind.
+    A join without rows, which takes two empty tables, uses no run number and changes no table.
     """
     spark = a.sparkSession
-    created = not spark.catalog.tableExists(target_table)
+    summary = reconcile_summary(a, b, key_a, key_b)
+    if a.isEmpty() and b.isEmpty():
+        return ReconcileRun(None, None, False, summary)
     result = reconcile(a, b, key_a, key_b, pairs, nulls=nulls, strategy=strategy)
     run_id = history.next_run_id(spark, target_table)
     stamped = history.stamp(
@@ -89,9 +92,4 @@ def run_reconcile(
     )
     changed = history.append(history.metadata_last(stamped), target_table)
     rows = history.read_run(spark, target_table, run_id)
-    if rows.isEmpty():
-        if created:
-            spark.sql(f"DROP TABLE {target_table}")
-        return ReconcileRun(None, None, changed, reconcile_summary(a, b, key_a, key_b))
-    summary = cross_summary(rows, key_uniqueness(a, b, key_a, key_b))
     return ReconcileRun(run_id, rows, changed, summary)

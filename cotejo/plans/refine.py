@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 
 from cotejo.functions.identity import DEFAULT_SEPARATOR
 from cotejo.functions.operand import quoted
-from cotejo.operators.acceptance import accepted, rejected_count
+from cotejo.operators.acceptance import accepted, acceptance_flag
 from cotejo.operators.inventory import live_counts, missing_entities, updated_inventory
 from cotejo.operators.outer_join import HOT_ROWS
 from cotejo.operators.records import (
     ENTITY,
     ERROR,
     KEY,
+    counted_entities,
     has_key,
     identified,
     property_records,
-    seen_entities,
     stored_ids,
 )
 from cotejo.operators.scd2 import (
@@ -31,12 +31,15 @@ from cotejo.operators.scd2 import (
     UPDATED,
     apply_changes,
 )
-from cotejo.operators.skew import hot_values
+from cotejo.operators.skew import hot_values, is_among
 from cotejo.operators.state import ACTIVE
 from cotejo.sources.config import ConfigRow, kept_properties, load_config
 from cotejo.sources.vault_store import VaultStore
 
 
+ACCEPTED = "__accepted"  # added to source rows
+
+
 @dataclass(frozen=True)
 class Refinement:
     """The lazy tables of one run over one source."""
@@ -47,11 +50,15 @@ class Refinement:
     inventory_before: DataFrame
     source: DataFrame
     rows: DataFrame  # accepted rows with key, entity, order and error
-    seen: DataFrame
+    counted: DataFrame  # entities, errors and rejected rows of the source, counted in one pass
     missing: DataFrame
     changes: DataFrame  # vault rows of the run, labelled
     properties: int
 
+    @property
+    def seen(self) -> DataFrame:
+        return _seen(self.counted)
+
     @property
     def vault(self) -> DataFrame:
         """The vault rows the run leaves, without those closed earlier."""
@@ -81,9 +88,16 @@ class Refinement:
     def summary(self, changes: DataFrame | None = None) -> DataFrame:
         """One row of counters. Records that left no version are the unchanged ones."""
         changes = self.changes if changes is None else changes
-        processed = self.rows.agg(
-            F.count(F.lit(1)).alias("filas_procesadas"),
-            F.count(ERROR).alias("errores"),
+        kept = F.col("accepted")
+        processed = self.counted.agg(
+            *[
+                F.coalesce(F.sum(F.when(which, F.col(name))), F.lit(0)).cast("long").alias(total)
+                for name, which, total in (
+                    ("rows", kept, "filas_procesadas"),
+                    ("errors", kept, "errores"),
+                    ("rows", ~kept, "filas_omitidas"),
+                )
+            ]
         )
         moved = changes.agg(
             F.count_if(F.col(CHANGE) == INSERTED).alias("registros_insertados"),
@@ -94,7 +108,7 @@ class Refinement:
             F.count(F.lit(1)).alias("entidades_inactivadas"),
             F.count_if(F.col("estado_entidad") == ACTIVE).alias("recien_inactivadas"),
         )
-        parts = [processed, rejected_count(self.source), moved, inactivated]
+        parts = [processed, moved, inactivated]
         stacked = parts[0]
         for part in parts[1:]:
             stacked = stacked.unionByName(part, allowMissingColumns=True)
@@ -115,6 +129,12 @@ class Refinement:
         )
 
 
+def _seen(counted: DataFrame) -> DataFrame:
+    return counted.filter(F.col("entidad_interna_id").isNotNull()).select(
+        "entidad_interna_id", "llave_humana_completa", "faultless"
+    )
+
+
 def refine(
     source: DataFrame,
     config: Sequence[ConfigRow],
@@ -127,9 +147,12 @@ def refine(
     separator: str = DEFAULT_SEPARATOR,
     order_by: Sequence[str] = (),
     hot_rows: int | None = None,
+    keep: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> Refinement:
     """Plan a run; ``current`` holds the current vault rows of all sources.
 
+    The source is read once for the counts of its entities and once for the records. ``keep`` may
+    write the counts, which three later steps read, and give them back as written.
     ``order_by`` names the source columns that order several rows of one entity. ``hot_rows``
     forces the count of rows per entity and sets from which count an entity is hot.
     """
@@ -137,29 +160,39 @@ def refine(
         raise ValueError("the key separator cannot be empty")
     known = stored_ids(inventory, source_table)
     rows = identified(accepted(source), config, known, separator=separator, order_by=order_by)
-    seen = seen_entities(rows, shared_ids=known is not None)
-    missing = missing_entities(inventory, seen, source_table=source_table, job_id=job_id)
-    hot = hot_values(rows.filter(has_key()), F.col(ENTITY), hot_rows)
-    is_hot = F.col(ENTITY).isin(*hot) if hot else F.lit(False)
-    hot_records = None
-    if hot:
+    tagged = identified(
+        acceptance_flag(source, ACCEPTED), config, known, separator=separator, order_by=order_by
+    )
+    counted = keep(counted_entities(tagged, ACCEPTED, shared_ids=known is not None))
+    missing = missing_entities(
+        inventory, _seen(counted), source_table=source_table, job_id=job_id
+    )
+    present = [row for row in kept_properties(config) if row.columna_origen in source.columns]
+    hot = hot_values(rows.filter(has_key()), F.col(ENTITY), hot_rows, within=source)
+    usual, hot_records = rows, None
+    if hot is not None:
+        entity = F.col(ENTITY)
+        usual = is_among(rows, entity, hot, wanted=False)
         hot_records = property_records(
-            rows.filter(is_hot), config, source_table=source_table, placed=False
+            is_among(rows, entity, hot, wanted=True),
+            config,
+            source_table=source_table,
+            placed=False,
         )
+        hot = hot.withColumn("rows", F.col("rows") * len(present))
     changes = apply_changes(
         current,
-        property_records(rows.filter(~is_hot), config, source_table=source_table),
+        property_records(usual, config, source_table=source_table),
         job_id=job_id,
         at=at,
         removed=missing,
         source_table=source_table,
-        hot_entities=hot,
+        hot=hot,
         hot_records=hot_records,
         hot_rows=hot_rows or HOT_ROWS,
     )
-    present = [row for row in kept_properties(config) if row.columna_origen in source.columns]
     return Refinement(
-        source_table, job_id, at, inventory, source, rows, seen, missing, changes, len(present)
+        source_table, job_id, at, inventory, source, rows, counted, missing, changes, len(present)
     )
 
 
@@ -181,22 +214,27 @@ def run_refine(
     separator: str = DEFAULT_SEPARATOR,
     order_by: Sequence[str] = (),
 ) -> RefineRun:
-    """Refine into the store: one write of the changes, from which the rest is derived."""
-    last = store.version()
-    run = refine(
-        source,
-        load_config(config, source_table),
-        store.current(last),
-        store.inventory(last),
-        source_table=source_table,
-        job_id=job_id,
-        at=at,
-        separator=separator,
-        order_by=order_by,
-    )
-    version = last + 1
-    store.write_changes(version, run.changes)
-    changes = store.changes(version)
-    store.write_inventory(version, run.inventory(changes))
-    store.commit(version, job_id, at)
-    return RefineRun(version, run.summary(changes), run.errors)
+    """Refine into the store: the counts and the changes are written once, the rest follows.
+
+    A run that fails is listed in the store's failures and raises.
+    """
+    with store.recorded(job_id, at):
+        last = store.version()
+        version = last + 1
+        run = refine(
+            source,
+            load_config(config, source_table),
+            store.current(last),
+            store.inventory(last),
+            source_table=source_table,
+            job_id=job_id,
+            at=at,
+            separator=separator,
+            order_by=order_by,
+            keep=lambda counted: store.keep_counted(version, counted),
+        )
+        store.write_changes(version, run.changes)
+        changes = store.changes(version)
+        store.write_inventory(version, run.inventory(changes))
+        store.commit(version, job_id, at)
+        return RefineRun(version, run.summary(changes), run.errors)

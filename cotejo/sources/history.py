@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cotejo.functions.operand import quoted
 
@@ -94,12 +95,52 @@ def add_missing_columns(df: DataFrame, table: str) -> bool:
     return True
 
 
+#: Types whose values a type further right holds without loss.
+_WIDER = {
+    "tinyint": ("smallint", "int", "bigint", "float", "double"),
+    "smallint": ("int", "bigint", "float", "double"),
+    "int": ("bigint", "double"),
+    "float": ("double",),
+    "date": ("timestamp", "timestamp_ntz"),
+}
+
+
+def _holds(table: T.DataType, given: T.DataType) -> bool:
+    """Whether a column of the table's type takes every value of the given type unchanged."""
+    wanted, kind = table.simpleString(), given.simpleString()
+    if wanted == kind or isinstance(given, T.NullType):
+        return True
+    if isinstance(table, T.DecimalType):
+        whole = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+        if isinstance(given, T.DecimalType):
+            needed, scale = given.precision - given.scale, given.scale
+        else:
+            needed, scale = whole.get(kind, 99), 0
+        return table.scale >= scale and table.precision - table.scale >= needed
+    return wanted in (_WIDER.get(kind, ()))
+
+
+def _check_types(df: DataFrame, table: str) -> None:
+    given = {field.name.lower(): field.dataType for field in df.schema}
+    for field in df.sparkSession.table(table).schema:
+        kind = given.get(field.name.lower())
+        if kind is not None and not _holds(field.dataType, kind):
+            raise TypeError(
+                f"{table}.{field.name} is {field.dataType.simpleString()} and would lose values "
+                f"of type {kind.simpleString()}"
+            )
+
+
 def append(df: DataFrame, table: str) -> bool:
-    """Append by column name, creating or widening the table; tells if its schema changed."""
+    """Append by column name, creating or widening the table; tells if its schema changed.
+
+    A column whose type cannot hold the new values unchanged is an error, before any change.
+    """
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
         df.write.format("parquet").partitionBy("run_id").saveAsTable(table)
         return True
+    _check_types(df, table)
     changed = add_missing_columns(df, table)
     given = {name.lower() for name in df.columns}
     columns = [

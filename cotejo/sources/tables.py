@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +21,35 @@ def read_query(spark: SparkSession, query: str) -> DataFrame:
     return spark.sql(query)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with header. Give ``schema`` for large files: inferring types reads them twice."""
-    reader = spark.read.option("header", True)
+#: Stands for NULL in no file: a reader that knows it tells missing values from empty texts.
+NO_TEXT = "\x01"
+#: One dialect for reading and writing: quotes are doubled, blanks and line ends belong to values.
+CSV_DIALECT = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    *,
+    multiline: bool = True,
+    null_value: str = NO_TEXT,
+) -> DataFrame:
+    """CSV with header. Give ``schema`` for large files: inferring types reads them twice.
+
+    Nothing between two commas is NULL, ``""`` is the empty text, and ``null_value`` is NULL too.
+    ``multiline`` lets quoted values hold line ends; each file is then one task, so write many
+    files, or switch it off where no value has a line end.
+    """
+    reader = spark.read.options(
+        **CSV_DIALECT, multiLine=multiline, nullValue=null_value, emptyValue=""
+    )
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", True).csv(path)
@@ -52,10 +80,29 @@ def write_csv(df: DataFrame, path: str, *, append: bool = False) -> None:
         for field in df.schema
     ]
     mode = "append" if append else "overwrite"
-    df.select(*columns).write.mode(mode).option("header", True).csv(path)
+    written = df.select(*columns).write.mode(mode)
+    written.options(**CSV_DIALECT, nullValue="", emptyValue='""').csv(path)
 
 
 def replace_table(df: DataFrame, table: str) -> int:
-    """Create the table anew from the rows; returns how many it holds."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(table)
-    return df.sparkSession.table(table).count()
+    """Put the rows in the place of the table; returns how many it holds.
+
+    They are written under another name first and take the table's place when complete, so rows
+    that fail leave the old table as it was.
+    """
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex[:12]
+    fresh, old = f"{table}_new_{mark}", f"{table}_old_{mark}"
+    try:
+        df.write.format("parquet").saveAsTable(fresh)
+        rows = spark.table(fresh).count()
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
+    replaced = spark.catalog.tableExists(table)
+    if replaced:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    if replaced:
+        spark.sql(f"DROP TABLE {old}")
+    return rows

@@ -9,6 +9,8 @@ One writer at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -44,7 +46,10 @@ class VaultStore:
         try:
             return self.spark.read.schema(schema).option("basePath", root).parquet(path)
         except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
+            # only a store without commits may lack a part, and only version 0 a folder
+            if problem.getCondition() != "PATH_NOT_FOUND" or version:
+                raise
+            if part == "vault" and version is None and self.version():
                 raise
             return empty(self.spark, schema)
 
@@ -93,6 +98,37 @@ class VaultStore:
     def write_inventory(self, version: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/inventory/version={version}")
 
+    def keep_counted(self, version: int, rows: DataFrame) -> DataFrame:
+        """What a run counted of its source, written beside its changes and read back."""
+        path = f"{self.path}/counted/version={version}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    @contextmanager
+    def recorded(self, job_id: str, at: datetime) -> Iterator[None]:
+        """A run whose failure is listed before it is raised."""
+        try:
+            yield
+        except Exception as problem:
+            row = self.spark.range(1, numPartitions=1).select(
+                F.lit(job_id).alias("job_id"),
+                F.lit(at).alias("failed_at"),
+                F.lit(f"{type(problem).__name__}: {problem}"[:2000]).alias("error"),
+            )
+            row.write.mode("append").parquet(f"{self.path}/failures")
+            raise
+
+    def failures(self) -> DataFrame:
+        """Runs that failed: job, time and reason."""
+        schema = T.StructType(
+            [
+                T.StructField("job_id", T.StringType()),
+                T.StructField("failed_at", T.TimestampType()),
+                T.StructField("error", T.StringType()),
+            ]
+        )
+        return self._read("failures", schema)
+
     def commit(self, version: int, job_id: str, at: datetime) -> None:
         row = self.spark.range(1, numPartitions=1).select(
             F.lit(version).alias("version"),

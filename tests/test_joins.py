@@ -16,10 +16,10 @@ from cotejo.operators.cross import (
 from cotejo.operators.grouped import grouped
 from cotejo.operators.merge import derive, outer_merge, stack
 from cotejo.plans.outer_merge import run_outer_merge
-from cotejo.plans.reconcile import run_reconcile
+from cotejo.plans.reconcile import reconcile_summary, run_reconcile
 from cotejo.plans.worktable import run_worktable
 from cotejo.sources import history
-from cotejo.sources.tables import read_csv, read_source, write_csv
+from cotejo.sources.tables import read_csv, read_source, replace_table, write_csv
 
 NOW = datetime(2024, 1, 1)
 
@@ -62,7 +62,6 @@ def test_join_strategies_give_the_same_rows(spark, monkeypatch, null_safe):
     assert bag(strategy="split") == expected
     for hot_rows in (1, 5, 20):
         assert bag(hot_rows=hot_rows) == expected
-    monkeypatch.setattr(outer_join, "COPIES", 2)
     monkeypatch.setattr(outer_join, "HOT_PAIRS", 50)
     assert bag(hot_rows=6) == expected
 
@@ -288,13 +287,77 @@ def test_worktable_job(spark):
 
 def test_names():
     assert names.safe_part(" Valor/Total  (m²) ") == "valor_total_m"
-    assert names.method_column_name("A", "a", "math_sub") == "a__math_sub"
-    assert names.match_column_name("a", "b", "x") == "is_match__a__vs__b__x"
-    assert names.wide_table_name("a_1_pma") == "a_4_pma"
-    assert names.wide_table_name("other") == "a_4_other"
     assert names.identifier("schema.table") == "table"
     for bad in ("", "1x", "a b"):
         with pytest.raises(ValueError):
             names.identifier(bad)
     with pytest.raises(ValueError):
         names.safe_part("²")
+
+
+def test_csv_values_come_back_as_they_were(spark, tmp_path):
+    texts = ['a ""b"" c', "two\nlines\r\nand more", " blanks ", "back\\slash", "", None, "NA", ",", '"']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    path = str(tmp_path / "odd.csv")
+    write_csv(df, path)
+    assert dict(read_csv(spark, path, df.schema).collect()) == dict(enumerate(texts))
+    assert dict(read_csv(spark, path).collect()) == dict(enumerate(texts))
+    marked = dict(read_csv(spark, path, df.schema, null_value="NA").collect())
+    assert marked[6] is None and marked[7] == ","
+
+
+def test_csv_types_beside_missing_values(spark, tmp_path):
+    path = tmp_path / "types.csv"
+    path.write_text('id,text,value\n1,"a ""b"" c",1.5\n2,"x\ny",NA\n3,,2\n')
+    rows = read_csv(spark, str(path), null_value="NA")
+    assert [f.dataType.simpleString() for f in rows.schema] == ["int", "string", "double"]
+    assert [tuple(r) for r in rows.orderBy("id").collect()] == [
+        (1, 'a "b" c', 1.5), (2, "x\ny", None), (3, None, 2.0),
+    ]
+
+
+def test_rows_that_fail_leave_the_table(spark):
+    good = spark.createDataFrame([(1,), (2,)], "a int")
+    assert replace_table(good, "kept_table") == 2
+    bad = good.withColumn("a", F.when(F.col("a") == 2, F.raise_error("no")).otherwise(F.col("a")))
+    with pytest.raises(Exception, match="no"):
+        replace_table(bad, "kept_table")
+    assert sorted(r[0] for r in spark.table("kept_table").collect()) == [1, 2]
+    assert replace_table(good.limit(1), "kept_table") == 1
+    names = [t.name for t in spark.catalog.listTables() if t.name.startswith("kept_table")]
+    assert names == ["kept_table"]
+    spark.sql("DROP TABLE kept_table")
+
+
+def test_appending_never_loses_values(spark):
+    table = "typed_runs"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    one = spark.createDataFrame([(1, 2)], "q int, run_id int")
+    history.append(one, table)
+    with pytest.raises(TypeError, match="q is int"):
+        history.append(spark.createDataFrame([(2.7, 2, "x")], "q double, run_id int, more string"), table)
+    assert spark.table(table).columns == ["q", "run_id"]
+    history.append(spark.createDataFrame([(7, 3)], "q smallint, run_id int"), table)
+    assert sorted(r["q"] for r in spark.table(table).collect()) == [1, 7]
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_summary_follows_from_rows_per_key(spark):
+    a, b = sides(spark, 3)
+    crossed = cross(a, b, "ka", "kb", [])
+    wanted = cross_summary(crossed, key_uniqueness(a, b, "ka", "kb")).first()
+    counted = reconcile_summary(a, b, "ka", "kb")
+    assert counted.first() == wanted
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grid_reads_each_side_twice(spark, tmp_path):
+    a, b = sides(spark, 4)
+    a.write.parquet(str(tmp_path / "a"))
+    b.write.parquet(str(tmp_path / "b"))
+    a, b = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b"))
+    joined = outer_join.full_outer(a, b, [("ka", "kb")], hot_rows=1)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    # once here and once for the counts; the third scan is that of the hot keys
+    assert plan.count("Relation [") == 4
+    assert "Join FullOuter" in plan and "Union" not in plan

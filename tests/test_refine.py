@@ -5,7 +5,6 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.operators import outer_join, records
 from cotejo.operators.state import (
     INVENTORY_SCHEMA,
     VAULT_SCHEMA,
@@ -79,9 +78,7 @@ def assert_invariants(vault):
 
 @pytest.mark.parametrize("seed", [1])
 @pytest.mark.parametrize("hot_rows", [None, 3])
-def test_runs_equal_row_by_row_replay(spark, tmp_path, monkeypatch, seed, hot_rows):
-    if hot_rows:
-        monkeypatch.setattr(outer_join, "HOT_KEYS", 3)
+def test_runs_equal_row_by_row_replay(spark, tmp_path, seed, hot_rows):
     rng = random.Random(seed)
     store = VaultStore(spark, str(tmp_path / "store"))
     replay = Replay()
@@ -187,16 +184,13 @@ def test_stored_id_wins_over_derived_id(spark):
         [("custom-1", "A|n", "uno", "INACTIVO", 0, datetime(2023, 1, 1), "old")], INVENTORY_SCHEMA
     )
     rows = spark.createDataFrame([(1, "A", "n", "x", 1.0, "")], SCHEMA)
-    for limit in (0, 100):
-        records.LOOKUP_ROWS, before = limit, records.LOOKUP_ROWS
-        run = refine(
-            rows, CONFIG, empty(spark, VAULT_SCHEMA), inventory,
-            source_table="uno", job_id="j", at=datetime(2024, 1, 1),
-        )
-        records.LOOKUP_ROWS = before
-        assert {row[0] for row in run.changes.select("entidad_interna_id").collect()} == {"custom-1"}
-        entity = run.inventory().first()
-        assert (entity["estado_entidad"], entity["total_propiedades_activas"]) == ("ACTIVO", 3)
+    run = refine(
+        rows, CONFIG, empty(spark, VAULT_SCHEMA), inventory,
+        source_table="uno", job_id="j", at=datetime(2024, 1, 1),
+    )
+    assert {row[0] for row in run.changes.select("entidad_interna_id").collect()} == {"custom-1"}
+    entity = run.inventory().first()
+    assert (entity["estado_entidad"], entity["total_propiedades_activas"]) == ("ACTIVO", 3)
 
 
 def test_rows_without_key_columns_are_anchored_by_id(spark):
@@ -316,3 +310,53 @@ def test_older_tables_are_aligned(spark, tmp_path):
     )
     entity = store.inventory().first()
     assert (entity["estado_entidad"], entity["tabla_origen"]) == ("ACTIVO", "")
+
+
+def test_a_committed_version_must_be_there(spark, tmp_path):
+    import shutil
+
+    store = VaultStore(spark, str(tmp_path / "store"))
+    assert store.vault().isEmpty() and store.current().isEmpty()
+    store.load(empty(spark, VAULT_SCHEMA), empty(spark, INVENTORY_SCHEMA), datetime(2024, 1, 1))
+    shutil.move(str(tmp_path / "store" / "vault" / "version=1"), str(tmp_path / "elsewhere"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        store.current().count()
+
+
+def test_a_failed_run_is_listed(spark, tmp_path):
+    store = VaultStore(spark, str(tmp_path / "store"))
+    assert store.failures().isEmpty()
+    rows = spark.createDataFrame([(1, "A", "n", "x", 1.0, "")], SCHEMA)
+    config = spark.createDataFrame([("dos", "codigo")], "tabla string, columna_origen string")
+    with pytest.raises(ValueError):
+        run_refine(
+            store, rows, config, source_table="uno", job_id="j9", at=datetime(2024, 1, 1)
+        )
+    failure = store.failures().first()
+    assert failure["job_id"] == "j9" and "no configuration rows" in failure["error"]
+    assert store.version() == 0
+
+
+def test_a_run_reads_its_source_twice(spark, tmp_path):
+    path = str(tmp_path / "source")
+    spark.createDataFrame([(1, "A", "n", "x", 1.0, "")], SCHEMA).write.parquet(path)
+    source = spark.read.parquet(path)
+    written = []
+
+    def keep(counted):
+        written.append(counted._jdf.queryExecution().optimizedPlan().toString())
+        counted.write.parquet(str(tmp_path / "counted"))
+        return spark.read.parquet(str(tmp_path / "counted"))
+
+    run = refine(
+        source, CONFIG, empty(spark, VAULT_SCHEMA), empty(spark, INVENTORY_SCHEMA),
+        source_table="uno", job_id="j", at=datetime(2024, 1, 1), keep=keep,
+    )
+    # the columns of the source are named in its own scans only
+    assert written[0].count("Relation [") == 1
+    changes = run.changes._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("zona" in line for line in changes.splitlines() if "Relation [" in line) == 1
+    stored = spark.createDataFrame(run.changes.collect(), run.changes.schema)
+    for later in (run.inventory(stored), run.summary(stored)):
+        plan = later._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("zona" in line for line in plan.splitlines() if "Relation [" in line)

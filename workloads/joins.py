@@ -55,6 +55,28 @@ def hot_nations(t: Tables) -> DataFrame:
     return full_outer(customers, suppliers, [("c_nationkey", "s_nationkey")], hot_rows=60)
 
 
+@workload(
+    "J1_full_outer_join_many_hot_keys",
+    """WITH a AS (SELECT nullif(l_orderkey % 5, 0) * l_orderkey AS ka, l_linenumber,
+                   CASE WHEN l_linenumber = 1 THEN CAST('-0.0' AS DOUBLE) ELSE l_quantity END AS qty
+            FROM lineitem),
+  b AS (SELECT l_orderkey AS kb, l_linenumber AS other FROM lineitem WHERE l_orderkey % 3 <> 0)
+SELECT ka, l_linenumber, CAST(qty AS VARCHAR) AS qty, kb, other FROM a FULL OUTER JOIN b ON ka = kb""",
+)
+def many_hot_keys(t: Tables) -> DataFrame:
+    """Thousands of hot keys, keys of one side, many NULL keys, and a negative zero that stays."""
+    key = F.col("l_orderkey")
+    signed = F.when(F.col("l_linenumber") == 1, F.lit(-0.0)).otherwise(F.col("l_quantity"))
+    a = t.lineitem.select(
+        (F.nullif(key % 5, F.lit(0)) * key).alias("ka"), "l_linenumber", signed.alias("qty")
+    )
+    b = t.lineitem.filter(key % 3 != 0).select(
+        key.alias("kb"), F.col("l_linenumber").alias("other")
+    )
+    joined = full_outer(a, b, [("ka", "kb")], hot_rows=3)
+    return joined.withColumn("qty", F.col("qty").cast("string"))
+
+
 @workload(
     "J2_text_key",
     f"WITH {DAYS_CROSSED.lstrip()} SELECT llave_cruce, count(*) AS rows FROM j GROUP BY llave_cruce",
@@ -199,6 +221,26 @@ def derived(t: Tables) -> DataFrame:
     return derive(t.lineitem, rules).select("l_orderkey", "l_linenumber", "net", "gross")
 
 
+@workload(
+    "P10_rules_on_bad_rows",
+    """SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_discount <> 0 THEN l_quantity / l_discount END AS per_discount,
+       TRY_CAST(CASE WHEN l_linenumber > 2 THEN l_returnflag ELSE CAST(l_linenumber AS VARCHAR) END
+                AS DOUBLE) + 1 AS number
+FROM lineitem""",
+)
+def rules_on_bad_rows(t: Tables) -> DataFrame:
+    """Zero divisors and texts that are no numbers give NULL in their rows; the rest goes on."""
+    rows = t.lineitem.withColumn(
+        "mixed",
+        F.when(F.col("l_linenumber") > 2, F.col("l_returnflag")).otherwise(
+            F.col("l_linenumber").cast("string")
+        ),
+    )
+    rules = [("per_discount", "l_quantity / l_discount"), ("number", "mixed + 1")]
+    return derive(rows, rules).select("l_orderkey", "l_linenumber", "per_discount", "number")
+
+
 @workload(
     "U1_stack_sources",
     """SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer

@@ -73,6 +73,48 @@ def csv_sink(t: Tables) -> DataFrame:
     return read_csv(t.spark, path, t.supplier.schema)
 
 
+_TEXTS_SQL = """SELECT 'documents' AS kind, doc_id AS id, 0 AS part, text FROM documents
+UNION ALL SELECT 'conversations', conv_id, turn, text FROM conversations
+UNION ALL SELECT 'pages', page_id, 0, html FROM pages"""
+
+
+def _texts(t: Tables) -> DataFrame:
+    """All long texts, with quotes, line ends, blanks at their ends and markup."""
+
+    def named(df: DataFrame, kind: str, key: str, text: str, part: str | None = None) -> DataFrame:
+        return df.select(
+            F.lit(kind).alias("kind"),
+            F.col(key).alias("id"),
+            (F.col(part) if part else F.lit(0)).cast("int").alias("part"),
+            F.col(text).alias("text"),
+        )
+
+    return (
+        named(t.documents, "documents", "doc_id", "text")
+        .unionByName(named(t.conversations, "conversations", "conv_id", "text", "turn"))
+        .unionByName(named(t.pages, "pages", "page_id", "html"))
+    )
+
+
+@workload("S3_csv_source_texts", _TEXTS_SQL)
+def csv_source_texts(t: Tables) -> DataFrame:
+    """Types are inferred from the file."""
+    path = f"{scratch_path(t.spark)}/texts.csv"
+    write_csv(_texts(t), path)
+    return read_source(t.spark, path=path).withColumn("id", F.col("id").cast("bigint"))
+
+
+@workload("S4_csv_sink_texts", _TEXTS_SQL)
+def csv_sink_texts(t: Tables) -> DataFrame:
+    """Replaced once, then appended to, and read with the schema written."""
+    path = f"{scratch_path(t.spark)}/texts.csv"
+    texts = _texts(t)
+    write_csv(texts, path)
+    write_csv(texts.filter("kind = 'documents'"), path)
+    write_csv(texts.filter("kind <> 'documents'"), path, append=True)
+    return read_csv(t.spark, path, texts.schema)
+
+
 def _two_runs(t: Tables) -> tuple[str, list]:
     table = f"{scratch_database(t.spark)}.runs"
     a, b = daily_orders(t), daily_shipments(t)
@@ -129,15 +171,50 @@ def schema_evolution(t: Tables) -> DataFrame:
     return t.spark.table(table).select("o_orderkey", "o_totalprice", "o_orderstatus", "run_id")
 
 
-@workload("S8_next_run_id", "SELECT 1 AS absent, 3 AS after_two, (SELECT count(*) FROM (SELECT DISTINCT l_shipdate FROM lineitem)) >= 0 AS read")
+@workload(
+    "S6_run_without_rows",
+    "SELECT o_orderkey, 1 AS run_id, 2 AS columns, true AS refused FROM orders",
+)
+def run_without_rows(t: Tables) -> DataFrame:
+    """A run without rows leaves the table as it is, and so does one that would lose values."""
+    table = f"{scratch_database(t.spark)}.unchanged"
+    history.append(t.orders.select("o_orderkey", F.lit(1).alias("run_id")), table)
+    none = t.orders.limit(0)
+    run_reconcile(
+        none, none, "o_orderkey", "o_orderkey",
+        [ColumnPair("o_totalprice", "o_totalprice", "DIFERENCIA")],
+        target_table=table, created_at=FIRST, source="batch",
+    )
+    try:
+        history.append(
+            t.orders.select((F.col("o_totalprice") / 7).alias("o_orderkey"), F.lit(2).alias("run_id")),
+            table,
+        )
+        refused = False
+    except TypeError:
+        refused = True
+    rows = t.spark.table(table)
+    return rows.select(
+        "o_orderkey", "run_id", F.lit(len(rows.columns)).alias("columns"), F.lit(refused).alias("refused")
+    )
+
+
+@workload(
+    "S8_next_run_id",
+    """SELECT 1 AS absent, 3 AS after_two,
+       (SELECT CAST(max(extract(year FROM o_orderdate)) AS INTEGER) + 1 FROM orders) AS after_years""",
+)
 def run_numbers(t: Tables) -> DataFrame:
+    """After two runs, without a table, and in a table whose runs are the years of the orders."""
     table, _ = _two_runs(t)
     absent = history.next_run_id(t.spark, f"{table}_absent")
     after = history.next_run_id(t.spark, table)
-    return daily_shipments(t).agg(
+    years = f"{table}_years"
+    history.append(t.orders.select("o_orderkey", F.year("o_orderdate").alias("run_id")), years)
+    return t.spark.range(1).select(
         F.lit(absent).alias("absent"),
         F.lit(after).alias("after_two"),
-        (F.count(F.lit(1)) >= 0).alias("read"),
+        F.lit(history.next_run_id(t.spark, years)).alias("after_years"),
     )
 
 

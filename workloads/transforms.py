@@ -294,6 +294,22 @@ def safe_cast(t: Tables) -> DataFrame:
     )
 
 
+@workload(
+    "T16_decimals_beyond_scale",
+    """SELECT o_orderkey, CASE WHEN round(o_totalprice, 1) = o_totalprice
+            THEN CAST(CAST(o_totalprice AS DECIMAL(38, 1)) AS DOUBLE) END AS one_decimal,
+       o_totalprice AS two_decimals FROM orders""",
+)
+def decimals_beyond_scale(t: Tables) -> DataFrame:
+    """A number with more decimals than its column holds is a bad number, never a shorter one."""
+    clean = to_text(operand(t.orders, "o_totalprice"))
+    return t.orders.select(
+        "o_orderkey",
+        cleaning.typed_value(clean, "moneda", "null", 1).cast("double").alias("one_decimal"),
+        cleaning.typed_value(clean, "moneda", "fail", 2).cast("double").alias("two_decimals"),
+    )
+
+
 def _judged(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left")
 
