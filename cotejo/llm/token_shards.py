@@ -2,9 +2,10 @@
 
 Sequences of ``length`` tokens are numbered through the input, and a keyed Feistel network with
 cycle-walking maps the numbers onto the slots 0 .. n - 1, so any slot can be computed from its
-number and back without a table. Each shard is a range of ``rows`` slots; one task writes it in
-order with a fixed stride, under a temporary name that is moved into place when complete, so a
-task that runs again replaces its shard by the same bytes. A reader seeks to any slot.
+number and back without a table. Each shard is a range of ``rows`` slots; one task puts its
+sequences into their places of a fixed stride and writes it under a temporary name that is moved
+into place when complete, so a task that runs again replaces its shard by the same bytes. A reader
+seeks to any slot. Sequences travel to their shard in compressed blocks.
 
 Numbers are the sequences counted per input partition, added up, plus the place inside the
 partition. That needs an input whose partitions read alike each time: a scan of files, filtered
@@ -24,16 +25,20 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cotejo.llm.common import stored
 
 _U = np.uint64
 ROUNDS = 6
+#: Bytes of sequences that a task gathers before it deals them to their shards.
+PACKED = 1 << 25
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -136,11 +141,44 @@ def write_shards(
             starts[part] = n
             n += counts[part]
 
+        id_arrow = to_arrow_type(ids.schema["id"].dataType)
+
+        def packed(shards: np.ndarray, slots: np.ndarray, rows_of: list[list]) -> pa.RecordBatch:
+            """One row per shard, its sequences' bytes put together and compressed."""
+            order = np.argsort(shards, kind="stable")
+            edges = np.flatnonzero(np.diff(shards[order], prepend=-1))
+            groups = [at.tolist() for at in np.split(order, edges[1:])] if len(order) else []
+            names, seq_nos, sizes, data = rows_of
+            squeeze = zstandard.ZstdCompressor(level=3).compress
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(shards[g[0]]) for g in groups], pa.int64()),
+                    pa.array([[names[i] for i in g] for g in groups], pa.list_(id_arrow)),
+                    pa.array([[seq_nos[i] for i in g] for g in groups], pa.list_(pa.int32())),
+                    pa.array([[sizes[i] for i in g] for g in groups], pa.list_(pa.int32())),
+                    pa.array([slots[g] for g in groups], pa.list_(pa.int64())),
+                    pa.array([squeeze(b"".join(data[i] for i in g)) for g in groups], pa.binary()),
+                ],
+                names=["shard", "ids", "seq_nos", "sizes", "slots", "data"],
+            )
+
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId()
             at, end = starts.get(part, 0), starts.get(part, 0) + counts.get(part, 0)
+            held: list[list] = [[], [], [], []]
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                nonlocal at, held, size
+                slots = permute(np.arange(at, at + len(held[0])), n, key)
+                at += len(held[0])
+                if at > end:
+                    raise RuntimeError("the input does not read alike twice; store it first")
+                block = packed(slots // rows, slots, held)
+                held, size = [[], [], [], []], 0
+                return block
+
             for batch in batches:
-                out: list[list] = [[], [], [], []]
                 for name, tokens in zip(
                     batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True
                 ):
@@ -150,75 +188,71 @@ def write_shards(
                     step = length * width
                     for seq_no, place in enumerate(range(0, len(data), step)):
                         piece = data[place : place + step]
-                        for values, value in zip(
-                            out, (name, seq_no, len(piece) // width, piece), strict=True
-                        ):
+                        row = (name, seq_no, len(piece) // width, piece)
+                        for values, value in zip(held, row, strict=True):
                             values.append(value)
-                numbers = np.arange(at, at + len(out[0]))
-                at += len(numbers)
-                if at > end:
-                    raise RuntimeError("the input does not read alike twice; store it first")
-                slots = permute(numbers, n, key)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(out[0], batch.schema.field(0).type),
-                        pa.array(out[1], pa.int32()),
-                        pa.array(out[2], pa.int32()),
-                        pa.array(slots),
-                        pa.array(slots // rows),
-                        pa.array(out[3], pa.binary()),
-                    ],
-                    names=["id", "seq_no", "n_tokens", "slot", "shard", "data"],
-                )
+                    size += len(data)
+                    if size >= PACKED:
+                        yield flush()
+            yield flush()
             if at != end:
                 raise RuntimeError("the input does not read alike twice; store it first")
 
         id_type = ids.schema["id"].dataType.simpleString()
-        placed = f"id {id_type}, seq_no int, n_tokens int, slot bigint, shard bigint"
+        placed = f"id {id_type}, seq_no int, n_tokens int, slot bigint, shard bigint, offset bigint"
         filler = np.full(length, pad, dtype).tobytes()
+        stride = length * width
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
             attempt = TaskContext.get().taskAttemptId()
-            shard, stream, after = -1, None, 0
+            expand = zstandard.ZstdDecompressor().decompress
+            shard, whole, filled = -1, bytearray(), np.zeros(0, np.int64)
 
             def done() -> None:
-                if stream is not None:
-                    if after != min(n, (shard + 1) * rows):
-                        raise RuntimeError(f"shard {shard} ends at slot {after}")
-                    stream.close()
-                    system.move(f"{root}/tmp-{shard}-{attempt}", f"{root}/{shard_name(shard)}")
+                if shard < 0:
+                    return
+                if not (filled == 1).all():
+                    raise RuntimeError(f"shard {shard} lacks or repeats slots")
+                with system.open_output_stream(f"{root}/tmp-{shard}-{attempt}") as stream:
+                    stream.write(bytes(whole))
+                system.move(f"{root}/tmp-{shard}-{attempt}", f"{root}/{shard_name(shard)}")
 
             for batch in batches:
-                slots = batch.column(3).to_numpy()
-                for row, data in enumerate(batch.column(5).to_pylist()):
-                    slot = int(slots[row])
-                    if slot // rows != shard:
+                for row in range(batch.num_rows):
+                    here = batch.column(0)[row].as_py()
+                    if here != shard:
                         done()
-                        shard = slot // rows
-                        stream = system.open_output_stream(f"{root}/tmp-{shard}-{attempt}")
-                        after = shard * rows
-                    if slot != after:
-                        raise RuntimeError(f"slot {slot} where {after} should be")
-                    after += 1
-                    stream.write(data + filler[len(data) :])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.columns[:5],
-                        pa.array((slots % rows) * length * width),
-                    ],
-                    names=["id", "seq_no", "n_tokens", "slot", "shard", "offset"],
-                )
+                        shard = here
+                        filled = np.zeros(min(rows, n - shard * rows), np.int64)
+                        whole = bytearray(filler * len(filled))
+                    names, seq_nos, sizes, slots = (batch.column(c)[row].values for c in range(1, 5))
+                    data, at = expand(batch.column(5)[row].as_py()), 0
+                    places = slots.to_numpy() - shard * rows
+                    np.add.at(filled, places, 1)
+                    for place, size in zip(places.tolist(), sizes.to_pylist(), strict=True):
+                        size *= width
+                        whole[place * stride : place * stride + size] = data[at : at + size]
+                        at += size
+                    shards = np.full(len(places), shard, np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [names, seq_nos, sizes, slots, pa.array(shards), pa.array(places * stride)],
+                        names=["id", "seq_no", "n_tokens", "slot", "shard", "offset"],
+                    )
             done()
 
         meta = {"n": n, "length": length, "rows": rows, "dtype": dtype, "pad": pad, "key": key}
         system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         system.create_dir(root)
         (
-            ids.mapInArrow(cut, f"{placed}, data binary")
+            ids.mapInArrow(
+                cut,
+                f"shard bigint, ids array<{id_type}>, seq_nos array<int>, sizes array<int>, "
+                "slots array<bigint>, data binary",
+            )
             .repartition("shard")
-            .sortWithinPartitions("shard", "slot")
-            .mapInArrow(write, f"{placed}, offset bigint")
+            .sortWithinPartitions("shard")
+            .mapInArrow(write, placed)
             .write.parquet(f"{folder}/manifest")
         )
         with system.open_output_stream(f"{root}/meta.json") as out:
