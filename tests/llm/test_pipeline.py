@@ -43,7 +43,7 @@ def test_stages_change_what_they_say(spark):
         assert got[doc_id]["text"] == text and got[doc_id]["n_chars"] == len(text)
 
     single = stages["simhash_near_dedup"](spark, lined, FOLDER)
-    prints = np.array([plain_fingerprint(got[i]["text"]) for i in ids], np.uint64)
+    prints = np.array([plain_fingerprint(got[i]["text"], 5) for i in ids], np.uint64)
     near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
     least = least_reachable(near, ids)
     single = spark.createDataFrame(single.collect(), docs.schema)
