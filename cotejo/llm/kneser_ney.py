@@ -34,11 +34,11 @@ from cotejo.llm.common import scratch_folder, stored, text_of, with_columns
 #: Documents per shard; words per shard of a dense array; words kept looked up by a worker.
 SHARD_DOCS = 1 << 14
 BLOCK_BITS = 18
-CACHE = 600_000
+CACHE = 400_000
 #: A first word with this many times the mean of a shard is dealt by both words.
 HOT_SHARE = 0.125
 HOT_PARTS = 64
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 END = b"\n"
 
 
@@ -110,13 +110,13 @@ class _Numbering:
         return np.fromiter((known[w] for words in texts for w in words), np.int64, total)
 
 
-def _groups(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
-    """Texts in runs of about so many characters."""
+def _groups(texts: list[str], most: int = 3_000_000) -> Iterator[list[str]]:
+    """Texts in runs of about so many characters, which bounds what a worker holds."""
     held, size = [], 0
     for text in texts:
         held.append(text)
         size += len(text)
-        if size >= 6 * most:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
@@ -240,16 +240,11 @@ def count_pairs(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbering = _Numbering(words)
         for batch in batches:
-            held = []
             for texts in _groups(batch.column(0).to_pylist()):
                 numbers, before, _ = _runs(texts, numbering)
-                held.append(np.unique(before << 32 | numbers, return_counts=True))
-            codes = np.concatenate([c for c, _ in held]) if held else np.zeros(0, np.int64)
-            counts = np.concatenate([n for _, n in held]) if held else np.zeros(0, np.int64)
-            for start in range(0, len(codes), BUFFER):
-                c, n = codes[start : start + BUFFER], counts[start : start + BUFFER]
+                codes, counts = np.unique(before << 32 | numbers, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(dealing.shard(c)), pa.array(c), pa.array(n)],
+                    [pa.array(dealing.shard(codes)), pa.array(codes), pa.array(counts)],
                     names=["shard", "code", "n"],
                 )
 
