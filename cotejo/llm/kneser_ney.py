@@ -34,11 +34,11 @@ from cotejo.llm.common import scratch_folder, stored, text_of, with_columns
 #: Documents per shard; words per shard of a dense array; words kept looked up by a worker.
 SHARD_DOCS = 1 << 14
 BLOCK_BITS = 18
-CACHE = 400_000
+CACHE = 200_000
 #: A first word with this many times the mean of a shard is dealt by both words.
 HOT_SHARE = 0.125
 HOT_PARTS = 64
-BUFFER = 1 << 21
+BUFFER = 1 << 20
 END = b"\n"
 
 
@@ -136,15 +136,22 @@ def _runs(texts: list[str], numbering: _Numbering) -> tuple[np.ndarray, np.ndarr
 
 def count_words(docs: DataFrame, folder: str, bits: int, text_col: str) -> Words:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
+        held: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
             hashes = pa.array(np.fromiter(map(_hash, held), np.int64, len(held)))
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [hashes, pa.array(list(held.values()), pa.int64())], names=["h", "n"]
             )
 
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.update(words_of(text))
+                if len(held) >= CACHE:
+                    yield counted()
+                    held.clear()
+        yield counted()
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, shard, out, totals = TaskContext.get().taskAttemptId(), -1, None, [0, 0]
         for batch in batches:
