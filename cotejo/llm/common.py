@@ -71,6 +71,11 @@ def row_key(*columns: Column) -> Column:
     )
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns behind the others; a column of the same name (in any case) is replaced."""
     taken = {name.lower() for name in columns}

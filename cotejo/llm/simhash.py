@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.llm.common import LOWER, UPPER, stored, text_of, with_columns
+from cotejo.llm.common import LOWER, UPPER, stored, text_hash, text_of, with_columns
 from cotejo.llm.components import components
 
 WIDTH = 64
@@ -289,6 +289,14 @@ def links(prints: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
     )
 
 
+def _rooted(nodes: DataFrame, bits: int, block: int) -> DataFrame:
+    """The rows of ``nodes``, one per fingerprint, with the ``root`` of their group."""
+    roots = components(links(nodes, bits, block))
+    return nodes.join(roots, nodes["simhash"] == roots["node"], "left").select(
+        *[nodes[c] for c in nodes.columns], F.coalesce("root", "simhash").alias("root")
+    )
+
+
 def simhash_groups(
     docs: DataFrame,
     size: int = 4,
@@ -304,10 +312,7 @@ def simhash_groups(
     nodes = stored(
         marked.groupBy("simhash").agg(F.min("_id").alias("least")), "simhash-nodes"
     )
-    roots = components(links(nodes, bits, block))
-    rooted = nodes.join(roots, nodes["simhash"] == roots["node"], "left").select(
-        "simhash", "least", F.coalesce("root", "simhash").alias("root")
-    )
+    rooted = _rooted(nodes, bits, block)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("simhash", "component_id")
     return marked.join(named, "simhash", "left").select(
@@ -324,8 +329,27 @@ def near_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The documents with the smallest id of their group; of rows with equal ids one stays."""
-    groups = simhash_groups(docs, size, bits, id_col, text_col)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    same = docs[id_col].eqNullSafe(kept[id_col])
-    return docs.join(kept, same, "left_semi").dropDuplicates([id_col])
+    """Of each group the document with the smallest id; a text's hash decides between equal ids, and
+    NULL ids come last. Rows that repeat both the id and the text of a survivor count as it."""
+    ids = docs.select(
+        F.col(id_col).alias("_id"),
+        text_hash(text_of(text_col)).alias("_hash"),
+        F.col(text_col).alias("_text"),
+    )
+    marked = stored(fingerprints(ids, size, "_text"), "simhash")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("first")
+    nodes = stored(marked.groupBy("simhash").agg(first), "simhash-nodes")
+    kept = (
+        _rooted(nodes, bits, BLOCK)
+        .groupBy("root")
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first._id").alias("_kept_id"), F.col("first._hash").alias("_kept_hash"))
+    )
+    return _survivors(docs, kept, id_col, text_col)
+
+
+def _survivors(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of the ids and text hashes in ``kept``, one of each."""
+    hashed = with_columns(docs, _hash=text_hash(text_of(text_col)))
+    same = (hashed["_hash"] == kept["_kept_hash"]) & hashed[id_col].eqNullSafe(kept["_kept_id"])
+    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")

@@ -124,3 +124,12 @@ def test_groups_and_dedup_of_odd_rows(odd_docs, no_docs, make):
     assert kept[4] == kept[1] == kept[11] == kept[19] == 1
     assert not {2, 3, 12, 13} & set(kept)
     assert simhash_groups(no_docs).count() == 0
+
+
+def test_dedup_keeps_different_documents_that_share_an_id(make):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(8)]
+    copy, other, *clean = texts
+    rows = [(2, copy), (5, copy), (5, other), (5, other), *[(None, t) for t in clean], (None, copy)]
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dedup(make(rows)).collect())
+    assert kept == Counter([(2, copy), (5, other), *[(None, t) for t in clean]])
