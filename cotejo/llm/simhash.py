@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from cotejo.llm.common import LOWER, UPPER, stored, text_hash, text_of, with_columns
 from cotejo.llm.components import components
+from cotejo.llm.similar import similar_texts
 
 WIDTH = 64
 BLOCK = 2048
@@ -328,20 +329,31 @@ def near_dedup(
     bits: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
+    similarity: float | None = None,
 ) -> DataFrame:
     """Of each group the document with the smallest id; a text's hash decides between equal ids, and
-    NULL ids come last. Rows that repeat both the id and the text of a survivor count as it."""
+    NULL ids come last. Rows that repeat both the id and the text of a survivor count as it.
+
+    With ``similarity`` documents are linked by the exact Jaccard similarity of their shingles
+    instead of by the bits of their fingerprints."""
     ids = docs.select(
         F.col(id_col).alias("_id"),
         text_hash(text_of(text_col)).alias("_hash"),
         F.col(text_col).alias("_text"),
     )
-    marked = stored(fingerprints(ids, size, "_text"), "simhash")
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("first")
-    nodes = stored(marked.groupBy("simhash").agg(first), "simhash-nodes")
+    if similarity is None:
+        marked = stored(fingerprints(ids, size, "_text"), "simhash")
+        nodes = stored(marked.groupBy("simhash").agg(first), "simhash-nodes")
+        rooted = _rooted(nodes, bits, BLOCK)
+    else:
+        nodes = ids.groupBy("_hash").agg(first)
+        roots = similar_texts(docs, size, similarity, text_col)
+        rooted = nodes.join(roots, nodes["_hash"] == roots["node"], "left").select(
+            "first", F.coalesce("root", "_hash").alias("root")
+        )
     kept = (
-        _rooted(nodes, bits, BLOCK)
-        .groupBy("root")
+        rooted.groupBy("root")
         .agg(F.min("first").alias("first"))
         .select(F.col("first._id").alias("_kept_id"), F.col("first._hash").alias("_kept_hash"))
     )
