@@ -123,15 +123,18 @@ def count_lines(
     min_docs: int = 10,
     min_chars: int = 1,
     fan_in: int = 4,
+    per_text: bool = False,
 ) -> DataFrame:
-    """Hashes of the lines found in at least ``min_docs`` documents of all batches."""
+    """Hashes of the lines found in at least ``min_docs`` documents of all batches, or with
+    ``per_text`` in so many different texts; equal texts must be in one batch then."""
     runs = LineRuns(spark, min_docs, fan_in)
     for batch in batches:
-        runs.add(
-            batch.select(
-                F.array_distinct(line_hashes(text_of(text_col), min_chars)).alias("hashes")
-            )
-        )
+        hashes = F.array_distinct(line_hashes(text_of(text_col), min_chars)).alias("hashes")
+        if per_text:
+            found = batch.select(row_key(text_of(text_col)).alias("key"), hashes)
+            runs.add(found.dropDuplicates(["key"]).select("hashes"))
+        else:
+            runs.add(batch.select(hashes))
     return runs.finish()
 
 
@@ -190,8 +193,10 @@ def line_dedup(
     min_chars: int = 1,
     batches: int = 4,
     fan_in: int = 4,
+    per_text: bool = False,
 ) -> DataFrame:
-    """Counts the lines of all documents in batches, then drops the frequent ones everywhere."""
+    """Counts the lines of all documents in batches, then drops the frequent ones everywhere. With
+    ``per_text`` equal texts count once, so that copies alone do not make their lines frequent."""
     frequent = count_lines(
         in_batches(docs, text_col, batches),
         docs.sparkSession,
@@ -199,5 +204,6 @@ def line_dedup(
         min_docs,
         min_chars,
         fan_in,
+        per_text,
     )
     return drop_lines(docs, frequent, text_col, min_chars)

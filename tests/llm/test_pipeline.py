@@ -97,3 +97,14 @@ def test_run_gives_the_last_stage(spark):
     assert rows and all(r["round_trip"] for r in rows)
     assert max(Counter(r["doc_id"] for r in rows).values()) == 1
     assert all(re.fullmatch(r"\d+", str(r["n_tokens"])) for r in rows)
+
+
+def test_shared_lines_go_from_pages_and_copies_alike(make):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    legal = "All rights are reserved by the owners of this page."
+    own = [f"Line {i} of the copied text." for i in range(3)]
+    texts = [f"{legal}\nPage {i}" for i in range(12)] + ["\n".join([legal, *own])] * 15
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    out = dict(corpus_pipeline.STAGES)["line_dedup"](None, make(rows, schema), FOLDER).collect()
+    got = {r["doc_id"]: r["text"] for r in out}
+    assert got == {i: f"Page {i}" if i < 12 else "\n".join(own) for i in range(27)}
