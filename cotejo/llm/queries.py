@@ -17,6 +17,7 @@ from cotejo.llm.line_dedup import line_dedup
 from cotejo.llm.quality_rules import quality_rules
 from cotejo.llm.simhash import simhash_groups
 from cotejo.llm.suffix_dedup import remove_repeats
+from cotejo.llm.token_counts import token_counts
 from cotejo.llm.token_shards import write_shards
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -147,6 +148,14 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    tokenizer = rank_file("word_bpe_49k.json").decode()
+    return token_counts(docs, tokenizer, limit=2048).select(
+        "doc_id", "n_bytes", "n_tokens", "over_limit"
+    )
+
+
 WORDS_SQL = r"""list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
 OP2_SQL = r"""
@@ -270,6 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_knn_quality": op9_knn_quality,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_counts": op11_token_counts,
 }
 
 SQL: dict[str, str] = {
