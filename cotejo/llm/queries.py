@@ -16,6 +16,7 @@ from cotejo.llm.labelled import part_of
 from cotejo.llm.line_dedup import line_dedup
 from cotejo.llm.quality_rules import quality_rules
 from cotejo.llm.simhash import simhash_groups
+from cotejo.llm.spelling_variants import spelling_variants, word_counts
 from cotejo.llm.suffix_dedup import remove_repeats
 from cotejo.llm.token_counts import token_counts
 from cotejo.llm.token_shards import write_shards
@@ -156,6 +157,11 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spelling_variants(word_counts(docs, min_chars=7, min_count=2, damage=31), ratio=10)
+
+
 WORDS_SQL = r"""list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
 OP2_SQL = r"""
@@ -280,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_knn_quality": op9_knn_quality,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_counts": op11_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 SQL: dict[str, str] = {
