@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cotejo.llm import kneser_ney, knn_quality, toxicity
 from cotejo.llm.bpe import encode
 from cotejo.llm.common import scratch_folder, text_of
+from cotejo.llm.conversation_repair import damaged, repair
 from cotejo.llm.decontaminate import decontaminate
 from cotejo.llm.labelled import part_of
 from cotejo.llm.line_dedup import line_dedup
@@ -162,6 +163,10 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(word_counts(docs, min_chars=7, min_count=2, damage=31), ratio=10)
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair(damaged(table(spark, folder, "conversations")))
+
+
 WORDS_SQL = r"""list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
 OP2_SQL = r"""
@@ -287,6 +292,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_counts": op11_token_counts,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL: dict[str, str] = {
