@@ -78,24 +78,63 @@ def audit_hash(clean: Column) -> Column:
     return F.sha2(F.coalesce(clean, F.lit("")), 256)
 
 
+#: What is left of a number after cleaning, and is one: digits with at most one point and sign.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+MOST_DIGITS = 38  # of a decimal; longer numbers stay texts
+
+
+def number_digits(clean: Column) -> tuple[Column, Column]:
+    """Digits before and after the point that the number needs, leading and trailing zeros not
+    counted; NULL for what is no number."""
+    number = F.when(clean.rlike(NUMBER), clean)
+    whole = F.regexp_extract(number, r"^[+-]?0*([0-9]*)", 1)
+    decimals = F.regexp_extract(number, r"[.]([0-9]*?)0*$", 1)
+    return F.length(whole), F.length(decimals)
+
+
+def number_type(whole: int | None, decimals: int | None) -> str:
+    """The narrowest type that holds numbers of so many digits: a decimal, or text beyond 38."""
+    whole, decimals = whole or 0, decimals or 0
+    digits = max(1, whole + decimals)
+    return f"decimal({digits},{decimals})" if digits <= MOST_DIGITS else "string"
+
+
 def typed_value(
     clean: Column,
     generic_type: str,
     on_bad_number: str = "fail",
-    scale: int = NUMBER_SCALE,
+    scale: int | str = NUMBER_SCALE,
 ) -> Column:
-    """The clean text as decimal(38, scale) for numeric types, else unchanged.
+    """The clean text as a number for numeric types, else unchanged.
 
-    A text that is no number, or has more decimals than the scale holds, is a bad number.
+    ``scale`` is the type from ``number_type``, which holds the numbers it was planned for, or a
+    count of decimals for decimal(38, scale). A text that is no number, or one of more digits than
+    the type holds, is a bad number. As text a number loses its plus sign and outer zeros.
     """
     if not is_numeric_type(generic_type):
         return clean
     digits = F.nullif(clean, F.lit(""))
-    decimals = F.length(F.regexp_extract(digits, r"\.(\d*?)0*$", 1))
-    number = F.when(decimals <= scale, digits.try_cast(f"decimal(38,{scale})"))
+    kind = f"decimal({MOST_DIGITS},{scale})" if isinstance(scale, int) else scale
+    if kind == "string":
+        number = F.when(digits.rlike(NUMBER), _plain(digits))
+    else:
+        held = int(kind.rstrip(")").split(",")[1])
+        decimals = F.length(F.regexp_extract(digits, r"\.(\d*?)0*$", 1))
+        number = F.when(decimals <= held, digits.try_cast(kind))
     if on_bad_number == "null":
         return number
     if on_bad_number != "fail":
         raise ValueError("on_bad_number must be 'fail' or 'null'")
-    message = F.concat(F.lit(f"not a number of up to {scale} decimals: "), digits)
+    message = F.concat(F.lit(f"not a number of type {kind}: "), digits)
     return F.when(digits.isNotNull() & number.isNull(), F.raise_error(message)).otherwise(number)
+
+
+def _plain(digits: Column) -> Column:
+    sign = F.when(digits.startswith("-"), "-").otherwise("")
+    whole = F.regexp_extract(digits, r"^[+-]?0*([0-9]*)", 1)
+    decimals = F.regexp_extract(digits, r"[.]([0-9]*?)0*$", 1)
+    number = F.concat(
+        F.when(whole == "", "0").otherwise(whole),
+        F.when(decimals == "", "").otherwise(F.concat(F.lit("."), decimals)),
+    )
+    return F.when(number == "0", "0").otherwise(F.concat(sign, number))

@@ -28,7 +28,7 @@ def run_materialize(
     source_table: str,
     target_table: str,
     on_bad_number: str = "fail",
-    scales: Mapping[str, int] | None = None,
+    scales: Mapping[str, int | str] | None = None,
     failures_table: str | None = None,
     job_id: str | None = None,
 ) -> MaterializeRun:
@@ -64,7 +64,7 @@ def _materialize(
     source_table: str,
     target_table: str,
     on_bad_number: str,
-    scales: Mapping[str, int] | None,
+    scales: Mapping[str, int | str] | None,
 ) -> MaterializeRun:
     rows = load_config(config, source_table)
     columns = sum(row.guardar for row in rows) + FIXED_COLUMNS

@@ -1,10 +1,13 @@
 import random
 from collections import Counter
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from cotejo.functions.cleaning import number_digits, number_type, typed_value
+from cotejo.operators.pivot import wide_entities
 from cotejo.operators.state import (
     INVENTORY_SCHEMA,
     VAULT_SCHEMA,
@@ -360,3 +363,56 @@ def test_a_run_reads_its_source_twice(spark, tmp_path):
     for later in (run.inventory(stored), run.summary(stored)):
         plan = later._jdf.queryExecution().optimizedPlan().toString()
         assert not any("zona" in line for line in plan.splitlines() if "Relation [" in line)
+
+
+def _wide_vault(spark, entities: int, properties: int):
+    """Current rows of entities, some properties missing or NULL, one value with odd characters."""
+    ids = spark.range(entities).select(F.col("id").cast("string").alias("entidad_interna_id"))
+    names = F.explode(F.sequence(F.lit(0), F.lit(properties - 1))).alias("p")
+    value = F.when(F.col("p") % 7 == 3, None).otherwise(
+        F.concat(F.col("entidad_interna_id"), F.lit('"\\é.'), F.col("p"))
+    )
+    number = F.concat(F.col("entidad_interna_id"), F.lit("."), F.col("p"))
+    return ids.select("*", names).where("(entidad_interna_id + p) % 11 <> 5").select(
+        "entidad_interna_id",
+        F.concat(F.lit("K"), "entidad_interna_id").alias("llave_humana_completa"),
+        F.concat(F.lit("p `x`."), F.col("p")).alias("propiedad_origen"),
+        F.when(F.col("p") % 5 == 0, number).otherwise(value).alias("valor_limpio"),
+        F.lit("uno").alias("tabla_origen"),
+        F.lit("VIGENTE").alias("estado"),
+        F.lit("carga_masiva").alias("origen_dato"),
+        F.lit(None).cast("string").alias("creado_por"),
+        F.lit(datetime(2024, 1, 1)).alias("desde"),
+    )
+
+
+def test_pivot_by_map_equals_pivot_by_conditions(spark):
+    vault = _wide_vault(spark, 30, 60).unionByName(_wide_vault(spark, 3, 2)).cache()
+    config = [
+        ConfigRow(f"p `x`.{i}", "numero" if i % 5 == 0 else "texto") for i in range(62)
+    ]
+    one, two = (
+        wide_entities(vault, config, source_table="uno", map_from=n) for n in (1, 1000)
+    )
+    assert one.schema == two.schema
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    types = {f.name: f.dataType.simpleString() for f in one.schema}
+    assert types["p `x`.55"] == "decimal(4,2)" and types["p `x`.60"] == "decimal(1,0)"
+
+
+def test_numbers_of_any_scale(spark):
+    texts = ["+007.50", "-0", ".5", "5.", "8.219999999999999", "-508.05999999999995", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "valor_limpio string")
+    whole, decimals = number_digits(F.col("valor_limpio"))
+    most = rows.agg(F.max(whole), F.max(decimals)).first()
+    kind = number_type(*most)
+    assert kind == "decimal(18,15)"
+    for scale in (kind, "string"):
+        typed = rows.select("valor_limpio", typed_value(F.col("valor_limpio"), "peso", scale=scale))
+        for text, number in typed.collect():
+            assert number is None if not text else Decimal(number) == Decimal(text)
+    assert number_type(30, 9) == "string" and number_type(None, None) == "decimal(1,0)"
+    for bad in ("1.2.3", "+-1", ".", "-", "1-"):
+        one = spark.createDataFrame([(bad,)], "v string")
+        for scale in ("string", "decimal(5,2)", 3):
+            assert one.select(typed_value(F.col("v"), "peso", "null", scale)).first()[0] is None

@@ -253,8 +253,48 @@ FROM vault WHERE estado = 'VIGENTE' GROUP BY k""",
 )
 def materialized(t: Tables) -> DataFrame:
     """The wide table after the second snapshot is that snapshot, cleaned."""
-    wide = wide_entities(second_run(t).vault, CUSTOMER_CONFIG, source_table="clientes")
-    return with_days(wide, "actualizado_en").withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
+    store, _ = stored_runs(t)
+    table = f"{scratch_database(t.spark)}.wide"
+    config = config_table(t, "clientes", CUSTOMER_CONFIG)
+    run_materialize(store.vault(), config, source_table="clientes", target_table=table)
+    wide = with_days(t.spark.table(table), "actualizado_en")
+    return wide.withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
+
+
+@workload(
+    "R10_numbers_of_any_scale",
+    """WITH n AS (SELECT o_orderkey AS k, CAST(o_orderkey % 1000003 AS VARCHAR) AS w,
+       lpad(CAST(o_orderkey AS VARCHAR), 17, '7') AS d, o_orderkey % 18 AS s FROM orders)
+SELECT CAST(k AS VARCHAR) AS llave_humana_completa,
+       rtrim(CAST(CAST(w || '.' || left(d, CAST(s AS INTEGER)) || '0' AS DECIMAL(38, 17)) AS VARCHAR), '0') AS medida,
+       ltrim(w || d || d || d, '0') AS larga
+FROM n""",
+)
+def any_scale(t: Tables) -> DataFrame:
+    """Numbers of 0 to 17 decimals share a column without losing a digit; beyond 38 they are texts."""
+    whole = (F.col("o_orderkey") % 1000003).cast("string")
+    digits = F.lpad(F.col("o_orderkey").cast("string"), 17, "7")
+    cut = F.substring(digits, F.lit(1), (F.col("o_orderkey") % 18).cast("int"))
+    source = t.orders.select(
+        "o_orderkey",
+        F.concat(whole, F.lit("."), cut).alias("medida"),
+        F.concat(whole, digits, digits, digits).alias("larga"),
+    )
+    config = [
+        ConfigRow("o_orderkey", es_llave=True, guardar=False),
+        ConfigRow("medida", "superficie"),
+        ConfigRow("larga", "numero"),
+    ]
+    store = VaultStore(t.spark, f"{scratch_path(t.spark)}/store")
+    rows = config_table(t, "pedidos", config)
+    run_refine(store, source, rows, source_table="pedidos", job_id="job-1", at=FIRST)
+    table = f"{scratch_database(t.spark)}.wide"
+    run_materialize(store.vault(), rows, source_table="pedidos", target_table=table)
+    return t.spark.table(table).select(
+        "llave_humana_completa",
+        F.rtrim(F.col("medida").cast("string"), F.lit("0")).alias("medida"),
+        "larga",
+    )
 
 
 @workload(
