@@ -13,7 +13,9 @@ the links that join what is not yet connected inside it, so a group of n gives n
 
 Defined results: a text with fewer words than a shingle is one shingle; a NULL text or one without
 words has the fingerprint zero, which is linked like any other; NULL ids are never the smallest of
-a group; repeated rows share their group; an empty table gives no rows.
+a group; repeated rows share their group; an empty table gives no rows. A long text is hashed whole,
+in one row's memory. Names of input columns are free: groups are found on renamed copies of the id
+and the text, and a column that is added replaces one of its name in any case.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from pyspark.sql import types as T
 
 from cotejo.llm.common import LOWER, UPPER, stored, text_hash, text_of, with_columns
 from cotejo.llm.components import components
-from cotejo.llm.similar import similar_texts
 
 WIDTH = 64
 BLOCK = 2048
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, size: int = 4, text_col: str = "text") -> Data
     source = with_columns(docs, _text=text_of(text_col))
     if text_col != "_text":
         source = source.drop(text_col)
-    rest = [f for f in source.schema.fields if f.name not in ("_text", "simhash")]
+    rest = [f for f in source.schema.fields if f.name.lower() not in ("_text", "simhash")]
     out = T.StructType([*rest, T.StructField("simhash", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +138,12 @@ def _cost(n: int, differ: np.ndarray, threshold: int) -> float:
 
 
 def allocate(n: int, both: np.ndarray, bits: int) -> list[tuple[list[int], int]]:
-    """Groups of bits with their thresholds, at least expected cost; those of -1 are left out."""
+    """Groups of bits with their thresholds, at least expected cost; those of -1 are left out.
+
+    No fingerprints need no plan: every cost would be zero, that of a plan with most masks included.
+    """
+    if not n:
+        return []
     share = both.diagonal() / max(n, 1)
     differ = 2 * share * (1 - share)
     best: tuple[float, list] = (float("inf"), [])
@@ -323,37 +329,44 @@ def simhash_groups(
     )
 
 
+def with_group(
+    docs: DataFrame,
+    group_col: str,
+    size: int = 4,
+    bits: int = 4,
+    text_col: str = "text",
+) -> DataFrame:
+    """Adds the root fingerprint of each row's group, the same for all near copies of a text."""
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = stored(fingerprints(docs.select(rows, text_of(text_col).alias("text")), size), "simhash")
+    nodes = stored(marked.select("simhash").distinct(), "simhash-nodes")
+    roots = components(links(nodes, bits)).where("node <> root")
+    joined = marked.join(stored(roots, "roots"), marked["simhash"] == F.col("node"), "left")
+    group = F.coalesce("root", "simhash").alias(group_col)
+    rest = [c for c in docs.columns if c.lower() != group_col.lower()]
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in rest], group)
+
+
 def near_dedup(
     docs: DataFrame,
     size: int = 4,
     bits: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
-    similarity: float | None = None,
 ) -> DataFrame:
     """Of each group the document with the smallest id; a text's hash decides between equal ids, and
-    NULL ids come last. Rows that repeat both the id and the text of a survivor count as it.
-
-    With ``similarity`` documents are linked by the exact Jaccard similarity of their shingles
-    instead of by the bits of their fingerprints."""
+    NULL ids come last. Rows that repeat both the id and the text of a survivor count as it."""
     ids = docs.select(
         F.col(id_col).alias("_id"),
         text_hash(text_of(text_col)).alias("_hash"),
         F.col(text_col).alias("_text"),
     )
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("first")
-    if similarity is None:
-        marked = stored(fingerprints(ids, size, "_text"), "simhash")
-        nodes = stored(marked.groupBy("simhash").agg(first), "simhash-nodes")
-        rooted = _rooted(nodes, bits, BLOCK)
-    else:
-        nodes = ids.groupBy("_hash").agg(first)
-        roots = similar_texts(docs, size, similarity, text_col)
-        rooted = nodes.join(roots, nodes["_hash"] == roots["node"], "left").select(
-            "first", F.coalesce("root", "_hash").alias("root")
-        )
+    marked = stored(fingerprints(ids, size, "_text"), "simhash")
+    nodes = stored(marked.groupBy("simhash").agg(first), "simhash-nodes")
     kept = (
-        rooted.groupBy("root")
+        _rooted(nodes, bits, BLOCK)
+        .groupBy("root")
         .agg(F.min("first").alias("first"))
         .select(F.col("first._id").alias("_kept_id"), F.col("first._hash").alias("_kept_hash"))
     )
@@ -362,6 +375,10 @@ def near_dedup(
 
 def _survivors(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of the ids and text hashes in ``kept``, one of each."""
-    hashed = with_columns(docs, _hash=text_hash(text_of(text_col)))
-    same = (hashed["_hash"] == kept["_kept_hash"]) & hashed[id_col].eqNullSafe(kept["_kept_id"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    hashed = docs.select(
+        rows, F.col(id_col).alias("id"), text_hash(text_of(text_col)).alias("hash")
+    )
+    same = (F.col("hash") == F.col("_kept_hash")) & F.col("id").eqNullSafe(F.col("_kept_id"))
+    found = hashed.join(kept, same, "left_semi").dropDuplicates(["id", "hash"])
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -7,13 +7,40 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 from test_simhash import least_reachable, plain_fingerprint
-from test_text_rules import plain_hits, plain_line_dedup
+from test_text_rules import LOWER, plain_hits
 
 import corpus_pipeline
 from cotejo.llm.bpe import parse_ranks
 from cotejo.llm.queries import rank_file
 
 FOLDER = "/root/testdata/sf0.001"
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def near_groups(texts):
+    """A number per text, the same for texts that links of four bits at most connect."""
+    prints = np.array([plain_fingerprint(t, 4) for t in texts], np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    return least_reachable(near, list(range(len(texts))))
+
+
+def lines_by_groups(texts, groups, most):
+    """The texts without lines that documents of ``most`` different groups hold."""
+    def keys(text):
+        return [x.strip(SPACE).translate(LOWER) for x in text.split("\n")]
+
+    held = {}
+    for text, group in zip(texts, groups, strict=True):
+        for key in keys(text):
+            held.setdefault(key, set()).add(group)
+    return [
+        "\n".join(
+            line
+            for line, key in zip(text.split("\n"), keys(text), strict=True)
+            if not (key and len(held[key]) >= most)
+        )
+        for text in texts
+    ]
 
 
 def test_stages_change_what_they_say(spark):
@@ -35,19 +62,18 @@ def test_stages_change_what_they_say(spark):
 
     lined = spark.createDataFrame(stages["line_dedup"](spark, clean, FOLDER).collect(), docs.schema)
     ids = sorted(texts)
-    wanted = plain_line_dedup([texts[i] for i in ids], 10)
     got = {r["doc_id"]: r for r in lined.collect()}
     assert sorted(got) == ids
-    for doc_id, (_, _, kept) in zip(ids, wanted, strict=True):
-        text = texts[doc_id] if 2 * len(kept) < len(texts[doc_id]) else kept
-        assert got[doc_id]["text"] == text and got[doc_id]["n_chars"] == len(text)
+    wanted = lines_by_groups([texts[i] for i in ids], near_groups([texts[i] for i in ids]), 10)
+    assert wanted != [texts[i] for i in ids]
+    for doc_id, kept in zip(ids, wanted, strict=True):
+        assert got[doc_id]["text"] == kept and got[doc_id]["n_chars"] == len(kept)
 
     single = stages["simhash_near_dedup"](spark, lined, FOLDER)
-    prints = np.array([plain_fingerprint(got[i]["text"], 5) for i in ids], np.uint64)
-    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
-    least = least_reachable(near, ids)
     single = spark.createDataFrame(single.collect(), docs.schema)
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(least))
+    group = near_groups([got[i]["text"] for i in ids])
+    least = {g: min(i for i, h in zip(ids, group, strict=True) if g == h) for g in set(group)}
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(least.values())
 
     items = [
         (r["item_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()
@@ -77,8 +103,10 @@ def test_stages_take_odd_rows(spark, make):
     long = " ".join(f"word{i}" for i in range(3000)) + "."
     rows = [
         (1, None, None, None, None),
+        (None, None, None, None, None),
         (2, "", "en", "s", 0),
         (None, long, "en", "s", 1),
+        (None, long + " x", None, "s", 1),
         (3, long, "en", "s", 1),
         (3, long, "en", "s", 1),
     ]
@@ -99,12 +127,19 @@ def test_run_gives_the_last_stage(spark):
     assert all(re.fullmatch(r"\d+", str(r["n_tokens"])) for r in rows)
 
 
-def test_shared_lines_go_from_pages_and_copies_alike(make):
+def test_shared_lines_go_and_near_copies_keep_one_page(make):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     legal = "All rights are reserved by the owners of this page."
-    own = [f"Line {i} of the copied text." for i in range(3)]
-    texts = [f"{legal}\nPage {i}" for i in range(12)] + ["\n".join([legal, *own])] * 15
-    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    out = dict(corpus_pipeline.STAGES)["line_dedup"](None, make(rows, schema), FOLDER).collect()
-    got = {r["doc_id"]: r["text"] for r in out}
-    assert got == {i: f"Page {i}" if i < 12 else "\n".join(own) for i in range(27)}
+    rng = np.random.default_rng(4)
+    pages = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 40)) + f"\n{legal}" for _ in range(12)]
+    own = [" ".join(f"v{x}" for x in rng.integers(0, 9999, 60)) for _ in range(12)]
+    copies = ["\n".join([legal, *own, f"Page number {i}."]) for i in range(14)]
+    assert len(set(near_groups(pages + copies))) == 13
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(pages + copies)]
+    stages, docs = dict(corpus_pipeline.STAGES), make(rows, schema)
+    lined = stages["line_dedup"](None, docs, FOLDER)
+    got = {r["doc_id"]: r["text"] for r in lined.collect()}
+    cut = [t.replace(f"\n{legal}", "").replace(f"{legal}\n", "") for t in pages + copies]
+    assert got == dict(enumerate(cut))
+    kept = stages["simhash_near_dedup"](None, lined, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(13))

@@ -19,8 +19,8 @@ from cotejo.llm.simhash import (
     links,
     near_dedup,
     simhash_groups,
+    with_group,
 )
-from cotejo.llm.similar import similar_texts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -125,7 +125,23 @@ def test_groups_and_dedup_of_odd_rows(odd_docs, no_docs, make):
     kept = Counter(r["doc_id"] for r in near_dedup(docs).collect())
     assert kept[4] == kept[1] == kept[11] == kept[19] == 1
     assert not {2, 3, 12, 13} & set(kept)
-    assert simhash_groups(no_docs).count() == 0
+    assert simhash_groups(no_docs).count() == near_dedup(no_docs).count() == 0
+    assert with_group(no_docs, "g").count() == 0
+    assert allocate(0, np.zeros((64, 64)), 4) == []
+    for one in ([(5, "a b c")], [(None, None)], [(None, None), (None, None)]):
+        assert simhash_groups(make(one)).count() == len(one)
+        assert near_dedup(make(one)).count() == 1
+
+
+def test_groups_are_added_under_clashing_names(make):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a", 7), (2, text.upper(), "b", 8), (3, "another text", "c", 9)]
+    docs = make(rows, "doc_id long, text string, SimHash string, Root int")
+    got = with_group(docs, "root")
+    assert got.columns == ["doc_id", "text", "SimHash", "root"]
+    group = {r["doc_id"]: r["root"] for r in got.collect()}
+    assert group[1] == group[2] != group[3]
+    assert sorted((r["doc_id"], r["Root"]) for r in near_dedup(docs).collect()) == [(1, 7), (3, 9)]
 
 
 def test_dedup_keeps_different_documents_that_share_an_id(make):
@@ -135,26 +151,3 @@ def test_dedup_keeps_different_documents_that_share_an_id(make):
     rows = [(2, copy), (5, copy), (5, other), (5, other), *[(None, t) for t in clean], (None, copy)]
     kept = Counter((r["doc_id"], r["text"]) for r in near_dedup(make(rows)).collect())
     assert kept == Counter([(2, copy), (5, other), *[(None, t) for t in clean]])
-
-
-def test_similarity_links_what_brute_force_links(make):
-    rng = np.random.default_rng(8)
-    texts = []
-    for _ in range(12):
-        base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
-        for share in (0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.06):
-            changed = [f"x{rng.integers(10**6)}" if rng.random() < share else w for w in base]
-            texts.append(" ".join(changed))
-    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
-    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
-    wanted = least_reachable(near, list(range(len(texts))))
-    prints = np.array([plain_fingerprint(t, 5) for t in texts], np.uint64)
-    apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
-    assert (near & (apart > 4)).any()  # a limit of 4 bits does not see these
-    docs = make(list(enumerate(texts)))
-    kept = sorted(r["doc_id"] for r in near_dedup(docs, size=5, similarity=0.8).collect())
-    assert kept == sorted(set(wanted))
-    root = {bytes(r["node"]): bytes(r["root"]) for r in similar_texts(docs, 5, 0.8, block=3).collect()}
-    names = [md5(t.encode()).digest() for t in texts]
-    mine = [root.get(n, n) for n in names]  # the same groups from many blocks
-    assert len(set(zip(mine, wanted, strict=True))) == len(set(mine)) == len(set(wanted))

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cotejo.llm.decontaminate import decontaminate
 from cotejo.llm.line_dedup import LineRuns, line_dedup
@@ -99,32 +100,57 @@ LINES = st.lists(
 )
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(lines=LINES, min_docs=st.integers(1, 4))
 def test_line_dedup_equals_plain_one(make, lines, min_docs):
     texts = ["\n".join(x) for x in lines]
-    got = line_dedup(make(enumerate(texts)), min_docs=min_docs, batches=3, fan_in=2).collect()
+    got = line_dedup(make(enumerate(texts)), min_docs=min_docs, batches=5, fan_in=2).collect()
     wanted = plain_line_dedup(texts, min_docs)
     for row in got:
         assert (row["n_lines"], row["n_dropped"], row["kept_text"]) == wanted[row["doc_id"]]
 
 
-def test_line_dedup_on_odd_rows(odd_docs, no_docs):
+def test_line_dedup_on_odd_rows(make, odd_docs, no_docs):
     rows = line_dedup(odd_docs, min_docs=2).collect()
     assert len(rows) == 8
     by_id = {r["doc_id"]: r for r in rows}
     assert (by_id[1]["n_lines"], by_id[1]["n_dropped"], by_id[1]["kept_text"]) == (1, 0, "")
     assert (by_id[4]["n_dropped"], by_id[4]["kept_text"]) == (1, "")
     assert line_dedup(no_docs).count() == 0
-
-
-def test_runs_are_compacted_by_level(spark, make):
-    runs = LineRuns(spark, min_docs=3, fan_in=2)
-    schema = "hashes array<struct<h1:bigint,h2:bigint>>"
-    for i in range(5):
-        runs.add(make([([(7, 7), (i, i)],)], schema))
-    assert sorted(map(len, runs.levels.values())) == [0, 0, 1, 1] or runs.settled
-    assert [tuple(r) for r in runs.finish().collect()] == [(7, 7)]
+    clash = make([(1, "a", 2, 3, 4)], "doc_id long, text string, _DROP int, _key int, Kept_Text int")
+    row = line_dedup(clash, min_docs=1).first()
+    assert (row["_DROP"], row["_key"], row["kept_text"], row["n_dropped"]) == (2, 3, "", 1)
+
+
+def test_lines_count_once_per_group(make):
+    rows = [(i, "shared\nown", i % 2) for i in range(6)] + [(9, "shared", 2)]
+    docs = make(rows, "doc_id long, text string, grp int")
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup(docs, min_docs=3, once_per=F.col("grp")).collect()}
+    assert got == {**dict.fromkeys(range(6), "own"), 9: ""}
+
+
+def test_batches_meet_settled_hashes_and_merge_by_bucket(spark, make):
+    runs = LineRuns(spark, min_docs=3, fan_in=2, buckets=4)
+    lines = [((7, 7), i) for i in range(6)] + [((i, 1), i) for i in range(6)] + [((9, 9), 5)] * 3
+    staged = runs.stage(make(lines, "h struct<h1:bigint,h2:bigint>, batch int"), 6)
+    added = {}
+    for run in staged:
+        settled = bool(runs.settled)
+        runs.add(run)
+        added[run] = settled
+    assert list(added.values()) == [False, False, True, True, True, True]
+    # 7 is found in two batches, then in four: settled, and gone from the batches that follow
+    late = runs.levels[1][-1:] + runs.levels.get(0, [])
+    assert (7, 7) not in {(r["h1"], r["h2"]) for r in runs.read(late).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (runs.unsettled(runs.read(staged[-1:])), runs._merged(staged)):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(tuple(r) for r in runs.finish().collect()) == [(7, 7), (9, 9)]
     with pytest.raises(ValueError):
         LineRuns(spark, min_docs=0)
 
