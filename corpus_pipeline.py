@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from cotejo.llm.bpe import encode
 from cotejo.llm.common import stored, with_columns
 from cotejo.llm.decontaminate import decontaminate
-from cotejo.llm.line_dedup import line_dedup
+from cotejo.llm.line_dedup import drop_lines, frequent_lines
 from cotejo.llm.quality_rules import quality_rules
 from cotejo.llm.queries import rank_file, table
-from cotejo.llm.simhash import near_dedup
+from cotejo.llm.simhash import near_dedup, with_group
 
 
 def _like(docs: DataFrame, changed: DataFrame, text_col: str | None = None) -> DataFrame:
@@ -35,16 +35,17 @@ def clean_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten different texts or more go, from every document. Exact copies count as one
-    text, so that a group of them keeps its content for the next stage."""
-    found = line_dedup(docs, min_docs=10, min_chars=1, per_text=True)
-    return _like(docs, found, "kept_text")
+    """Lines found in ten documents or more go, from every document. Near copies, exact ones
+    included, count as one document, so that a group of them keeps its content for the next stage."""
+    grouped = with_group(docs, "near_group", size=4, bits=4)
+    frequent = frequent_lines(grouped, min_docs=10, min_chars=1, once_per=F.col("near_group"))
+    return _like(docs, drop_lines(docs, frequent, min_chars=1), "kept_text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; texts are linked
-    whose shingles of five words have a Jaccard similarity of 0.8 at least."""
-    return _like(docs, near_dedup(docs, size=5, similarity=0.8))
+    """One document of each group stays, the one with the smallest id; documents are linked whose
+    fingerprints over shingles of four words differ in four bits at most."""
+    return _like(docs, near_dedup(docs, size=4, bits=4))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
