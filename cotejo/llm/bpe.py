@@ -12,8 +12,8 @@ Pieces (matches of the split pattern) that are tokens themselves are emitted who
 rank files' own encoder does.
 
 Defined results: a NULL text counts as empty and has no tokens; repeated rows are encoded alike;
-an empty table gives no rows; a column of the input that has the name of a result column is
-replaced by it.
+an empty table gives no rows; a column of the input that has the name of a result column, in any
+case, is replaced by it; a long text is encoded whole, its settled tokens given out on the way.
 """
 
 from __future__ import annotations
@@ -180,10 +180,23 @@ class Transducer:
         if len(self._moves) >= self.max_steps:
             self._reset()
         out: list[int] = []
-        moves, pairs, state = self._moves, self._pairs, 0
-        ends = [-1]
+        ends, state = [-1], 0
+        for start in range(0, len(data), LOOK_BACK):
+            if start:
+                ends = self._settle(ends, state, out)
+                if len(self._moves) >= self.max_steps:
+                    nodes = self._states[state]
+                    self._reset()
+                    state = self._state(nodes)
+            state = self._run(data[start : start + LOOK_BACK], state, ends)
+        out += reversed(self._back(ends, len(ends) - 1))
+        return out
+
+    def _run(self, data: bytes, state: int, ends: list[int]) -> int:
+        """Adds the last token before each place behind the bytes; gives the state there."""
+        moves, pair, move_of, add = self._moves, self._pairs.get, self._moves.get, ends.append
         for byte in data:
-            move = moves.get(state << 8 | byte)
+            move = move_of(state << 8 | byte)
             if move is None:
                 move = moves[state << 8 | byte] = self._move(state, byte)
             state, ended = move
@@ -191,18 +204,11 @@ class Transducer:
                 last = ends[-size]
                 if last < 0:
                     break
-                fits = pairs.get(last << 32 | token)
+                fits = pair(last << 32 | token)
                 if fits or (fits is None and self._fits(last, token)):
                     break
-            ends.append(token)
-            if len(ends) > LOOK_BACK:
-                ends = self._settle(ends, state, out)
-                if len(moves) >= self.max_steps:
-                    nodes = self._states[state]
-                    self._reset()
-                    moves, state = self._moves, self._state(nodes)
-        out += reversed(self._back(ends, len(ends) - 1))
-        return out
+            add(token)
+        return state
 
     def _settle(self, ends: list[int], state: int, out: list[int]) -> list[int]:
         """Gives out the tokens that the encodings up to all live places share, and cuts them off;
@@ -219,16 +225,13 @@ class Transducer:
         return ends[sum(self.size_of[t] for t in tokens) :]
 
 
-class _OddBlank(Exception):
-    """A blank at an end of the text or beside other white space."""
-
-
 class Encoder:
     """Texts in, token ids out: split into pieces, each through the transducer.
 
     ``blanks_split`` says that the pattern always splits before a blank that stands between two
-    characters other than white space, as patterns of the GPT-2 kind do. Texts with no other
-    blanks are then cut there, and what lies between is looked up whole.
+    characters other than white space, and takes a blank and the letters behind it as one piece, as
+    patterns of the GPT-2 kind do. Texts with no other blanks are then cut there, and what lies
+    between is looked up whole.
     """
 
     def __init__(
@@ -263,10 +266,14 @@ class Encoder:
     def _pieces(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self._piece, self.find(text))))
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> tuple[int, ...] | None:
+        """Ids of a blank and the word; None for a word that has white space at an end, or is empty,
+        as the blank may then belong to another piece."""
         if not word or word[0].isspace() or word[-1].isspace():
-            raise _OddBlank
-        pieces = self.find(" " + word)
+            return None
+        # letters of Latin-1 are one piece with the blank, whichever version of Unicode is read
+        simple = self.blanks_split and word.isalpha() and max(word) <= "ÿ"
+        pieces = [" " + word] if simple else self.find(" " + word)
         if len(pieces) == 1:
             data = pieces[0].encode("utf-8")
             rank = self.transducer.ranks.get(data)
@@ -277,20 +284,50 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        if not self.blanks_split or text[-1:].isspace():
-            return self._pieces(text)
-        words = iter(text.split(" "))
-        first = next(words)
-        if not first or first[-1].isspace():
-            return self._pieces(text)
-        known = self._after_blank
-        try:
-            rest = [known.get(w) or self._word(w) for w in words]
-        except _OddBlank:
-            return self._pieces(text)
-        out = self._pieces(first)
-        out.extend(chain.from_iterable(rest))
-        return out
+        return self.batch(pa.array([text], pa.string()))[0].as_py()
+
+    def batch(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of many texts without NULLs. Words between blanks are encoded once each."""
+        if not self.blanks_split:
+            return _lists([self._pieces(x) for x in texts.to_pylist()])
+        split = pa.compute.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        words = split.flatten().dictionary_encode()
+        at = words.indices.to_numpy().astype(np.int64)
+        known, names = self._after_blank, words.dictionary.to_pylist()
+        found = [known.get(w) or self._word(w) for w in names]
+        odd = np.fromiter((x is None for x in found), bool, len(found))
+        # the first word of a text has no blank before it; ids of an odd text are held there
+        first, later = bounds[:-1], np.ones(len(at), bool)
+        later[first] = False
+        odd_before = np.concatenate([[0], np.cumsum(odd[at] & later)])
+        odd_text = odd_before[bounds[1:]] > odd_before[first]
+        heads = [names[i] for i in at[first].tolist()]
+        for row, head in enumerate(heads):
+            if bounds[row + 1] - first[row] > 1:  # a blank follows the head
+                odd_text[row] |= not head or head[-1].isspace()
+        found = [() if x is None else x for x in found]
+        for row, head in enumerate(heads):
+            found.append(self._pieces(texts[row].as_py() if odd_text[row] else head))
+        at[first] = len(names) + np.arange(len(heads))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())
+        starts = np.cumsum(sizes) - sizes
+        per_word = sizes[at]
+        per_word[later & np.repeat(odd_text, np.diff(bounds))] = 0
+        ends = np.cumsum(per_word)
+        places = np.repeat(starts[at] - (ends - per_word), per_word)
+        places += np.arange(len(places))
+        offsets = np.concatenate([[0], ends])[bounds]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[places]))
+
+
+def _lists(rows: list[list[int]]) -> pa.ListArray:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(x) for x in rows], out=offsets[1:])
+    values = np.fromiter(chain.from_iterable(rows), np.int32, offsets[-1])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 #: UTF-8 states: bytes still to come, and for the first of them the range it must lie in.
@@ -330,15 +367,12 @@ class Decoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self._steps: dict[tuple, tuple | None] = {}
         most = max(ranks.values()) + 1
-        self._sizes = np.zeros(most, np.int64)
         self._flags = np.zeros(most, np.int64)
-        self._starts = np.zeros(most, np.int64)
-        at = 0
+        tokens: list[bytes | None] = [None] * most
         for token, rank in ranks.items():
-            self._sizes[rank], self._starts[rank] = len(token), at
+            tokens[rank] = token
             self._flags[rank] = _utf8_run(token) == (0, 0, 0)
-            at += len(token)
-        self._bytes = np.frombuffer(b"".join(ranks), np.uint8)
+        self._table = pa.array(tokens, pa.binary())
         self._closed = {
             rank: token.decode("utf-8") if _utf8_run(token) == (0, 0, 0) else None
             for token, rank in ranks.items()
@@ -361,36 +395,60 @@ class Decoder:
 
     def texts(self, rows: pa.ListArray) -> pa.StringArray:
         """The texts of many rows; rows of whole characters only are put together at once."""
-        ids = rows.flatten().to_numpy(zero_copy_only=False)
+        flat = rows.flatten()
+        ids = flat.to_numpy(zero_copy_only=False)
         counts = np.zeros(len(rows) + 1, np.int64)
         np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(rows), 0), out=counts[1:])
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self._sizes)):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self._table)):
+            raise KeyError("unknown token id")
+        taken = self._table.take(flat)  # the bytes of all tokens, one after the other
+        if taken.null_count:
             raise KeyError("unknown token id")
-        closed = np.concatenate([[0], np.cumsum(self._flags[ids])])
-        whole = closed[counts[1:]] - closed[counts[:-1]] == np.diff(counts)
-        sizes = self._sizes[ids]
-        ends = np.cumsum(sizes)
-        # place in the table of all tokens of each byte to be written
-        places = np.repeat(self._starts[ids] - (ends - sizes), sizes) + np.arange(sizes.sum())
-        row_ends = np.concatenate([[0], ends])[counts]
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
         found = pa.StringArray.from_buffers(
-            len(rows),
-            pa.py_buffer(row_ends.astype(np.int32)),
-            pa.py_buffer(self._bytes[places].tobytes()),
+            len(rows), pa.py_buffer(ends[counts]), data if len(ids) else pa.py_buffer(b"")
         )
-        if whole.all() and rows.null_count == 0:
+        changed = {
+            row: self.text(ids[counts[row] : counts[row + 1]].tolist())
+            for row in self._changed(ids, counts).tolist()
+        }
+        if not changed and rows.null_count == 0:
             return found
         valid = rows.is_valid().to_pylist()
         return pa.array(
             [
-                None if not valid[i]
-                else found[i].as_py() if whole[i]
-                else self.text(ids[counts[i] : counts[i + 1]].tolist())
+                (changed[i] if i in changed else found[i].as_py()) if valid[i] else None
                 for i in range(len(rows))
             ],
             pa.string(),
         )
 
+    def _changed(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Rows whose text is not just the bytes of the tokens. Whole characters need no machine; it
+        runs over each different run of other tokens once."""
+        opened = np.flatnonzero(self._flags[ids] == 0)
+        row = np.searchsorted(counts, opened, side="right") - 1
+        first = np.flatnonzero((np.diff(opened, prepend=-9) > 1) | (np.diff(row, prepend=-1) > 0))
+        size = np.diff(np.append(first, len(opened)))
+        short = (size <= 4) if len(self._table) < 1 << 16 else np.zeros(len(size), bool)
+        codes = np.zeros(int(short.sum()), np.uint64)
+        for place in range(4):
+            more = np.flatnonzero(size[short] > place)
+            token = ids[opened[first[short][more]] + place].astype(np.uint64) + np.uint64(1)
+            codes[more] |= token << np.uint64(16 * place)
+        different, which = np.unique(codes, return_inverse=True)
+        runs = [[(c >> s & 0xFFFF) - 1 for s in (0, 16, 32, 48) if c >> s] for c in different.tolist()]
+        same = np.array([self._same(r) for r in runs], bool)
+        bad = [row[first[short][~same[which]]]] if len(runs) else [row[:0]]
+        for at, n in zip(first[~short].tolist(), size[~short].tolist(), strict=True):
+            if not self._same(ids[opened[at] : opened[at] + n].tolist()):
+                bad.append(row[at : at + 1])
+        return np.unique(np.concatenate(bad))
+
+    def _same(self, tokens: list[int]) -> bool:
+        return "".join(self.stream(tokens)).encode() == self.data(tokens)
+
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         state, held = (0, 0, 0), b""
         for token in ids:
@@ -497,11 +555,7 @@ def encode(
         decoder = _decoder(shared.value) if decoded_col else None
         for whole in batches:
             for batch in _sized(whole, "_text", 3 * BATCH_TOKENS):
-                found = [encoder.encode(x) for x in batch.column("_text").to_pylist()]
-                offsets = np.zeros(len(found) + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in found], out=offsets[1:])
-                values = np.fromiter(chain.from_iterable(found), np.int32, offsets[-1])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                ids = encoder.batch(batch.column("_text"))
                 columns = [*[batch.column(name) for name in rest], ids]
                 if decoder:
                     columns.append(decoder.texts(ids))
