@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cotejo.llm import kneser_ney, knn_quality, toxicity
 from cotejo.llm.bpe import encode
-from cotejo.llm.common import scratch_folder, text_of
+from cotejo.llm.common import scratch_folder, stored
 from cotejo.llm.conversation_repair import damaged, repair
 from cotejo.llm.decontaminate import decontaminate
 from cotejo.llm.labelled import part_of
@@ -20,7 +20,7 @@ from cotejo.llm.simhash import simhash_groups
 from cotejo.llm.spelling_variants import spelling_variants, word_counts
 from cotejo.llm.suffix_dedup import remove_repeats
 from cotejo.llm.token_counts import token_counts
-from cotejo.llm.token_shards import write_shards
+from cotejo.llm.token_shards import token_bytes, write_shards
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -57,12 +57,11 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """The texts as byte ids, one byte each, in shuffled training order."""
-    docs = table(spark, folder, "documents").select(
-        "doc_id", text_of("text").cast("binary").alias("token_ids")
-    )
+    """Token ids of two bytes in sequences of 512, in shuffled training order."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = token_bytes(docs, rank_file(), public_tokenizers.PATTERN).drop("text")
     shards = scratch_folder(spark, "shards")
-    return write_shards(docs, shards, key=20240229, length=512, dtype="uint8")
+    return write_shards(stored(ids, "tokens"), shards, key=20240229, length=512, dtype="uint16")
 
 
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,17 +14,21 @@ first pass raises an error.
 
 Defined results: a document without tokens has no sequence; the last sequence of a document is
 filled with ``pad``; NULL tokens count as none; repeated rows are written as often as they occur;
-an empty table gives no shards.
+an empty table gives no shards; a long text is as many sequences as it takes; only the id and the
+tokens are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cotejo.llm.common import stored
+from cotejo.llm.common import stored, text_of, with_columns
 
 _U = np.uint64
 ROUNDS = 6
@@ -103,6 +107,39 @@ def _narrow(df: DataFrame) -> bool:
     return "Exchange" not in plan and "Scan parquet" in plan
 
 
+@lru_cache(maxsize=2)
+def _library(ranks: bytes, pattern: str) -> tiktoken.Encoding:
+    table = {
+        base64.b64decode(token): int(rank)
+        for token, rank in (line.split() for line in ranks.splitlines() if line.strip())
+    }
+    return tiktoken.Encoding(
+        "ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}
+    )
+
+
+def token_bytes(
+    docs: DataFrame,
+    ranks: bytes,
+    pattern: str,
+    dtype: str = "uint16",
+    text_col: str = "text",
+    ids_col: str = "token_ids",
+) -> DataFrame:
+    """Adds the token ids of the text, by the library of the rank file, as binary ``dtype``. An id
+    that does not fit is an error; a NULL text is empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a rank file: about a MB
+
+    @F.arrow_udf("binary")
+    def ids_of(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = _library(shared.value, pattern).encode_ordinary
+        for array in arrays:
+            texts = (encode(text) for text in array.to_pylist())
+            yield pa.array([np.array(ids, dtype).tobytes() for ids in texts], pa.binary())
+
+    return with_columns(docs, **{ids_col: ids_of(text_of(text_col))})
+
+
 def write_shards(
     docs: DataFrame,
     folder: str,
@@ -116,18 +153,16 @@ def write_shards(
 ) -> DataFrame:
     """Writes the shards and gives one row per sequence: id, seq_no, slot, shard, offset, n_tokens.
 
-    ``tokens_col`` is an array of token ids, or binary with one byte per token (dtype uint8).
+    ``tokens_col`` is an array of token ids, or binary with the ids in the form of ``dtype``.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens"))
     if not _narrow(ids):
         ids = stored(ids, "tokens")
     binary = isinstance(ids.schema["tokens"].dataType, T.BinaryType)
-    if binary and dtype != "uint8":
-        raise ValueError("binary tokens are uint8")
-    n_tokens = F.octet_length("tokens") if binary else F.size("tokens")
-    n_seq = F.ceil(F.coalesce(F.greatest(n_tokens, F.lit(0)), F.lit(0)) / length)
     width = np.dtype(dtype).itemsize
+    n_tokens = F.ceil(F.octet_length("tokens") / width) if binary else F.size("tokens")
+    n_seq = F.ceil(F.coalesce(F.greatest(n_tokens, F.lit(0)), F.lit(0)) / length)
     with _same_splits(spark):
         # one row per partition of the input
         counts = dict(

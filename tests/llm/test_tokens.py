@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cotejo.llm.bpe import Decoder, Encoder, Transducer, decode, encode, merge, parse_ranks
 from cotejo.llm.queries import RANKS, rank_file
-from cotejo.llm.token_shards import permute, read_slots, write_shards
+from cotejo.llm.token_shards import permute, read_slots, token_bytes, write_shards
 
 DATA = rank_file(RANKS)
 TABLE = parse_ranks(DATA)
@@ -31,6 +32,22 @@ TEXTS = st.lists(
 ).map("".join)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TEXTS, max_size=6))
+def test_batches_equal_the_library(texts):
+    ids = ENCODER.batch(pa.array(texts, pa.string()))
+    assert ids.to_pylist() == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert DECODER.texts(ids).to_pylist() == texts
+
+
+def test_batch_decoding_of_broken_characters():
+    rows = [[], LIBRARY.encode_ordinary("漢字🙂é"), LIBRARY.encode_ordinary("🙂")[:-1], [0, 1]]
+    rows += [rows[1][:-1] + rows[2], rows[2] * 3, None]
+    found = DECODER.texts(pa.array(rows, pa.list_(pa.int32()))).to_pylist()
+    wanted = [None if r is None else DECODER.data(r).decode("utf-8", "replace") for r in rows]
+    assert found == wanted
+
+
 @settings(max_examples=400, deadline=None)
 @given(TEXTS)
 def test_ids_equal_the_library(text):
@@ -139,3 +156,19 @@ def test_shards_of_token_ids_and_odd_rows(spark, odd_docs, no_docs, tmp_path):
     assert not {r["doc_id"] for r in placed} & {1, 2}
     none = no_docs.select("doc_id", F.col("text").cast("binary").alias("token_ids"))
     assert write_shards(none, str(tmp_path / "none"), key=1, dtype="uint8").count() == 0
+
+
+def test_shards_hold_the_ids_of_every_text(sample_docs, odd_docs, tmp_path):
+    for n, docs in enumerate((sample_docs, odd_docs)):
+        folder = str(tmp_path / str(n))
+        ids = token_bytes(docs, DATA, public_tokenizers.PATTERN)
+        placed = write_shards(ids, folder, key=3, length=64, rows=1000, dtype="uint16").collect()
+        sequences = list(read_slots(folder))
+        assert sorted(r["slot"] for r in placed) == list(range(len(sequences)))
+        got = {}
+        for r in sorted(placed, key=lambda r: r["seq_no"]):
+            got.setdefault(r["doc_id"], []).append(sequences[r["slot"]][: r["n_tokens"]])
+        for row in docs.collect():
+            wanted = LIBRARY.encode_ordinary(row["text"] or "")
+            if sum(r["doc_id"] == row["doc_id"] for r in docs.collect()) == 1:
+                assert np.concatenate(got.get(row["doc_id"], [[]])).tolist() == wanted
