@@ -28,6 +28,15 @@ def gram_hashes(data: np.ndarray, k: int = GRAM) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """63 bits for each hash, evenly spread although least hashes begin with zeros; one to one but
+    for the last bit."""
+    h = hashes * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each run of that many values."""
     done = 1
@@ -64,10 +73,4 @@ def blocks(texts: list[bytes], length: int, k: int = GRAM) -> tuple[np.ndarray,
     first = np.flatnonzero(np.append(np.ones(min(1, len(starts)), bool), new))
     last = np.append(first[1:], len(starts))[: len(first)] - 1
     text = np.searchsorted(ends, starts[first], side="right")
-    return (
-        text,
-        starts[first],
-        starts[last],
-        anchors[first],
-        (hashes[first] >> np.uint64(1)).astype(np.int64),
-    )
+    return text, starts[first], starts[last], anchors[first], spread(hashes[first])

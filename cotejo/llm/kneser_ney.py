@@ -42,6 +42,14 @@ BUFFER = 1 << 20
 END = b"\n"
 
 
+def _array(uri: str, dtype: str) -> np.ndarray:
+    """The array of a file; a shard without values has none."""
+    try:
+        return mapped(uri, dtype)
+    except FileNotFoundError:
+        return np.zeros(0, dtype)
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42) >> 1
 
@@ -72,7 +80,7 @@ class Words:
         shards = hashes >> (63 - self.bits)
         for shard in np.unique(shards):
             at = np.flatnonzero(shards == shard)
-            keys = mapped(f"{self.folder}/words-{shard}", "<i8")
+            keys = _array(f"{self.folder}/words-{shard}", "<i8")
             place = np.searchsorted(keys, hashes[at])
             hit = place < len(keys)
             hit[hit] = keys[place[hit]] == hashes[at][hit]
@@ -85,7 +93,7 @@ class Words:
         for shard in np.unique(shards):
             if shard < len(self.first) - 1:
                 at = np.flatnonzero(shards == shard)
-                counts = mapped(f"{self.folder}/counts-{shard}", "<i8")
+                counts = _array(f"{self.folder}/counts-{shard}", "<i8")
                 out[at] = counts[numbers[at] - self.first[shard]]
         return out
 
@@ -219,7 +227,7 @@ def _hot_words(docs_bits: int, words: Words, folder: str, n_docs: int) -> np.nda
     limit = max(1, int(HOT_SHARE * words.n_tokens / (1 << docs_bits)))
     found = []
     for shard in range(len(words.first) - 1):
-        counts = mapped(f"{folder}/counts-{shard}", "<i8")
+        counts = _array(f"{folder}/counts-{shard}", "<i8")
         found.append(words.first[shard] + np.flatnonzero(counts > limit))
     hot = np.concatenate(found) if found else np.zeros(0, np.int64)
     return np.sort(np.append(hot, words.size + 1)) if n_docs > limit else np.sort(hot)
@@ -377,7 +385,7 @@ def _dense(uri: str, name: str, numbers: np.ndarray) -> np.ndarray:
     out = np.zeros(len(numbers), np.float64)
     blocks = numbers >> BLOCK_BITS
     for block in np.unique(blocks):
-        values = mapped(f"{uri}/{name}-{block}", "<f4")
+        values = _array(f"{uri}/{name}-{block}", "<f4")
         if len(values):
             at = np.flatnonzero(blocks == block)
             out[at] = values[numbers[at] & ((1 << BLOCK_BITS) - 1)]
@@ -402,11 +410,11 @@ class Model:
             if not len(at):
                 continue
             shard, wanted = shards[at[0]], codes[at]
-            keys = mapped(f"{self.folder}/pairs-{shard}", "<i8")
+            keys = _array(f"{self.folder}/pairs-{shard}", "<i8")
             place = np.searchsorted(keys, wanted)
             hit = place < len(keys)
             hit[hit] = keys[place[hit]] == wanted[hit]
-            counts = mapped(f"{self.folder}/pair-counts-{shard}", "<u4")
+            counts = _array(f"{self.folder}/pair-counts-{shard}", "<u4")
             out[at[hit]] = counts[place[hit]]
         return out
 

@@ -4,12 +4,12 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
 windows of that length have the same content-defined anchor, so windows are compared only within
 the group of their anchor's bytes. Three passes over the texts:
 
-1. Count the blocks (runs of windows with one anchor) by the anchor's hash. A group of one block
-   repeats nothing; in a group of equal blocks all windows repeat.
+1. Count the blocks (runs of windows with one anchor) and the different ones among them by the
+   anchor's hash. A group of one block repeats nothing; in a group of equal blocks all windows do.
 2. Of groups with different blocks, send each different block once to the group's task. There the
-   suffixes that begin windows are sorted in two stages, and neighbours with a common prefix of
-   ``length`` bytes repeat. A group of more than ``GROUP`` blocks is dealt into parts; classes of
-   its parts meet again by a hash of their window.
+   suffixes that begin windows are sorted in two stages, the common prefixes of neighbours are
+   computed, and those of ``length`` bytes repeat. A group of more than ``GROUP`` different blocks
+   is dealt into parts; classes of its parts meet again by a hash of their window.
 3. Look the groups and blocks up and cut the covered bytes out of the texts.
 
 What the passes share are sorted arrays in the shared folder, memory-mapped by the workers; texts
@@ -17,7 +17,7 @@ are never shuffled, apart from the blocks of pass 2.
 
 Defined results: NULL counts as empty; texts shorter than ``length`` keep all; equal texts repeat
 each other; an empty table gives no rows; a column of the input that has the name of a result
-column is replaced by it.
+column, in any case, is replaced by it; long texts are handled whole, one at a time beyond PIECE.
 """
 
 from __future__ import annotations
@@ -71,6 +71,8 @@ def _block_hashes(
 
 
 def _count_groups(texts: DataFrame, length: int) -> DataFrame:
+    """Groups of more than one block, with the number of their blocks and of different ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, piece in _pieces(batch.column(0).to_pylist()):
@@ -78,23 +80,19 @@ def _count_groups(texts: DataFrame, length: int) -> DataFrame:
                 if not len(first):
                     continue
                 block = _block_hashes(b"".join(piece), first, last, anchor, length)
-                order = np.argsort(group, kind="stable")
-                group, block = group[order], block[order]
-                starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                (group, block), counts = np.unique(
+                    np.stack([group, block]), axis=1, return_counts=True
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(group[starts]),
-                        pa.array(np.diff(np.append(starts, len(group)))),
-                        pa.array(np.minimum.reduceat(block, starts)),
-                        pa.array(np.maximum.reduceat(block, starts)),
-                    ],
-                    names=["g", "n", "least", "most"],
+                    [pa.array(group), pa.array(block), pa.array(counts)], names=["g", "block", "n"]
                 )
 
     return (
-        texts.mapInArrow(run, "g bigint, n bigint, least bigint, most bigint")
+        texts.mapInArrow(run, "g bigint, block bigint, n bigint")
+        .groupBy("g", "block")
+        .agg(F.sum("n").alias("n"))
         .groupBy("g")
-        .agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"))
         .where("n > 1")
     )
 
@@ -170,7 +168,7 @@ def _sort_chunk(rows: list[tuple], length: int) -> Iterator[tuple]:
     begins = ends - [len(r[5]) for r in rows]
     runs = np.array([r[4] for r in rows])
     order = np.array(sorted_starts(data, begins, runs, ends, length), np.int64)
-    of = classes(data, order.tolist(), length)
+    of = classes(data, order, length)
     sizes = np.bincount(of)
     repeated = np.zeros(len(data), bool)
     repeated[order[sizes[of] > 1]] = True
@@ -257,8 +255,8 @@ def remove_repeats(
     system.create_dir(path)
     bits = max(0, int(np.ceil(np.log2(max(1, docs.count() / SHARD_DOCS)))))
 
-    parts = F.when(F.col("least") == F.col("most"), F.lit(-1)).otherwise(
-        F.ceil(F.col("n") / F.lit(group))
+    parts = F.when(F.col("different") == 1, F.lit(-1)).otherwise(
+        F.ceil(F.col("different") / F.lit(group))
     )
     write_sorted(
         _count_groups(texts, length).select("g", parts.cast("long").alias("parts")),
@@ -293,8 +291,8 @@ def remove_repeats(
             ),
         ),
     ]
-    gone = {text_col, "_text", *[f.name for f in added]}
-    rest = [f for f in source.schema.fields if f.name not in gone]
+    gone = {text_col.lower(), "_text", *[f.name for f in added]}
+    rest = [f for f in source.schema.fields if f.name.lower() not in gone]
     out = T.StructType([*rest, *added])
     span_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 

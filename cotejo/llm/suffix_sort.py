@@ -67,13 +67,38 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return int(np.argmax(x))
 
 
-def classes(data: bytes, order: list[int], length: int) -> np.ndarray:
+def adjacent_prefixes(data: bytes, order: np.ndarray, most: int) -> np.ndarray:
+    """For each suffix in order, the number of first bytes, ``most`` at most, that it shares with the
+    one before it; 0 for the first.
+
+    Hashes of prefixes are compared by bisection for all neighbours at once. They may find too long
+    a prefix, never too short a one; what they find as whole is compared byte by byte.
+    """
+    numbers = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    base, n = np.uint64(0x9E3779B97F4A7C15), len(numbers)
+    powers = np.cumprod(np.append(np.uint64(1), np.full(most, base)), dtype=np.uint64)
+    levels = [numbers]  # hashes of runs of 1, 2, 4, ... bytes
+    while 2 << (len(levels) - 1) <= most:
+        width = 1 << (len(levels) - 1)
+        h = levels[-1]
+        levels.append(h[:-width] * powers[width] + h[width:] if len(h) > width else h[:0])
+    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
+    shared = np.zeros(len(b), np.int64)
+    for level in range(len(levels) - 1, -1, -1):
+        width, h = 1 << level, levels[level]
+        for _ in range(2 if level == len(levels) - 1 else 1):
+            x, y = a + shared, b + shared
+            fits = (shared + width <= most) & (np.maximum(x, y) + width <= n)
+            fits[fits] = h[x[fits]] == h[y[fits]]
+            shared[fits] += width
+    for i in np.flatnonzero(shared == most).tolist():
+        p, q = int(a[i]), int(b[i])
+        if data[p : p + most] != data[q : q + most]:
+            shared[i] = common_prefix(data[p : p + most], data[q : q + most])
+    return np.append(np.zeros(min(1, len(order)), np.int64), shared)
+
+
+def classes(data: bytes, order: np.ndarray, length: int) -> np.ndarray:
     """For each suffix in order, the number of its class: neighbours whose common prefix has
     ``length`` bytes share one."""
-    new = np.ones(len(order), bool)
-    before = None
-    for i, p in enumerate(order):
-        here = data[p : p + length]
-        new[i] = here != before
-        before = here
-    return np.cumsum(new) - 1
+    return np.cumsum(adjacent_prefixes(data, order, length) < length) - 1

@@ -7,10 +7,13 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from cotejo.llm import suffix_dedup
 from cotejo.llm.anchors import blocks
+from cotejo.llm.arrays import find_sorted, manifest, mapped, write_sorted
 from cotejo.llm.suffix_dedup import remove_repeats
-from cotejo.llm.suffix_sort import classes, common_prefix, sorted_starts
+from cotejo.llm.suffix_sort import adjacent_prefixes, classes, common_prefix, sorted_starts
 
 
 @settings(max_examples=200, deadline=None)
@@ -28,6 +31,9 @@ def test_suffixes_are_sorted(parts, length):
     assert sorted(order) == [b + i for b, r in zip(begins, runs, strict=True) for i in range(r)]
     keys = [data[p : p + length] for p in order]
     assert keys == sorted(keys)
+    order = np.array(order, np.int64)
+    shared = adjacent_prefixes(data, order, length).tolist()
+    assert shared[1:] == [common_prefix(a, b) for a, b in zip(keys, keys[1:], strict=False)]
     of = classes(data, order, length).tolist()
     assert [a == b for a, b in zip(of, of[1:], strict=False)] == [
         common_prefix(a, b) >= length for a, b in zip(keys, keys[1:], strict=False)
@@ -73,8 +79,9 @@ def assert_plain(df, texts, length, **how):
         assert [(s["begin"], s["end"]) for s in row["spans"]] == spans
 
 
-@pytest.mark.parametrize("group", [4096, 2])
-def test_removal_equals_brute_force(make, group):
+@pytest.mark.parametrize(("group", "shard_docs"), [(4096, 1 << 14), (2, 3)])
+def test_removal_equals_brute_force(make, monkeypatch, group, shard_docs):
+    monkeypatch.setattr(suffix_dedup, "SHARD_DOCS", shard_docs)
     rng = random.Random(group)
     word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 7)))
     passages = [" ".join(word() for _ in range(60)) for _ in range(3)]
@@ -109,5 +116,34 @@ def test_removal_on_odd_rows(odd_docs, no_docs):
     assert by_id[4]["n_removed"] == by_id[4]["n_bytes"] and len(by_id[4]["spans"]) == 1
     assert (by_id[1]["n_bytes"], by_id[1]["spans"]) == (0, [])
     assert remove_repeats(no_docs).count() == 0
+    clash = odd_docs.select("doc_id", "text", F.lit(1).alias("KEPT"), F.lit(2).alias("N_bytes"))
+    assert remove_repeats(clash).columns == ["doc_id", "kept", "n_bytes", "n_removed", "spans"]
     with pytest.raises(ValueError):
         remove_repeats(odd_docs, length=100)
+
+
+def test_groups_spread_over_shards(sample_docs):
+    texts = [(r["text"] or "").encode() for r in sample_docs.collect()]
+    groups = np.unique(blocks(texts, 400)[4])
+    held = np.bincount(groups >> 59, minlength=16)
+    assert len(groups) > 200 and held.max() < 3 * held.mean() and held.min() > 0
+
+
+def test_a_lost_shard_is_an_error(make, tmp_path):
+    rows = make([(i << 58, i) for i in range(20)], "h long, v long")
+    folder = str(tmp_path)
+    write_sorted(rows, folder, 3, "some")
+    assert sum(manifest(folder, "some").values()) == 20
+    wanted = np.arange(32, dtype=np.int64)[:20] << 58
+
+    def values():
+        return sorted(
+            x for _, low, high, a in find_sorted(folder, 3, "some", ["h", "v"], wanted)
+            for i, j in zip(low, high, strict=True) for x in a[1][i:j].tolist()
+        )
+
+    assert values() == list(range(20))
+    mapped.cache_clear()
+    (tmp_path / f"some-v-{max(manifest(folder, 'some'))}").unlink()
+    with pytest.raises(FileNotFoundError):
+        values()
