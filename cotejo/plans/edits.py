@@ -194,21 +194,27 @@ def run_edits(
     at: datetime,
     order_by: Sequence[str] = (),
 ) -> EditRun:
-    with store.recorded(job_id, at):
+    """Apply the edits to the store. Only the buckets of the edited entities are read and written."""
+
+    def attempt() -> EditRun:
         last = store.version()
+        version = store.begin(last)
+        buckets = store.touched(edits.select(strip(F.col(ENTITY)).alias(ENTITY)))
         batch = apply_edits(
             edits,
             load_config(config, source_table),
-            store.current(last),
-            store.inventory(last),
+            store.current(last, buckets),
+            store.inventory(last, buckets),
             source_table=source_table,
             job_id=job_id,
             at=at,
             order_by=order_by,
         )
-        version = last + 1
         store.write_changes(version, batch.changes)
-        changes = store.changes(version)
-        store.write_inventory(version, batch.inventory(changes))
+        inventory = batch.inventory(store.current(version, buckets))
+        store.write_inventory(version, inventory, buckets)
         store.commit(version, job_id, at)
-        return EditRun(version, batch.summary(changes), batch.errors)
+        return EditRun(version, batch.summary(store.changes(version)), batch.errors)
+
+    with store.recorded(job_id, at):
+        return store.run_again(attempt)

@@ -80,7 +80,7 @@ def run_reconcile(
     if a.isEmpty() and b.isEmpty():
         return ReconcileRun(None, None, False, summary)
     result = reconcile(a, b, key_a, key_b, pairs, nulls=nulls, strategy=strategy)
-    run_id = history.next_run_id(spark, target_table)
+    run_id = history.claim_run_id(spark, target_table)
     stamped = history.stamp(
         result,
         run_id,

@@ -216,11 +216,13 @@ def run_refine(
 ) -> RefineRun:
     """Refine into the store: the counts and the changes are written once, the rest follows.
 
-    A run that fails is listed in the store's failures and raises.
+    A run that fails is listed in the store's failures and raises; one that another run was quicker
+    than is planned again on what that one left.
     """
-    with store.recorded(job_id, at):
+
+    def attempt() -> RefineRun:
         last = store.version()
-        version = last + 1
+        version = store.begin(last)
         run = refine(
             source,
             load_config(config, source_table),
@@ -234,7 +236,9 @@ def run_refine(
             keep=lambda counted: store.keep_counted(version, counted),
         )
         store.write_changes(version, run.changes)
-        changes = store.changes(version)
-        store.write_inventory(version, run.inventory(changes))
+        store.write_inventory(version, run.inventory(store.current(version)))
         store.commit(version, job_id, at)
-        return RefineRun(version, run.summary(changes), run.errors)
+        return RefineRun(version, run.summary(store.changes(version)), run.errors)
+
+    with store.recorded(job_id, at):
+        return store.run_again(attempt)

@@ -34,7 +34,7 @@ def run_worktable(
     """Rows are sorted within the appended files; read them back with a sort of your own."""
     spark = source.sparkSession
     groups = grouped(source, group_by, order_by, aggs)
-    run_id = history.next_run_id(spark, target_table)
+    run_id = history.claim_run_id(spark, target_table)
     stamped = history.stamp(groups, run_id, created_at, source=SOURCE, job_id=job_id)
     changed = history.append(history.metadata_last(stamped), target_table)
     return WorktableRun(run_id, history.read_run(spark, target_table, run_id), changed)

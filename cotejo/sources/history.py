@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cotejo.functions.operand import quoted
+from cotejo.sources.claims import claim_next
 
 logger = logging.getLogger(__name__)
 
@@ -46,6 +47,17 @@ def next_run_id(spark: SparkSession, table: str) -> int:
         return 1
 
 
+def claim_run_id(spark: SparkSession, table: str) -> int:
+    """The next run number, claimed: two jobs that ask at the same time get different ones.
+
+    Claims are files beside the tables of the database. A number that was claimed and not used, as
+    by a run that died, is not given again.
+    """
+    database, _, name = table.replace("`", "").lower().rpartition(".")
+    place = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
+    return claim_next(spark, f"{place}/_runs/{name}", next_run_id(spark, table) - 1)
+
+
 def _partitioned_by_run(spark: SparkSession, table: str) -> bool:
     return any(c.name == "run_id" and c.isPartition for c in spark.catalog.listColumns(table))
 
@@ -138,8 +150,12 @@ def append(df: DataFrame, table: str) -> bool:
     """
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        df.write.format("parquet").partitionBy("run_id").saveAsTable(table)
-        return True
+        try:
+            df.write.format("parquet").partitionBy("run_id").saveAsTable(table)
+            return True
+        except AnalysisException as problem:
+            if problem.getCondition() != "TABLE_OR_VIEW_ALREADY_EXISTS":
+                raise  # else another job has made it meanwhile
     _check_types(df, table)
     changed = add_missing_columns(df, table)
     given = {name.lower() for name in df.columns}

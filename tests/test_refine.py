@@ -16,6 +16,8 @@ from cotejo.operators.state import (
 from cotejo.plans.edits import apply_edits, run_edits
 from cotejo.plans.materialize import run_materialize
 from cotejo.plans.refine import refine, run_refine
+from cotejo.sources import history
+from cotejo.sources.claims import claim_next, create_if_absent, read_file
 from cotejo.sources.config import ConfigRow, load_config
 from cotejo.sources.vault_store import VaultStore
 from replay import Replay
@@ -320,10 +322,13 @@ def test_a_committed_version_must_be_there(spark, tmp_path):
 
     store = VaultStore(spark, str(tmp_path / "store"))
     assert store.vault().isEmpty() and store.current().isEmpty()
-    store.load(empty(spark, VAULT_SCHEMA), empty(spark, INVENTORY_SCHEMA), datetime(2024, 1, 1))
+    vault = spark.createDataFrame([("e", "p")], "entidad_interna_id string, propiedad_origen string")
+    store.load(vault, empty(spark, INVENTORY_SCHEMA), datetime(2024, 1, 1))
+    assert store.current().count() == 1
     shutil.move(str(tmp_path / "store" / "vault" / "version=1"), str(tmp_path / "elsewhere"))
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        store.current().count()
+    for read in (store.current, store.vault):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            read().count()
 
 
 def test_a_failed_run_is_listed(spark, tmp_path):
@@ -416,3 +421,92 @@ def test_numbers_of_any_scale(spark):
         one = spark.createDataFrame([(bad,)], "v string")
         for scale in ("string", "decimal(5,2)", 3):
             assert one.select(typed_value(F.col("v"), "peso", "null", scale)).first()[0] is None
+
+
+CONFIG_ROWS = [("uno", *vars(row).values()) for row in CONFIG]
+CONFIG_SCHEMA = (
+    "tabla string, columna_origen string, tipo_dato_generico string, es_llave boolean, "
+    "guardar boolean"
+)
+
+
+def test_an_edit_writes_the_bucket_of_its_entity(spark, tmp_path):
+    path = tmp_path / "store"
+    store = VaultStore(spark, str(path), buckets=50)
+    config = spark.createDataFrame(CONFIG_ROWS, CONFIG_SCHEMA)
+    rows = [(i, f"c{i}", "z", f"n{i}", float(i), "") for i in range(400)]
+    source = spark.createDataFrame(rows, SCHEMA)
+    run_refine(store, source, config, source_table="uno", job_id="j1", at=datetime(2024, 1, 1))
+    before = vault_rows(store.vault())
+    entity = store.current().filter("valor_limpio = 'n7'").first()["entidad_interna_id"]
+    edit = spark.createDataFrame(
+        [("uno", entity, "nombre", "other", "ana@example.org")],
+        "source_table string, entidad_interna_id string, propiedad string, nuevo_valor string, "
+        "usuario_email string",
+    )
+    run = run_edits(
+        store, edit, config, source_table="uno", job_id="j2", at=datetime(2024, 1, 2)
+    )
+    assert VaultStore(spark, str(path), buckets=3).buckets == 50
+    written = spark.read.parquet(str(path / "vault" / f"version={run.version}"))
+    inventory = spark.read.parquet(str(path / "inventory" / f"version={run.version}"))
+    assert written.count() < 1200 / 10 and written.select("bucket").distinct().count() == 1
+    assert inventory.count() < 400 / 10
+    after = vault_rows(store.vault())
+    assert sum((after - before).values()) == 2 and sum((before - after).values()) == 1
+    assert store.inventory().count() == 400
+    assert run.summary.first()["registros_actualizados"] == 1
+    nothing = run_edits(
+        store, edit, config, source_table="uno", job_id="j3", at=datetime(2024, 1, 3)
+    )
+    assert nothing.summary.first()["registros_sin_cambio"] == 1
+    assert vault_rows(store.vault()) == after
+
+
+def test_two_runs_at_a_time_lose_nothing(spark, tmp_path, monkeypatch):
+    config = spark.createDataFrame(CONFIG_ROWS, CONFIG_SCHEMA)
+    first, second = (VaultStore(spark, str(tmp_path / "store")) for _ in range(2))
+    one, two = (
+        spark.createDataFrame([(1, code, "n", "x", 1.0, "")], SCHEMA) for code in ("A", "B")
+    )
+    commit, versions = VaultStore.commit, []
+
+    def late(store, version, job_id, at, base=None):
+        """The first run is about to commit when the second one runs from start to end."""
+        versions.append((job_id, version))
+        if store is first and len(versions) == 1:
+            run_refine(second, two, config, source_table="dos", job_id="b", at=at)
+        commit(store, version, job_id, at, base)
+
+    config = config.unionByName(config.withColumn("tabla", F.lit("dos")))
+    monkeypatch.setattr(VaultStore, "commit", late)
+    run = run_refine(first, one, config, source_table="uno", job_id="a", at=datetime(2024, 1, 1))
+    assert versions == [("a", 1), ("b", 2), ("a", 3)] and run.version == 3
+    assert [c["version"] for c in first.commits()] == [2, 3]
+    found = {(r["tabla_origen"], r["job_id"]) for r in second.current().collect()}
+    assert found == {("uno", "a"), ("dos", "b")}
+    assert second.inventory().count() == 2
+
+
+def test_claims_are_given_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda _: claim_next(spark, str(tmp_path / "c"), 0), range(24)))
+    assert sorted(numbers) == list(range(1, 25))
+    assert create_if_absent(spark, str(tmp_path / "f"), "é") and read_file(spark, str(tmp_path / "f")) == "é"
+    assert not create_if_absent(spark, str(tmp_path / "f"), "x")
+    assert read_file(spark, str(tmp_path / "none")) is None
+
+
+def test_interleaved_history_runs_get_two_numbers(spark):
+    spark.sql("DROP TABLE IF EXISTS raced")
+    rows = [spark.createDataFrame([(i,)], "v int") for i in range(2)]
+    numbers = [history.claim_run_id(spark, "raced") for _ in rows]
+    assert numbers[1] == numbers[0] + 1
+    for row, number in reversed(list(zip(rows, numbers, strict=True))):
+        history.append(history.stamp(row, number, datetime(2024, 1, 1)), "raced")
+    found = {(r["v"], r["run_id"]) for r in spark.table("raced").collect()}
+    assert found == {(0, numbers[0]), (1, numbers[1])}
+    assert history.claim_run_id(spark, "raced") == numbers[1] + 1
+    spark.sql("DROP TABLE raced")
