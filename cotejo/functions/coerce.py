@@ -79,13 +79,16 @@ def to_list(value: Operand) -> Operand:
     return Operand(single, dtype)
 
 
+def _variants(text: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+
+
 def _json_items(text: Column) -> Column:
     """Texts of the items of a JSON array, NULL if it is none.
 
     Texts are taken as they are, null is NULL, other values have the form of to_text; lists and
     objects are written as JSON with sorted keys.
     """
-    items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
 
     def item_text(item: Column) -> Column:
         kind = F.schema_of_variant(item)
@@ -98,7 +101,72 @@ def _json_items(text: Column) -> Column:
             .otherwise(F.try_variant_get(item, "$", "string"))
         )
 
-    return F.transform(items, item_text)
+    return F.transform(_variants(text), item_text)
+
+
+def _double_key(double: Column) -> Column:
+    """A whole number as its digits, as far as a decimal holds them."""
+    digits = double.try_cast("decimal(38,0)")
+    whole = digits.cast("double") == double
+    return F.when(whole, digits.cast("string")).otherwise(double.cast("string"))
+
+
+def _number_key(column: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.BooleanType):
+        return column.cast("int").cast("string")
+    if isinstance(dtype, T.DecimalType) and dtype.scale:
+        return F.when(
+            column == F.floor(column), F.floor(column).cast("decimal(38,0)").cast("string")
+        ).otherwise(_double_key(column.cast("double")))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return _double_key(column.cast("double"))
+    return column.cast("string")
+
+
+def _json_keys(text: Column) -> Column:
+    def key(item: Column) -> Column:
+        kind = F.schema_of_variant(item)
+        double = F.try_variant_get(item, "$", "double")
+        texts = F.try_variant_get(item, "$", "string")
+        return (
+            F.when(kind == "VOID", F.lit("null"))
+            .when(kind == "BOOLEAN", F.when(texts == "true", "n1").otherwise("n0"))
+            .when(kind == "STRING", F.concat(F.lit("t"), texts))
+            .when(kind.rlike("^(OBJECT|ARRAY)"), F.concat(F.lit("j"), F.to_json(item)))
+            .when(
+                kind.rlike(r"^(DOUBLE|FLOAT|DECIMAL\(\d+,[1-9])"),
+                F.concat(F.lit("n"), _double_key(double)),
+            )
+            .otherwise(F.concat(F.lit("n"), texts))
+        )
+
+    return F.transform(_variants(text), key)
+
+
+def item_keys(value: Operand) -> Column:
+    """For each item of ``to_list`` a text that equal values share and others do not: ``1``, ``1.0``
+    and true are one number, the text ``"1"`` is another value, null equals null."""
+    listed = to_list(value)
+    if value.is_text:
+        trimmed = strip(value.column)
+        parsed = F.when(trimmed.rlike(r"^(?s)\[.*\]$"), _json_keys(trimmed))
+        plain = F.transform(listed.column, lambda item: F.concat(F.lit("t"), item))
+        return F.coalesce(parsed, plain)
+    dtype = listed.dtype.elementType
+    family = Operand(value.column, dtype).family
+
+    def key(item: Column) -> Column:
+        if family == "number":
+            known = F.concat(F.lit("n"), _number_key(item, dtype))
+        elif family == "text":
+            known = F.concat(F.lit("t"), item)
+        elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+            known = F.concat(F.lit("j"), F.to_json(item))
+        else:
+            known = F.concat(F.lit(f"{family} "), item.cast("string"))
+        return F.coalesce(known, F.lit("null"))
+
+    return F.transform(listed.column, key)
 
 
 def holds_nested_json(value: Operand) -> Column:
@@ -106,7 +174,7 @@ def holds_nested_json(value: Operand) -> Column:
     if not value.is_text:
         return F.lit(False)
     trimmed = strip(value.column)
-    items = F.try_variant_get(F.try_parse_json(trimmed), "$", "array<variant>")
+    items = _variants(trimmed)
     nested = F.exists(items, lambda item: F.schema_of_variant(item).rlike("^(OBJECT|ARRAY)"))
     return F.coalesce(trimmed.startswith("[") & nested, F.lit(False))
 

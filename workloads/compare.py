@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cotejo.functions.methods import PIPELINE, apply_method, evaluate, resolve_method
-from cotejo.functions.operand import operand
+from cotejo.functions.operand import Operand, operand
 from cotejo.operators.cross import ColumnPair, apply_pairs, cross, raw_name
 from workloads.base import Tables, workload
 from workloads.inputs import (
@@ -376,6 +376,41 @@ _register(
     match=f"{_JACCARD} >= 0.85",
 )
 
+_MIXED_A = """'[' || p_size || ', "' || p_size || '", ' || p_size || '.0, "k", null, 1e2, 100]'"""
+_MIXED_B = """CASE p_partkey % 4 WHEN 0 THEN '["' || p_size || '"]' WHEN 1 THEN '[' || p_size || '.0, 100.0]'
+  WHEN 2 THEN '[null, "k"]' ELSE CAST(p_size AS STRING) || ', k' END"""
+
+
+def _mixed_lists(t: Tables) -> tuple[DataFrame, Operand, Operand]:
+    """Numbers, texts and nulls in one JSON array; the last quarter of the others is no JSON."""
+    df = t.part.select("p_partkey", F.expr(_MIXED_A).alias("a"), F.expr(_MIXED_B).alias("b"))
+    return df, operand(df, "a"), operand(df, "b")
+
+
+@workload(
+    "M18_array_difference_of_mixed_items",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || '|k|None|100.0'
+         WHEN 1 THEN p_size || '|k|None' WHEN 2 THEN p_size || '|' || p_size || '|100.0'
+         ELSE p_size || '|None|100.0' END AS only_a FROM part WHERE p_size <> 100""",
+)
+def mixed_difference(t: Tables) -> DataFrame:
+    """A number differs from the text of its digits and equals the same number with a point."""
+    df, a, b = _mixed_lists(t)
+    found, _ = apply_method(resolve_method("array_difference"), a, b, PIPELINE)
+    return df.select("p_partkey", F.array_join(found, "|", "None").alias("only_a"))
+
+
+@workload(
+    "M19_array_jaccard_of_mixed_items",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1 / 5 WHEN 1 THEN 2 / 5 WHEN 2 THEN 2 / 5
+         ELSE 2 / 5 END AS shared FROM part WHERE p_size <> 100""",
+)
+def mixed_jaccard(t: Tables) -> DataFrame:
+    df, a, b = _mixed_lists(t)
+    found, _ = apply_method(resolve_method("array_jaccard"), a, b, PIPELINE)
+    return df.select("p_partkey", found.alias("shared"))
+
+
 # --- structure and logic ---
 
 _NULLS = """lang IS NULL AS piped_a_is_null, quality IS NULL AS piped_b_is_null,
