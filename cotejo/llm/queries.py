@@ -56,12 +56,24 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: An id of the vocabulary that no text has: it ends a document.
+END_OF_TEXT = 50256
+
+
 def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Token ids of two bytes in sequences of 512, in shuffled training order."""
+    """Token ids of two bytes, documents one after the other in sequences of 2048, in shuffled
+    training order."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ids = token_bytes(docs, rank_file(), public_tokenizers.PATTERN).drop("text")
-    shards = scratch_folder(spark, "shards")
-    return write_shards(stored(ids, "tokens"), shards, key=20240229, length=512, dtype="uint16")
+    return write_shards(
+        stored(ids, "tokens"),
+        scratch_folder(spark, "shards"),
+        key=20240229,
+        length=2048,
+        rows=16_384,
+        pad=END_OF_TEXT,
+        separator=END_OF_TEXT,
+    )
 
 
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Training-order materialisation: every sequence gets a slot, shards hold slots in order.
 
-Sequences of ``length`` tokens are numbered through the input, and a keyed Feistel network with
+Sequences of ``length`` tokens are cut from each document by itself, or with ``separator`` from the
+documents of an input partition one after the other, which wastes no place. They are numbered through the input, and a keyed Feistel network with
 cycle-walking maps the numbers onto the slots 0 .. n - 1, so any slot can be computed from its
 number and back without a table. Each shard is a range of ``rows`` slots; one task puts its
 sequences into their places of a fixed stride and writes it under a temporary name that is moved
@@ -12,8 +13,8 @@ partition. That needs an input whose partitions read alike each time: a scan of
 or projected at most. Any other input is stored first. A partition whose count differs from the
 first pass raises an error.
 
-Defined results: a document without tokens has no sequence; the last sequence of a document is
-filled with ``pad``; NULL tokens count as none; repeated rows are written as often as they occur;
+Defined results: a document without tokens has no sequence; the last sequence of a document,
+or of a partition with ``separator``, is filled with ``pad``; NULL tokens count as none; repeated rows are written as often as they occur;
 an empty table gives no shards; a long text is as many sequences as it takes; only the id and the
 tokens are read, whatever other columns are called.
 """
@@ -150,9 +151,13 @@ def write_shards(
     tokens_col: str = "token_ids",
     dtype: str = "uint16",
     pad: int = 0,
+    separator: int | None = None,
 ) -> DataFrame:
     """Writes the shards and gives one row per sequence: id, seq_no, slot, shard, offset, n_tokens.
 
+    With ``separator``, a token put behind each document that has tokens, sequences hold parts of
+    several documents: the id is a list of theirs in order, seq_no the place in the partition.
+
     ``tokens_col`` is an array of token ids, or binary with the ids in the form of ``dtype``.
     """
     spark = docs.sparkSession
@@ -162,13 +167,17 @@ def write_shards(
     binary = isinstance(ids.schema["tokens"].dataType, T.BinaryType)
     width = np.dtype(dtype).itemsize
     n_tokens = F.ceil(F.octet_length("tokens") / width) if binary else F.size("tokens")
-    n_seq = F.ceil(F.coalesce(F.greatest(n_tokens, F.lit(0)), F.lit(0)) / length)
+    n_tokens = F.coalesce(F.greatest(n_tokens, F.lit(0)), F.lit(0))
+    if separator is None:
+        n_seq = F.sum(F.ceil(n_tokens / length))
+    else:
+        n_seq = F.ceil(F.sum(F.when(n_tokens > 0, n_tokens + 1).otherwise(0)) / length)
     with _same_splits(spark):
         # one row per partition of the input
         counts = dict(
-            ids.select(F.spark_partition_id().alias("p"), n_seq.alias("n"))
+            ids.select(F.spark_partition_id().alias("p"), "tokens")
             .groupBy("p")
-            .agg(F.sum("n").cast("long"))
+            .agg(n_seq.cast("long"))
             .collect()
         )
         starts, n = {}, 0
@@ -177,6 +186,10 @@ def write_shards(
             n += counts[part]
 
         id_arrow = to_arrow_type(ids.schema["id"].dataType)
+        if separator is not None:
+            id_arrow = pa.list_(id_arrow)
+        between = b"" if separator is None else np.array([separator], dtype).tobytes()
+        step = length * width
 
         def packed(shards: np.ndarray, slots: np.ndarray, rows_of: list[list]) -> pa.RecordBatch:
             """One row per shard, its sequences' bytes put together and compressed."""
@@ -202,6 +215,14 @@ def write_shards(
             at, end = starts.get(part, 0), starts.get(part, 0) + counts.get(part, 0)
             held: list[list] = [[], [], [], []]
             size = 0
+            rest, names, cuts = bytearray(), [], 0  # of documents that follow one another
+
+            def keep(name: object, seq_no: int, piece: bytes) -> None:
+                nonlocal size
+                row = (name, seq_no, len(piece) // width, piece)
+                for values, value in zip(held, row, strict=True):
+                    values.append(value)
+                size += len(piece)
 
             def flush() -> pa.RecordBatch:
                 nonlocal at, held, size
@@ -220,20 +241,30 @@ def write_shards(
                     if not tokens:
                         continue
                     data = tokens if binary else np.array(tokens, dtype).tobytes()
-                    step = length * width
-                    for seq_no, place in enumerate(range(0, len(data), step)):
-                        piece = data[place : place + step]
-                        row = (name, seq_no, len(piece) // width, piece)
-                        for values, value in zip(held, row, strict=True):
-                            values.append(value)
-                    size += len(data)
+                    if separator is None:
+                        for seq_no, place in enumerate(range(0, len(data), step)):
+                            keep(name, seq_no, data[place : place + step])
+                    else:
+                        rest += data + between
+                        names.append(name)
+                        whole = len(rest) // step
+                        for place in range(0, whole * step, step):
+                            keep(names, cuts, bytes(rest[place : place + step]))
+                            names, cuts = [name], cuts + 1
+                        del rest[: whole * step]
+                        if not rest:
+                            names = []
                     if size >= PACKED:
                         yield flush()
+            if rest:
+                keep(names, cuts, bytes(rest))
             yield flush()
             if at != end:
                 raise RuntimeError("the input does not read alike twice; store it first")
 
         id_type = ids.schema["id"].dataType.simpleString()
+        if separator is not None:
+            id_type = f"array<{id_type}>"
         placed = f"id {id_type}, seq_no int, n_tokens int, slot bigint, shard bigint, offset bigint"
         filler = np.full(length, pad, dtype).tobytes()
         stride = length * width

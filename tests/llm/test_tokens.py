@@ -1,6 +1,7 @@
 """Byte-level BPE against the library, decoding, and token shards."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -172,3 +173,26 @@ def test_shards_hold_the_ids_of_every_text(sample_docs, odd_docs, tmp_path):
             wanted = LIBRARY.encode_ordinary(row["text"] or "")
             if sum(r["doc_id"] == row["doc_id"] for r in docs.collect()) == 1:
                 assert np.concatenate(got.get(row["doc_id"], [[]])).tolist() == wanted
+
+
+def test_packed_sequences_hold_all_documents_in_order(spark, sample_docs, odd_docs, tmp_path):
+    for n, docs in enumerate((sample_docs, odd_docs, sample_docs.limit(0))):
+        folder, docs = str(tmp_path / str(n)), docs.coalesce(1)
+        ids = token_bytes(docs, DATA, public_tokenizers.PATTERN)
+        placed = write_shards(
+            ids, folder, key=3, length=96, rows=100, pad=50256, separator=50256
+        ).collect()
+        sequences = list(read_slots(folder))
+        assert sorted(r["slot"] for r in placed) == list(range(len(sequences)))
+        stream, names = [], []
+        # one input partition: the sequences in order are its documents one after the other
+        assert len({r["seq_no"] for r in placed}) == len(placed)
+        for r in sorted(placed, key=lambda r: r["seq_no"]):
+            stream += sequences[r["slot"]][: r["n_tokens"]].tolist()
+            names += [i for i in r["doc_id"] if not names or i is None or i != names[-1]]
+        ends = np.flatnonzero(np.array(stream) == 50256) + 1
+        found = Counter(tuple(x[:-1].tolist()) for x in np.split(stream, ends)[:-1])
+        wanted = [LIBRARY.encode_ordinary(r["text"] or "") for r in docs.collect()]
+        assert found == Counter(tuple(x) for x in wanted if x)
+        assert sum(r["n_tokens"] < 96 for r in placed) <= 1
+        assert set(names) == {r["doc_id"] for r in docs.collect() if r["text"]}
