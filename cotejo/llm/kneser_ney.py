@@ -16,25 +16,28 @@ training rows every token has the probability 1.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cotejo.llm.arrays import ArrayWriter, mapped, place_of
 from cotejo.llm.common import scratch_folder, stored, text_of, with_columns
 
-#: Documents per shard; words per shard of a dense array; words kept looked up by a worker.
-SHARD_DOCS = 1 << 14
+#: Bytes of text per shard; bytes of a word, about; bits of the numbers in a dense array's file.
+SHARD_BYTES = 1 << 25
+WORD_BYTES = 6
 BLOCK_BITS = 18
-CACHE = 200_000
+#: Characters handled at once, which bounds what a worker holds; partitions of a shuffle, at most.
+PIECE = 4_000_000
+MOST_PARTS = 1 << 15
 #: A first word with this many times the mean of a shard is dealt by both words.
 HOT_SHARE = 0.125
 HOT_PARTS = 64
@@ -42,23 +45,24 @@ BUFFER = 1 << 20
 END = b"\n"
 
 
-def _array(uri: str, dtype: str) -> np.ndarray:
-    """The array of a file; a shard without values has none."""
-    try:
-        return mapped(uri, dtype)
-    except FileNotFoundError:
-        return np.zeros(0, dtype)
-
-
 def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42) >> 1
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words with A-Z in lower case, then the end."""
-    found = text.encode("utf-8").lower().split()
-    found.append(END)
-    return found
+def _hashes(words: pa.Array) -> np.ndarray:
+    found = map(_hash, words.cast(pa.binary()).to_pylist())
+    return np.fromiter(found, np.int64, len(words))
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of some texts, A-Z in lower case; the place among them of every word in
+    order; and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, of = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)
+    coded = words.filter(full).dictionary_encode()
+    counts = np.bincount(of.filter(full).to_numpy(), minlength=len(texts))
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), counts
 
 
 @dataclass(frozen=True)
@@ -79,8 +83,10 @@ class Words:
         out = np.full(len(hashes), self.size, np.int64)
         shards = hashes >> (63 - self.bits)
         for shard in np.unique(shards):
+            if self.first[shard] == self.first[shard + 1]:
+                continue
             at = np.flatnonzero(shards == shard)
-            keys = _array(f"{self.folder}/words-{shard}", "<i8")
+            keys = mapped(f"{self.folder}/words-{shard}", "<i8")
             place = np.searchsorted(keys, hashes[at])
             hit = place < len(keys)
             hit[hit] = keys[place[hit]] == hashes[at][hit]
@@ -93,72 +99,70 @@ class Words:
         for shard in np.unique(shards):
             if shard < len(self.first) - 1:
                 at = np.flatnonzero(shards == shard)
-                counts = _array(f"{self.folder}/counts-{shard}", "<i8")
+                counts = mapped(f"{self.folder}/counts-{shard}", "<i8")
                 out[at] = counts[numbers[at] - self.first[shard]]
         return out
 
 
-class _Numbering:
-    """Numbers of words with a bounded table of those seen lately."""
-
-    def __init__(self, words: Words) -> None:
-        self.words = words
-        self.known: dict[bytes, int] = {}
-
-    def of(self, texts: list[list[bytes]]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({w for words in texts for w in words if w not in known})
-        hashes = np.fromiter(map(_hash, new), np.int64, len(new))
-        order = np.argsort(hashes)
-        found = self.words.numbers(hashes[order])
-        known.update(zip([new[i] for i in order.tolist()], found.tolist(), strict=True))
-        total = sum(map(len, texts))
-        return np.fromiter((known[w] for words in texts for w in words), np.int64, total)
-
-
-def _groups(texts: list[str], most: int = 3_000_000) -> Iterator[list[str]]:
-    """Texts in runs of about so many characters, which bounds what a worker holds."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _runs(texts: list[str], numbering: _Numbering) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of all tokens, of the tokens before them (size + 1 at a start), and text lengths."""
-    words = [words_of(t) for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    numbers = numbering.of(words)
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
-    before[np.cumsum(lengths) - lengths] = numbering.words.size + 1
-    return numbers, before, lengths
-
-
-def count_words(docs: DataFrame, folder: str, bits: int, text_col: str) -> Words:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+def _groups(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in runs of about PIECE characters."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + PIECE, side="right")))
+        yield texts[start:stop]
+        start = stop
 
-        def counted() -> pa.RecordBatch:
-            hashes = pa.array(np.fromiter(map(_hash, held), np.int64, len(held)))
-            return pa.RecordBatch.from_arrays(
-                [hashes, pa.array(list(held.values()), pa.int64())], names=["h", "n"]
-            )
 
+@dataclass(frozen=True)
+class Tokens:
+    """Tokens of some texts as places in ``numbers``: those of the different words, then the end's
+    and the start's. ``before`` holds the places of the tokens before them."""
+
+    numbers: np.ndarray
+    at: np.ndarray
+    before: np.ndarray
+    lengths: np.ndarray
+
+    @property
+    def codes(self) -> np.ndarray:
+        return self.numbers[self.before] << 32 | self.numbers[self.at]
+
+
+def tokens_of(texts: pa.Array, words: Words) -> Tokens:
+    found, at, counts = split_words(texts)
+    hashes = np.append(_hashes(found), _hash(END))
+    order = np.argsort(hashes)
+    numbers = np.empty(len(hashes) + 1, np.int64)
+    numbers[order] = words.numbers(hashes[order])
+    numbers[-1] = words.size + 1
+    lengths = counts + 1
+    ends = np.cumsum(lengths) - 1
+    inside = np.ones(int(lengths.sum()), bool)
+    inside[ends] = False
+    places = np.full(len(inside), len(found), np.int64)
+    places[inside] = at
+    before = np.empty_like(places)
+    before[1:] = places[:-1]
+    before[ends - counts] = len(found) + 1
+    return Tokens(numbers, places, before, lengths)
+
+
+def count_words(
+    docs: DataFrame, folder: str, bits: int, text_col: str, limit: int
+) -> tuple[Words, np.ndarray]:
+    """The words, and the numbers of those found more than ``limit`` times."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) >= CACHE:
-                    yield counted()
-                    held.clear()
-        yield counted()
+            for texts in _groups(batch.column(0)):
+                found, at, _ = split_words(texts)
+                hashes = np.append(_hashes(found), _hash(END))
+                counts = np.append(np.bincount(at, minlength=len(found)), len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes), pa.array(counts)], names=["h", "n"]
+                )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, shard, out, totals = TaskContext.get().taskAttemptId(), -1, None, [0, 0]
@@ -169,21 +173,23 @@ def count_words(docs: DataFrame, folder: str, bits: int, text_col: str) -> Words
                 if here != shard:
                     if out:
                         [o.close() for o in out]
-                        yield _totals(shard, totals)
-                    shard, totals = here, [0, 0]
+                        yield _totals(shard, totals, hot)
+                    shard, totals, hot = here, [0, 0], []
                     names = (f"{folder}/words-{here}", f"{folder}/counts-{here}")
                     out = [ArrayWriter(name, attempt) for name in names]
                 mine = shards == here
                 out[0].add(hashes[mine])
                 out[1].add(counts[mine])
+                hot += (totals[0] + np.flatnonzero(counts[mine] > limit)).tolist()
                 totals = [totals[0] + int(mine.sum()), totals[1] + int(counts[mine].sum())]
         if out:
             [o.close() for o in out]
-            yield _totals(shard, totals)
+            yield _totals(shard, totals, hot)
 
-    def _totals(shard: int, totals: list[int]) -> pa.RecordBatch:
+    def _totals(shard: int, totals: list[int], hot: list[int]) -> pa.RecordBatch:
         arrays = [pa.array([v], pa.int64()) for v in (shard, *totals)]
-        return pa.RecordBatch.from_arrays(arrays, names=["shard", "size", "tokens"])
+        arrays.append(pa.array([hot], pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(arrays, names=["shard", "size", "tokens", "hot"])
 
     rows = (
         docs.select(text_of(text_col))
@@ -191,16 +197,26 @@ def count_words(docs: DataFrame, folder: str, bits: int, text_col: str) -> Words
         .groupBy("h")
         .agg(F.sum("n").alias("n"))
         .select(F.shiftright("h", 63 - bits).alias("shard"), "h", "n")
-        .repartition("shard")
-        .sortWithinPartitions("shard", "h")
-        .mapInArrow(write, "shard bigint, size bigint, tokens bigint")
+        .repartitionById(*_parts(bits))
+        .sortWithinPartitions("h")
+        .mapInArrow(write, "shard bigint, size bigint, tokens bigint, hot array<bigint>")
         .collect()  # a row per shard
     )
     sizes = np.zeros(1 << bits, np.int64)
     for row in rows:
         sizes[row["shard"]] = row["size"]
     first = np.concatenate([[0], np.cumsum(sizes)])
-    return Words(folder, bits, first, sum(row["tokens"] for row in rows))
+    if first[-1] > (1 << 31) - 3:
+        raise OverflowError("a pair of words does not fit 64 bits: too many different words")
+    hot = [first[row["shard"]] + place for row in rows for place in row["hot"]]
+    words = Words(folder, bits, first, sum(row["tokens"] for row in rows))
+    return words, np.array(sorted(hot), np.int64)
+
+
+def _parts(bits: int) -> tuple[int, Column]:
+    """Number of partitions, and the partition of a shard: its own, unless there are too many."""
+    n = min(1 << bits, MOST_PARTS)
+    return n, F.shiftright("shard", max(0, bits - 15)).cast("int")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -222,17 +238,6 @@ class Dealing:
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else first * 0
 
 
-def _hot_words(docs_bits: int, words: Words, folder: str, n_docs: int) -> np.ndarray:
-    """First words that alone would fill an eighth of a shard: at most 8 per shard of them."""
-    limit = max(1, int(HOT_SHARE * words.n_tokens / (1 << docs_bits)))
-    found = []
-    for shard in range(len(words.first) - 1):
-        counts = _array(f"{folder}/counts-{shard}", "<i8")
-        found.append(words.first[shard] + np.flatnonzero(counts > limit))
-    hot = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return np.sort(np.append(hot, words.size + 1)) if n_docs > limit else np.sort(hot)
-
-
 def _discounts(n: list[int]) -> np.ndarray:
     """Discounts of counts 1, 2 and 3 or more from the numbers of counts 1 to 4."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
@@ -250,14 +255,14 @@ def count_pairs(
     docs: DataFrame, words: Words, dealing: Dealing, folder: str, text_col: str
 ) -> DataFrame:
     """Writes the sorted codes; sums to add up: ``kind`` 0 per context, 1 per second word (as n1,
-    its number of contexts), 2 numbers of counts 1 to 4 of all pairs."""
+    its number of contexts), 2 numbers of counts 1 to 4 of all pairs; 3 is the size of a shard."""
+    parts, own = _parts(dealing.bits)
+    order = ["code"] if parts == 1 << dealing.bits else ["shard", "code"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbering = _Numbering(words)
         for batch in batches:
-            for texts in _groups(batch.column(0).to_pylist()):
-                numbers, before, _ = _runs(texts, numbering)
-                codes, counts = np.unique(before << 32 | numbers, return_counts=True)
+            for texts in _groups(batch.column(0)):
+                codes, counts = np.unique(tokens_of(texts, words).codes, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(dealing.shard(codes)), pa.array(codes), pa.array(counts)],
                     names=["shard", "code", "n"],
@@ -267,7 +272,7 @@ def count_pairs(
         attempt, shard, out = TaskContext.get().taskAttemptId(), -1, None
         last: tuple[np.ndarray, np.ndarray] | None = None
         seconds: list[np.ndarray] = []
-        held = 0
+        held = size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             ids, n = np.unique(np.concatenate(seconds), return_counts=True)
@@ -275,6 +280,10 @@ def count_pairs(
 
         def take(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Codes that are complete, each once."""
+            nonlocal size
+            if counts.max() > 0xFFFFFFFF:
+                raise OverflowError("a pair is found too often for 32 bits")
+            size += len(codes)
             out[0].add(codes)
             out[1].add(counts.astype(np.uint32))
             first = codes >> 32
@@ -296,7 +305,8 @@ def count_pairs(
                         yield from take(*last)
                         seconds.append(last[0] & 0xFFFFFFFF)
                         [o.close() for o in out]
-                    shard, last = here, None
+                        yield _sums(3, np.array([shard]), total=np.array([size]))
+                    shard, last, size = here, None, 0
                     names = (f"{folder}/pairs-{here}", f"{folder}/pair-counts-{here}")
                     out = [ArrayWriter(name, attempt) for name in names]
                 if last is not None:
@@ -315,14 +325,15 @@ def count_pairs(
             yield from take(*last)
             seconds.append(last[0] & 0xFFFFFFFF)
             [o.close() for o in out]
+            yield _sums(3, np.array([shard]), total=np.array([size]))
         if seconds:
             yield from flush()
 
     return (
         docs.select(text_of(text_col))
         .mapInArrow(count, "shard bigint, code bigint, n bigint")
-        .repartition("shard")
-        .sortWithinPartitions("shard", "code")
+        .repartitionById(parts, own)
+        .sortWithinPartitions(*order)
         .mapInArrow(write, _SUMS)
     )
 
@@ -338,8 +349,9 @@ def _sums(kind: int, ids: np.ndarray, **sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["kind", "id", *names])
 
 
-def _write_blocks(rows: DataFrame, uri: str, names: list[str]) -> None:
-    """Columns of numbers by ``id`` as dense arrays, one file per column and block of ids."""
+def _write_blocks(rows: DataFrame, uri: str, names: list[str]) -> frozenset[int]:
+    """Columns of numbers by ``id`` as dense arrays, one file per column and block of ids. Gives the
+    blocks that there are."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, block, held = TaskContext.get().taskAttemptId(), -1, []
@@ -353,7 +365,9 @@ def _write_blocks(rows: DataFrame, uri: str, names: list[str]) -> None:
                 out.add(dense.astype(np.float32))
                 out.close()
 
-        done = 0
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], names=["block"])
+
         for batch in batches:
             blocks, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             values = [batch.column(2 + k).to_numpy() for k in range(len(names))]
@@ -361,33 +375,32 @@ def _write_blocks(rows: DataFrame, uri: str, names: list[str]) -> None:
                 if here != block:
                     if held:
                         save()
-                        done += 1
-                    block, held = here, []
+                        yield done()
+                    block, held = int(here), []
                 mine = blocks == here
                 held.append((ids[mine], [v[mine] for v in values]))
         if held:
             save()
-            done += 1
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int32())], names=["done"])
+            yield done()
 
     blocks = F.shiftright("id", BLOCK_BITS).alias("block")
-    (
+    written = (
         rows.select(blocks, "id", *[F.col(n).cast("double").alias(n) for n in names])
         .repartition("block")
         .sortWithinPartitions("block", "id")
-        .mapInArrow(write, "done int")
-        .agg(F.sum("done"))
-        .collect()
+        .mapInArrow(write, "block bigint")
+        .collect()  # a row per block
     )
+    return frozenset(row["block"] for row in written)
 
 
-def _dense(uri: str, name: str, numbers: np.ndarray) -> np.ndarray:
+def _dense(uri: str, name: str, there: frozenset[int], numbers: np.ndarray) -> np.ndarray:
     out = np.zeros(len(numbers), np.float64)
     blocks = numbers >> BLOCK_BITS
     for block in np.unique(blocks):
-        values = _array(f"{uri}/{name}-{block}", "<f4")
-        if len(values):
+        if int(block) in there:
             at = np.flatnonzero(blocks == block)
+            values = mapped(f"{uri}/{name}-{block}", "<f4")
             out[at] = values[numbers[at] & ((1 << BLOCK_BITS) - 1)]
     return out
 
@@ -399,6 +412,9 @@ class Model:
     dealing: Dealing
     discounts: np.ndarray
     uniform: float  # probability that every word, and the unknown one, has of the remainder
+    sizes: dict[int, int]  # pairs of each shard that has some
+    contexts: frozenset[int]  # blocks of the dense arrays
+    seconds: frozenset[int]
 
     def pair_counts(self, codes: np.ndarray) -> np.ndarray:
         """Counts of sorted codes."""
@@ -409,31 +425,30 @@ class Model:
         for at in np.split(order, edges[1:]):
             if not len(at):
                 continue
-            shard, wanted = shards[at[0]], codes[at]
-            keys = _array(f"{self.folder}/pairs-{shard}", "<i8")
+            shard, wanted = int(shards[at[0]]), codes[at]
+            if shard not in self.sizes:
+                continue
+            keys = mapped(f"{self.folder}/pairs-{shard}", "<i8")
+            if len(keys) != self.sizes[shard]:
+                raise OSError(f"shard {shard} has {len(keys)} pairs of {self.sizes[shard]}")
             place = np.searchsorted(keys, wanted)
             hit = place < len(keys)
             hit[hit] = keys[place[hit]] == wanted[hit]
-            counts = _array(f"{self.folder}/pair-counts-{shard}", "<u4")
+            counts = mapped(f"{self.folder}/pair-counts-{shard}", "<u4")
             out[at[hit]] = counts[place[hit]]
         return out
 
-    def probability(self, before: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """Of tokens after others."""
-        codes, back = np.unique(before << 32 | numbers, return_inverse=True)
-        first, second = codes >> 32, codes & 0xFFFFFFFF
-        words, at = np.unique(second, return_inverse=True)
-        low = np.where(
-            words < self.words.size, _dense(self.folder, "alone", words), 0.0
-        )[at] + self.uniform
-        contexts, at = np.unique(first, return_inverse=True)
-        total = _dense(self.folder, "total", contexts)[at]
-        left = _dense(self.folder, "left", contexts)[at]
+    def probability(self, tokens: Tokens) -> np.ndarray:
+        """Of tokens after those before them."""
+        numbers = tokens.numbers
+        alone = _dense(self.folder, "alone", self.seconds, numbers)
+        low = (np.where(numbers < self.words.size, alone, 0.0) + self.uniform)[tokens.at]
+        total = _dense(self.folder, "total", self.contexts, numbers)[tokens.before]
+        left = _dense(self.folder, "left", self.contexts, numbers)[tokens.before]
+        codes, back = np.unique(tokens.codes, return_inverse=True)
         counts = self.pair_counts(codes)
-        high = np.where(
-            counts > 0, counts - _discount(counts, self.discounts), 0.0
-        ) / np.maximum(total, 1)
-        return np.where(total > 0, high + left * low, low)[back]
+        high = np.where(counts > 0, counts - _discount(counts, self.discounts), 0.0)[back]
+        return np.where(total > 0, high / np.maximum(total, 1) + left * low, low)
 
 
 def train(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> Model:
@@ -441,10 +456,14 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None) ->
     folder = folder or scratch_folder(spark, "kneser-ney")
     system, path = place_of(folder)
     system.create_dir(path)
-    n_docs = docs.count()
-    bits = max(0, int(np.ceil(np.log2(max(1, n_docs / SHARD_DOCS)))))
-    words = count_words(docs, folder, bits, text_col)
-    dealing = Dealing(bits, _hot_words(bits, words, folder, n_docs))
+    size = F.sum(F.octet_length(text_of(text_col)).cast("long"))
+    n_docs, n_bytes = docs.agg(F.count(F.lit(1)), size).first()
+    bits = max(0, int(np.ceil(np.log2(max(1, (n_bytes or 0) / SHARD_BYTES)))))
+    limit = max(1, int(HOT_SHARE * (n_bytes or 0) / WORD_BYTES / (1 << bits)))
+    words, hot = count_words(docs, folder, bits, text_col, limit)
+    if n_docs > limit:
+        hot = np.append(hot, words.size + 1)  # the start
+    dealing = Dealing(bits, hot)
     sums = stored(count_pairs(docs, words, dealing, folder, text_col), "pair-sums")
     names = ["n1", "n2", "n3", "n4"]
     row = sums.where("kind = 2").agg(*[F.sum(n).alias(n) for n in names]).first()
@@ -453,7 +472,7 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None) ->
         *[F.sum(n).alias(n) for n in ("total", "n1", "n2", "n3")]
     )
     left = sum(F.lit(float(d)) * F.col(n) for d, n in zip(discounts, names, strict=False))
-    _write_blocks(
+    context_blocks = _write_blocks(
         contexts.select("id", "total", (left / F.col("total")).alias("left")),
         folder,
         ["total", "left"],
@@ -468,14 +487,17 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None) ->
     lower = _discounts([row[n] or 0 for n in names])
     total = row["all"] or 0
     by = F.element_at(F.array(*[F.lit(float(d)) for d in lower]), F.least("n", F.lit(3)).cast("int"))
-    _write_blocks(
+    second_blocks = _write_blocks(
         after.select("id", ((F.col("n") - by) / F.lit(max(total, 1))).alias("alone")),
         folder,
         ["alone"],
     )
     given = sum(d * (row[n] or 0) for d, n in zip(lower, ("n1", "n2", "many"), strict=True))
     uniform = (given / total if total else 1.0) / (words.size + 1 if total else 1)
-    return Model(folder, words, dealing, discounts, uniform)
+    sizes = {r["id"]: r["total"] for r in sums.where("kind = 3").collect()}  # a row per shard
+    return Model(
+        folder, words, dealing, discounts, uniform, sizes, context_blocks, second_blocks
+    )
 
 
 _SCORES = [
@@ -490,26 +512,26 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds n_tokens, n_known, base_score (smoothed single words) and score, the base-10 logarithm
     of the model's probability of the text; the text column goes."""
     source = with_columns(docs, _text=text_of(text_col))
-    gone = {text_col, "_text", *[f.name for f in _SCORES]}
-    rest = [f for f in source.schema.fields if f.name not in gone]
+    gone = {text_col.lower(), "_text", *[f.name for f in _SCORES]}
+    rest = [f for f in source.schema.fields if f.name.lower() not in gone]
     out = T.StructType([*rest, *_SCORES])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # paths, and a number per shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        numbering, words = _Numbering(model.words), model.words
+        words = model.words
         for batch in batches:
             found: list[list[np.ndarray]] = [[], [], [], []]
-            for texts in _groups(batch.column("_text").to_pylist()):
-                numbers, before, lengths = _runs(texts, numbering)
+            for texts in _groups(batch.column("_text")):
+                tokens = tokens_of(texts, words)
+                at, lengths = tokens.at, tokens.lengths
                 starts = np.cumsum(lengths) - lengths
-                distinct, at = np.unique(numbers, return_inverse=True)
-                counts = words.counts(distinct)
-                base = np.log10((counts + 0.1) / (words.n_tokens + 0.1 * (words.size + 1)))[at]
-                own = np.log10(model.probability(before, numbers))
+                counts = words.counts(tokens.numbers)
+                base = np.log10((counts + 0.1) / (words.n_tokens + 0.1 * (words.size + 1)))
+                own = np.log10(model.probability(tokens))
                 found[0].append(lengths)
                 found[1].append(np.add.reduceat((counts > 0)[at].astype(np.int64), starts))
-                found[2].append(np.add.reduceat(base, starts))
+                found[2].append(np.add.reduceat(base[at], starts))
                 found[3].append(np.add.reduceat(own, starts))
             kinds = (np.int64, np.int64, np.float64, np.float64)
             arrays = [

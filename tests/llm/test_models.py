@@ -1,10 +1,12 @@
 """The language model against its definition, and the two scores on held-out labels."""
 
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +74,8 @@ def test_model_equals_its_definition(sample_docs):
 
 
 def test_many_shards_and_hot_words(sample_docs, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "SHARD_DOCS", 10)  # sixteen shards and more
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 20_000)  # sixteen shards and more
+    monkeypatch.setattr(kneser_ney, "PIECE", 5_000)
     monkeypatch.setattr(kneser_ney, "BUFFER", 500)
     monkeypatch.setattr(kneser_ney, "HOT_SHARE", 0.01)
     assert_plain_scores(sample_docs.select("doc_id", "text"), part_of("doc_id", 10) == 0)
@@ -87,6 +90,19 @@ def test_model_on_odd_rows(make, odd_docs, no_docs):
     scores = kneser_ney.score(make([(1, "a b"), (2, None)]), empty).collect()
     assert [r["score"] for r in scores] == [0.0, 0.0]
     assert kneser_ney.score(no_docs, model).count() == 0
+    clash = make([(1, "a b", "x", 2)], "doc_id long, text string, SCORE string, N_known int")
+    named = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    assert kneser_ney.score(clash, model).columns == named
+
+
+def test_words_are_split_like_bytes():
+    texts = ["", " a\x0bB\x0c\x1cC\r\n", "É é\x85x\xa0y", "\t\n", "a a A"]
+    words, at, counts = kneser_ney.split_words(pa.array(texts))
+    words = [w.encode() for w in words.to_pylist()]
+    found = [words[i] for i in at]
+    assert [found[a:b] for a, b in itertools.pairwise(np.cumsum([0, *counts]))] == [
+        t.encode().lower().split() for t in texts
+    ]
 
 
 def test_held_out_text_is_likelier_than_by_single_words(spark):
