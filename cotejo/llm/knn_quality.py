@@ -153,7 +153,8 @@ def score(
 ) -> DataFrame:
     """Adds the score of every document; the text column goes."""
     source = with_columns(docs, _text=text_of(text_col))
-    rest = [f for f in source.schema.fields if f.name not in (text_col, "_text", score_col)]
+    gone = {text_col.lower(), "_text", score_col.lower()}
+    rest = [f for f in source.schema.fields if f.name.lower() not in gone]
     out = T.StructType([*rest, T.StructField(score_col, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.llm import kneser_ney, knn_quality, toxicity
+from cotejo.llm import kneser_ney, knn_quality, queries, toxicity
 from cotejo.llm.labelled import labelled_sample, part_of
 
 FOLDER = "/root/testdata/sf0.01"
@@ -150,7 +151,7 @@ def test_scores_on_odd_rows(module, odd_docs, no_docs, make):
     assert {r["score"] for r in module.score(odd_docs, model).collect()} == {0.5}
     labels = make([(1, 1), (5, 0), (5, 0), (None, 1), (4, None)], f"doc_id long, {kind} int")
     model = module.fit(odd_docs, labels)
-    rows = module.score(odd_docs.withColumn("score", F.lit("x")), model).collect()
+    rows = module.score(odd_docs.withColumn("SCORE", F.lit("x")), model).collect()
     assert len(rows) == 8 and all(0 <= r["score"] <= 1 for r in rows)
     assert module.score(no_docs, model).count() == 0
 
@@ -178,3 +179,156 @@ def test_grammar_weighs_clauses():
     assert weight("I will kill you") == [1.5]
     assert weight("A clean clause; another one") == []
     assert toxicity.clause_weights("one. two! three\nfour", model)[1] == 4
+
+
+def plain_clause(words, letter):
+    """The weight of a clause from the places of its words."""
+    kinds = [letter(w)[0] for w in words]
+    weights = [letter(w)[1] for w in words]
+    places = {k: [i for i, x in enumerate(kinds) if x == k] for k in range(6)}
+    hits = sorted(places[toxicity.INSULT] + places[toxicity.THREAT])
+    weak = {
+        i for i in hits
+        if any(1 <= i - j <= 4 for j in places[toxicity.NEGATION])
+        or any(j < i for j in places[toxicity.REPORT])
+    }
+    aimed = {
+        i for i in hits if i not in weak and any(1 <= i - j <= 4 for j in places[toxicity.TARGET])
+    }
+    total = sum(weights[i] * (0.3 if i in weak else 1.5 if i in aimed else 1.0) for i in hits)
+    for t in places[toxicity.TARGET]:
+        before = [i for i in hits if i not in weak and i not in aimed and 1 <= t - i <= 4]
+        if before and not any(before[-1] < j < t for j in places[toxicity.TARGET]):
+            total += 0.5 * [w for w in weights[:t] if w][-1]
+    return total
+
+
+def plain_toxicity(sample, halves, share, texts):
+    """Words, weights and scores from the labelled texts, all counted here."""
+    def pieces(text):
+        return re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]", text.lower())
+
+    def clauses(text):
+        out = [[]]
+        for piece in pieces(text):
+            if piece in ".!?;\n":
+                out.append([])
+            else:
+                out[-1].append(piece)
+        return [c for c in out if c]
+
+    def learn(rows):
+        sizes, held = Counter(y for y, _ in rows), {0: Counter(), 1: Counter()}
+        for y, text in rows:
+            words = {w for c in clauses(text) for w in c}
+            held[y].update(words | {w[:n] + "*" for w in words for n in range(4, 9) if len(w) >= n})
+        proof = {
+            t: math.log((held[1][t] + 0.5) / (sizes[1] + 1)) - math.log((held[0][t] + 0.5) / (sizes[0] + 1))
+            for t in held[0] | held[1]
+        }
+        strong = [t for t in proof if held[1][t] >= 5 and proof[t] >= 2.5]
+        strong = sorted(strong, key=lambda t: (-proof[t], t))[:1000]
+        threats = {t for t in toxicity.THREATS if proof.get(t, 1) > 0}
+
+        def letter(word, targets=toxicity.TARGETS):
+            weight = max([proof[t] for t in [word, *(word[:n] + "*" for n in range(4, 9) if len(word) >= n)] if t in keep], default=0)
+            if word in threats:
+                return toxicity.THREAT, max(weight, 1.0)
+            if weight:
+                return toxicity.INSULT, weight
+            for words, kind in ((toxicity.NEGATIONS, 4), (toxicity.REPORTS, 5), (targets, 3)):
+                if word in words:
+                    return kind, 0.0
+            return 0, 0.0
+
+        keep = set(strong)
+        near, found = Counter(), Counter()
+        for _, text in rows:
+            for words in clauses(text):
+                hits = [i for i, w in enumerate(words) if letter(w)[0] in (1, 2)]
+                found.update(words)
+                near.update(w for i, w in enumerate(words) if any(abs(i - j) <= 4 for j in hits))
+        rate = sum(near.values()) / sum(found.values())
+        lift = {w: math.log((near[w] + 0.5) / (found[w] * rate + 0.5)) for w in found if near[w] >= 5}
+        more = sorted((w for w in lift if lift[w] >= 1 and letter(w)[0] == 0), key=lambda w: (-lift[w], w))
+        targets = toxicity.TARGETS | set(more[:200])
+        return lambda word: letter(word, targets)
+
+    def features(text, letter):
+        own = clauses(text)
+        weights = [plain_clause(c, letter) for c in own if any(letter(w)[1] for w in c)]
+        many = sum(w >= 1 for w in weights)
+        return [1, max(weights, default=0), math.log1p(many), math.log1p(sum(weights)), many / len(own) if own else 0]
+
+    x, y = [], []
+    for part in (0, 1):
+        letter = learn([r for r, h in zip(sample, halves, strict=True) if h != part])
+        for (label, text), half in zip(sample, halves, strict=True):
+            if half == part:
+                x.append(features(text, letter))
+                y.append(label)
+    x, y = np.array(x), np.array(y)
+    w = np.zeros(5)
+    for _ in range(3000):  # plain gradient steps in Newton's metric at zero, until they end
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve(x.T @ x / 4 + np.eye(5), x.T @ (p - y) + w)
+        w -= step
+        if np.abs(step).max() < 1e-12:
+            break
+    w[0] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
+    letter = learn(sample)
+    return [1 / (1 + math.exp(-np.dot(features(t, letter), w))) for t in texts]
+
+
+def test_toxicity_query_equals_plain_counting(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").where(part_of("doc_id", 5) != 0)
+    half = F.pmod(F.xxhash64(F.lit(11), F.coalesce("text", F.lit(""))), F.lit(2)).alias("half")
+    rows = docs.join(labels, "doc_id").select("toxic", "text", half).collect()
+    assert 100 < len(rows) < toxicity.PER_CLASS
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    sample = [(r["toxic"], r["text"] or "") for r in rows]
+    share = sum(y for y, _ in sample) / len(sample)
+    ids = sorted(texts)
+    wanted = plain_toxicity(sample, [r["half"] for r in rows], share, [texts[i] for i in ids])
+    got = {r["doc_id"]: r["score"] for r in queries.op6_toxicity(spark, FOLDER).collect()}
+    assert [got[i] for i in ids] == pytest.approx(wanted, abs=1e-6)
+
+
+def test_quality_query_equals_plain_neighbours(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").where(part_of("doc_id", 3) != 1)
+    rows = docs.join(labels, "doc_id").select("quality", "text").collect()
+    share = np.mean([r["quality"] for r in rows])
+    x = knn_quality.counts([r["text"] or "" for r in rows]).astype(np.float16).astype(np.float64)
+    order = sorted(range(len(rows)), key=lambda i: (x[i].astype(np.float16).tobytes(), rows[i]["quality"]))
+    x, y = x[order], np.array([rows[i]["quality"] for i in order])
+    idf = np.log((1 + len(x)) / (1 + (x[:, :2048] > 0).sum(axis=0))) + 1
+
+    def embedded(counts):
+        grams = counts[:, :2048] * idf
+        grams /= np.maximum(np.linalg.norm(grams, axis=1, keepdims=True), 1e-12)
+        both = np.concatenate([grams, 0.8 * counts[:, 2048:]], axis=1)
+        return both / np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-12)
+
+    _, sizes, axes = np.linalg.svd(embedded(x), full_matrices=False)
+    axes = axes[:64][sizes[:64] ** 2 > 1e-9]
+
+    def unit(v):
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    known = unit(embedded(x) @ axes.T)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.op9_knn_quality(spark, FOLDER).collect()}
+    worth = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    checked = 0
+    for doc_id, text in texts.items():
+        counts = knn_quality.counts([text]).astype(np.float64)
+        cosines = (known @ unit(embedded(counts) @ axes.T)[0])
+        best = np.argsort(-cosines, kind="stable")
+        if not text or cosines[best[6]] - cosines[best[7]] < 1e-4:
+            continue  # a tie may be broken either way
+        weight = np.maximum(cosines[best[:7]], 1e-6) ** 8 * worth[best[:7]]
+        assert got[doc_id] == pytest.approx((weight * y[best[:7]]).sum() / weight.sum(), abs=2e-3)
+        checked += 1
+    assert checked > 0.5 * len(texts)
