@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,18 +41,77 @@ def read_csv(
     multiline: bool = True,
     null_value: str = NO_TEXT,
 ) -> DataFrame:
-    """CSV with header. Give ``schema`` for large files: inferring types reads them twice.
+    """CSV with header. Give ``schema`` for large files: types are inferred from whole files, each
+    read by one task where ``multiline`` lets quoted values hold line ends.
 
     Nothing between two commas is NULL, ``""`` is the empty text, and ``null_value`` is NULL too.
-    ``multiline`` lets quoted values hold line ends; each file is then one task, so write many
-    files, or switch it off where no value has a line end.
+    Line ends inside values stay as they are. With a schema, files whose values hold line ends are read by many tasks as well.
     """
-    reader = spark.read.options(
-        **CSV_DIALECT, multiLine=multiline, nullValue=null_value, emptyValue=""
-    )
-    if schema is not None:
+    options = {**CSV_DIALECT, "nullValue": null_value, "emptyValue": ""}
+    reader = spark.read.options(**options, multiLine=multiline)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    if not multiline:
         return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).csv(path)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    parsed = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}
+    del parsed["header"]
+    # a record never starts in the middle of one, so each is parsed by itself
+    row = F.from_csv("record", F.lit(wanted.toDDL()), {**parsed, "multiLine": "true"})
+    return csv_records(spark, path).select(row.alias("row")).select("row.*")
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of CSV files but for their headers, as texts, read in byte ranges.
+
+    A line end inside quotes belongs to a value, and whether a line starts inside quotes is told by
+    the number of quotes before it, odd or even (a doubled quote changes nothing). Lines are read in
+    ranges of any file; quotes are counted per range, the parities of the ranges are added up in
+    the order of the file, one row per range, and then each range knows where its records start. A
+    record is kept by the range it starts in, whose lines are placed together once; lines that
+    carry on a record from an earlier range join it by its number.
+    """
+    quote = CSV_DIALECT["quote"]
+    value = F.col("value")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("range"),
+        F.monotonically_increasing_id().alias("line"),  # rises along a range
+        value,
+        F.pmod(F.length(value) - F.length(F.replace(value, F.lit(quote))), F.lit(2)).alias("odd"),
+    )
+    before = Window.partitionBy("file", "range").orderBy("line")
+    upto = before.rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("inner", F.coalesce(F.sum("odd").over(upto), F.lit(0)) % 2)
+    ranges = placed.groupBy("file", "range").agg(
+        F.sum("odd").alias("odd"),
+        # records that start in the range, if it starts outside of quotes or inside
+        F.count_if(F.col("inner") == 0).alias("outside"),
+        F.count_if(F.col("inner") == 1).alias("inside"),
+    )
+    earlier = Window.partitionBy("file").orderBy("range")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    open_at = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2
+    starts = F.when(F.col("open") == 1, F.col("inside")).otherwise(F.col("outside"))
+    ranges = ranges.withColumn("open", open_at).select(
+        "file", "range", "open", F.coalesce(F.sum(starts).over(earlier), F.lit(0)).alias("first")
+    )
+    known = placed.join(ranges, ["file", "range"])
+    begins = ((F.col("inner") + F.col("open")) % 2 == 0).cast("int")
+    numbered = known.withColumn("begins", begins).withColumn(
+        "record", F.col("first") + F.sum("begins").over(before)
+    )
+    whole = (F.col("begins") == 1) & (F.col("odd") == 0)
+    one = numbered.where(whole).select("file", "record", "value")
+    parts = F.array_sort(F.collect_list(F.struct("range", "line", "value")))
+    many = (
+        numbered.where(~whole)
+        .groupBy("file", "record")
+        .agg(F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("value"))
+    )
+    record = F.regexp_replace("value", "\r$", "")
+    found = one.unionByName(many).where("record > 1").select(record.alias("record"))
+    return found.where("record <> ''")
 
 
 def read_source(

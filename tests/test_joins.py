@@ -19,7 +19,14 @@ from cotejo.plans.outer_merge import run_outer_merge
 from cotejo.plans.reconcile import reconcile_summary, run_reconcile
 from cotejo.plans.worktable import run_worktable
 from cotejo.sources import history
-from cotejo.sources.tables import read_csv, read_source, replace_table, write_csv
+from cotejo.sources.tables import (
+    CSV_DIALECT,
+    NO_TEXT,
+    read_csv,
+    read_source,
+    replace_table,
+    write_csv,
+)
 
 NOW = datetime(2024, 1, 1)
 
@@ -361,3 +368,41 @@ def test_grid_reads_each_side_twice(spark, tmp_path):
     # once here and once for the counts; the third scan is that of the hot keys
     assert plan.count("Relation [") == 4
     assert "Join FullOuter" in plan and "Union" not in plan
+
+
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(6)
+    pieces = ['a', 'b c', '""', ',', '\n', '\r\n', '\n\n', 'é', ' ', "'", '\\']
+    rows = []
+    for i in range(400):
+        words = ["".join(rng.choices(pieces, k=rng.randint(0, 6))) for _ in range(2)]
+        fields = [w if w and not set(w) & set(',\n\r"') else f'"{w}"' for w in words]
+        rows.append(f"{i},{fields[0]},{rng.choice(['', fields[1]])}")
+    long = '"' + "line\n" * 400 + '"'  # a value longer than several ranges
+    rows[100:100] = [f"1000,{long},x", f"1001,x,{long}"]
+    for name, end in (("unix.csv", "\n"), ("dos.csv", "\r\n")):
+        text = "id,one,two" + end + end.join(rows) + end * (name == "unix.csv")
+        (tmp_path / name).write_bytes(text.encode())
+        schema = "id int, one string, two string"
+        options = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+        before = {key: spark.conf.get(key) for key in options}
+        for key, value in options.items():
+            spark.conf.set(key, value)
+        try:
+            path = str(tmp_path / name)
+            assert spark.read.text(path).rdd.getNumPartitions() > 20
+            got = Counter(map(tuple, read_csv(spark, path, schema).collect()))
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
+        serial = spark.read.options(
+            **CSV_DIALECT, multiLine=True, nullValue=NO_TEXT, emptyValue=""
+        )
+        wanted = Counter(map(tuple, serial.schema(schema).csv(path).collect()))
+        if end == "\r\n":  # the serial reader writes such an end in a value as the shorter one
+            got = Counter(
+                tuple(v.replace("\r\n", "\n") if isinstance(v, str) else v for v in row)
+                for row in got.elements()
+            )
+        assert got == wanted
+        assert sum(got.values()) == 402
