@@ -43,8 +43,8 @@ BATCH_BYTES = 1 << 40
 BUCKET_BYTES = 1 << 28
 MOST_BATCHES, MOST_BUCKETS = 64, 20_000
 FAN_IN = 4
-#: What Spark estimates where it knows no size, as of rows that no file holds.
-UNKNOWN = 1 << 60
+#: Estimates from here on are none: of rows that no file holds, or of a join.
+UNKNOWN = 1 << 50
 
 
 def line_key(line: Column) -> Column:
@@ -167,10 +167,12 @@ def frequent_lines(
     fan_in: int = FAN_IN,
     once_per: Column | None = None,
     batches: int | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Hashes of the lines found in at least ``min_docs`` documents; with ``once_per`` in documents
-    of so many different values of it, such as the groups of near copies."""
-    size = estimated_bytes(docs)
+    of so many different values of it, such as the groups of near copies. ``size``: bytes of the
+    documents, where Spark's estimate would not do, as for the rows of a join."""
+    size = estimated_bytes(docs) if size is None else size
     if size >= UNKNOWN:
         size = docs.agg(F.sum(F.octet_length(text_of(text_col)).cast("long"))).first()[0] or 0
     if batches is None:
