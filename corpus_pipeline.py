@@ -17,6 +17,7 @@ from cotejo.llm.line_dedup import drop_lines, frequent_lines
 from cotejo.llm.quality_rules import quality_rules
 from cotejo.llm.queries import rank_file, table
 from cotejo.llm.simhash import near_dedup, with_group
+from cotejo.session import estimated_bytes
 
 
 def _like(docs: DataFrame, changed: DataFrame, text_col: str | None = None) -> DataFrame:
@@ -38,7 +39,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Lines found in ten documents or more go, from every document. Near copies, exact ones
     included, count as one document, so that a group of them keeps its content for the next stage."""
     grouped = with_group(docs, "near_group", size=4, bits=4)
-    frequent = frequent_lines(grouped, min_docs=10, min_chars=1, once_per=F.col("near_group"))
+    frequent = frequent_lines(
+        grouped, min_docs=10, once_per=F.col("near_group"), size=estimated_bytes(docs)
+    )
     return _like(docs, drop_lines(docs, frequent, min_chars=1), "kept_text")
 
 
