@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.functions.identity import DEFAULT_SEPARATOR
@@ -39,6 +39,18 @@ from cotejo.sources.vault_store import VaultStore
 
 ACCEPTED = "__accepted"  # added to source rows
 
+COUNTERS = (
+    "filas_procesadas",
+    "filas_omitidas",
+    "registros_insertados",
+    "registros_actualizados",
+    "registros_sin_cambio",
+    "registros_eliminados",
+    "entidades_inactivadas",
+    "recien_inactivadas",
+    "errores",
+)
+
 
 @dataclass(frozen=True)
 class Refinement:
@@ -116,17 +128,7 @@ class Refinement:
         totals = stacked.agg(*[F.max(name).alias(name) for name in names])
         records = (F.col("filas_procesadas") - F.col("errores")) * self.properties
         unchanged = records - F.col("registros_insertados") - F.col("registros_actualizados")
-        return totals.withColumn("registros_sin_cambio", unchanged).select(
-            "filas_procesadas",
-            "filas_omitidas",
-            "registros_insertados",
-            "registros_actualizados",
-            "registros_sin_cambio",
-            "registros_eliminados",
-            "entidades_inactivadas",
-            "recien_inactivadas",
-            "errores",
-        )
+        return totals.withColumn("registros_sin_cambio", unchanged).select(*COUNTERS)
 
 
 def _seen(counted: DataFrame) -> DataFrame:
@@ -198,11 +200,22 @@ def refine(
 
 @dataclass(frozen=True)
 class RefineRun:
-    version: int
+    """``version`` is None for a run that failed as a whole."""
+
+    version: int | None
     summary: DataFrame
     errors: DataFrame
 
 
+def failed_run(spark: SparkSession, problem: Exception) -> RefineRun:
+    """The summary of a run that came to nothing: its one error is what ended it."""
+    row = spark.range(1, numPartitions=1)
+    counts = [F.lit(int(name == "errores")).cast("long").alias(name) for name in COUNTERS]
+    reason = F.lit(f"{type(problem).__name__}: {problem}"[:2000]).alias("error")
+    nothing = F.lit(None).cast("string").alias("llave_humana_completa")
+    return RefineRun(None, row.select(*counts), row.select(nothing, reason))
+
+
 def run_refine(
     store: VaultStore,
     source: DataFrame,
@@ -213,12 +226,16 @@ def run_refine(
     at: datetime,
     separator: str = DEFAULT_SEPARATOR,
     order_by: Sequence[str] = (),
+    on_failure: str = "raise",
 ) -> RefineRun:
     """Refine into the store: the counts and the changes are written once, the rest follows.
 
-    A run that fails is listed in the store's failures and raises; one that another run was quicker
-    than is planned again on what that one left.
+    A run that fails is listed in the store's failures and raises, or with
+    ``on_failure="summary"`` gives a summary with the failure as its error. One that another run
+    was quicker than is planned again on what that one left.
     """
+    if on_failure not in ("raise", "summary"):
+        raise ValueError("on_failure must be 'raise' or 'summary'")
 
     def attempt() -> RefineRun:
         last = store.version()
@@ -240,5 +257,10 @@ def run_refine(
         store.commit(version, job_id, at)
         return RefineRun(version, run.summary(store.changes(version)), run.errors)
 
-    with store.recorded(job_id, at):
-        return store.run_again(attempt)
+    try:
+        with store.recorded(job_id, at):
+            return store.run_again(attempt)
+    except Exception as problem:
+        if on_failure == "raise":
+            raise
+        return failed_run(source.sparkSession, problem)

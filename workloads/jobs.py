@@ -106,6 +106,29 @@ def error_counters(t: Tables) -> DataFrame:
     return _failing(t).summary().select("filas_procesadas", "registros_insertados", "errores")
 
 
+@workload(
+    "R12_failed_run_counters",
+    """SELECT i AS run, CASE i WHEN 1 THEN n ELSE 0 END AS filas_procesadas, CASE i WHEN 1 THEN n ELSE 0 END AS registros_insertados,
+       CASE i WHEN 1 THEN 0 ELSE 1 END AS errores, CASE i WHEN 1 THEN NULL ELSE 'job-2' END AS listed, 1 AS version
+FROM (SELECT count(*) AS n FROM nation), (SELECT unnest([1, 2]) AS i)""",
+)
+def failed_run_counters(t: Tables) -> DataFrame:
+    """A run without configuration fails as a whole: its summary says so, and nothing is committed."""
+    store = VaultStore(t.spark, f"{scratch_path(t.spark)}/store")
+    config = config_table(t, "paises", [ConfigRow("n_nationkey", es_llave=True, guardar=False), ConfigRow("n_name")])
+    runs = [
+        run_refine(
+            store, t.nation, config, source_table=source, job_id=job, at=at, on_failure="summary"
+        )
+        for source, job, at in (("paises", "job-1", FIRST), ("unknown", "job-2", SECOND))
+    ]
+    listed = store.failures().select(F.lit(2).alias("run"), F.col("job_id").alias("listed"))
+    names = ("filas_procesadas", "registros_insertados", "errores")
+    parts = [run.summary.select(F.lit(i).alias("run"), *names) for i, run in enumerate(runs, 1)]
+    rows = parts[0].unionByName(parts[1]).join(listed, "run", "left")
+    return rows.withColumn("version", F.lit(store.version()))
+
+
 def _failing(t: Tables):
     code = F.when(F.col("o_orderstatus") == "P", F.lit("  ")).otherwise(F.col("o_orderstatus"))
     config = [
