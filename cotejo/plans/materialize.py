@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cotejo.operators.pivot import wide_entities
 from cotejo.sources.config import load_config
-from cotejo.sources.tables import replace_table
+from cotejo.sources.tables import replace_table, replace_version
 
 FIXED_COLUMNS = 5  # id, key, origin, author, updated
 
@@ -31,8 +31,10 @@ def run_materialize(
     scales: Mapping[str, int | str] | None = None,
     failures_table: str | None = None,
     job_id: str | None = None,
+    versioned: bool = False,
 ) -> MaterializeRun:
-    """Replace the target table. Columns are counted from the configuration, repeats included.
+    """Replace the target table, or with ``versioned`` point a view of that name at a new one, so
+    that readers are never without it. Columns are counted from the configuration, repeats included.
 
     A run that fails leaves the target as it was; ``failures_table`` gets its job, target and
     reason before the error is raised.
@@ -45,6 +47,7 @@ def run_materialize(
             target_table=target_table,
             on_bad_number=on_bad_number,
             scales=scales,
+            versioned=versioned,
         )
     except Exception as problem:
         if failures_table:
@@ -65,10 +68,12 @@ def _materialize(
     target_table: str,
     on_bad_number: str,
     scales: Mapping[str, int | str] | None,
+    versioned: bool,
 ) -> MaterializeRun:
     rows = load_config(config, source_table)
     columns = sum(row.guardar for row in rows) + FIXED_COLUMNS
     wide = wide_entities(
         vault, rows, source_table=source_table, on_bad_number=on_bad_number, scales=scales
     )
-    return MaterializeRun(replace_table(wide, target_table), columns)
+    replace = replace_version if versioned else replace_table
+    return MaterializeRun(replace(wide, target_table), columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from cotejo.functions.operand import quoted
 from cotejo.operators.names import identifier
+from cotejo.sources.claims import claim_next
 
 
 def read_table(spark: SparkSession, name: str, schema: str | None = None) -> DataFrame:
@@ -165,3 +167,33 @@ def replace_table(df: DataFrame, table: str) -> int:
     if replaced:
         spark.sql(f"DROP TABLE {old}")
     return rows
+
+
+def replace_version(df: DataFrame, view: str) -> int:
+    """Put the rows in the place of what the view shows; returns how many there are.
+
+    They are written as a table of their own, a numbered version that never changes, and the view
+    is pointed at it in one step: a reader finds the old rows or the new ones, and is never without
+    either. The version before stays for readers that have begun with it; older ones are dropped.
+    """
+    spark = df.sparkSession
+    database, _, name = view.replace("`", "").lower().rpartition(".")
+    database = database or spark.catalog.currentDatabase()
+    if spark.catalog.tableExists(view) and spark.catalog.getTable(view).tableType != "VIEW":
+        raise ValueError(f"{view} is a table: versions are shown by a view")
+    place = spark.catalog.getDatabase(database).locationUri
+    number = claim_next(spark, f"{place}/_versions/{name}", 0)
+    fresh = f"{database}.{name}_v{number}"
+    try:
+        df.write.format("parquet").saveAsTable(fresh)
+        rows = spark.table(fresh).count()
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
+    spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS SELECT * FROM {fresh}")
+    listed = spark.sql(f"SHOW TABLES IN {database} LIKE '{name}_v*'").collect()
+    found = (re.fullmatch(rf"{re.escape(name)}_v(\d+)", row["tableName"]) for row in listed)
+    older = sorted(int(match[1]) for match in found if match and int(match[1]) < number)
+    for gone in older[:-1]:
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}_v{gone}")
+    return rows

@@ -25,6 +25,7 @@ from cotejo.sources.tables import (
     read_csv,
     read_source,
     replace_table,
+    replace_version,
     write_csv,
 )
 
@@ -406,3 +407,36 @@ def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
             )
         assert got == wanted
         assert sum(got.values()) == 402
+
+
+def test_readers_are_never_without_a_version(spark):
+    from threading import Event, Thread
+
+    spark.sql("DROP VIEW IF EXISTS shown")
+    assert replace_version(spark.range(10), "shown") == 10
+    seen, problems, done = set(), [], Event()
+
+    def read():
+        while not done.is_set():
+            try:
+                seen.add(tuple(spark.table("shown").agg(F.count("*"), F.max("id")).first()))
+            except Exception as problem:
+                problems.append(problem)
+
+    reader = Thread(target=read)
+    reader.start()
+    for n in (20, 30, 40):
+        assert replace_version(spark.range(n), "shown") == n
+    done.set()
+    reader.join()
+    assert not problems and seen <= {(n, n - 1) for n in (10, 20, 30, 40)} and seen
+    assert spark.table("shown").count() == 40
+    left = spark.sql("SHOW TABLES LIKE 'shown_v*'").count()
+    assert left == 2
+    broken = spark.range(3).select(F.raise_error(F.lit("no rows")).alias("id"))
+    with pytest.raises(Exception, match="no rows"):
+        replace_version(broken, "shown")
+    assert spark.table("shown").count() == 40
+    replace_table(spark.range(1), "plain_table")
+    with pytest.raises(ValueError, match="is a table"):
+        replace_version(spark.range(1), "plain_table")

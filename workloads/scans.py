@@ -19,6 +19,7 @@ from cotejo.sources.tables import (
     read_source,
     read_table,
     replace_table,
+    replace_version,
     write_csv,
 )
 from workloads.base import Tables, scratch_database, scratch_path, workload
@@ -247,6 +248,18 @@ def metadata_order(t: Tables) -> DataFrame:
     return ordered.select(*ordered.columns[:2], F.lit(closing).alias("closing"), *ordered.columns[2:])
 
 
+@workload(
+    "S11_replace_version",
+    "SELECT s_suppkey, s_acctbal, (SELECT count(*) FROM supplier) AS rows FROM supplier",
+)
+def replaced_version(t: Tables) -> DataFrame:
+    """The view shows the second version; the first one was another table."""
+    view = f"{scratch_database(t.spark)}.shown"
+    replace_version(t.customer.select("c_custkey"), view)
+    rows = replace_version(t.supplier.select("s_suppkey", "s_acctbal"), view)
+    return t.spark.table(view).withColumn("rows", F.lit(rows))
+
+
 @workload("S11_replace_table", "SELECT s_suppkey, s_acctbal, (SELECT count(*) FROM supplier) AS rows FROM supplier")
 def replaced_table(t: Tables) -> DataFrame:
     table = f"{scratch_database(t.spark)}.replaced"
