@@ -40,16 +40,22 @@ def search_fixed(text: Column, pattern: str, ignore_case: bool) -> Column:
     return _search_batch(text, F.lit(pattern), F.lit(ignore_case))
 
 
-def search_column(text: Column, pattern: Column, ignore_case: bool) -> Column:
+def search_column(
+    text: Column, pattern: Column, ignore_case: bool, shared_only: bool = False
+) -> Column:
     """Search for each row's own pattern; NULL where it is no valid expression.
 
     Patterns without special characters are plain text searches, and common ones mean the same
-    in the JVM; only the others go to Python.
+    in the JVM; only the others go to Python. With ``shared_only`` there is no Python in the plan:
+    those others give NULL, as an expression that is not understood.
     """
     plain = ~pattern.rlike(META) & F.lit(not ignore_case)
     common = pattern.rlike(COMMON) & ~pattern.contains("\n")
     other = ~plain & ~common
-    searched = _search_batch(F.when(other, text), F.when(other, pattern), F.lit(ignore_case))
+    if shared_only:
+        searched = F.lit(None).cast("boolean")
+    else:
+        searched = _search_batch(F.when(other, text), F.when(other, pattern), F.lit(ignore_case))
     prefix = F.lit("(?dUui)" if ignore_case else "(?dU)")
     # a pattern of another kind never reaches the JVM's compiler
     own = F.concat(prefix, F.when(common, pattern).otherwise(F.lit("")))

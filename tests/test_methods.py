@@ -376,3 +376,15 @@ def test_json_numbers_meet_typed_numbers(spark):
         evaluate(a, c, "array_jaccard")["result"].alias("ac"),
     ).first()
     assert (row["ab"], row["ba"], row["ac"]) == (["2", "3.5"], [2], 1 / 3)
+
+
+def test_shared_patterns_need_no_python(spark):
+    rows = [("ab12", "^a.1"), ("ab12", "b[0-9]{2}$"), ("AB", "ab"), ("ab", "(?<=a)b"), ("ab", "[")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    a, b = operand(df, "a"), operand(df, "b")
+    found = df.select(evaluate(a, b, "regex_match", {"dialect": "shared"})["result"].alias("r"))
+    assert [r["r"] for r in found.collect()] == [True, True, False, None, None]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    both = df.select(evaluate(a, b, "regex_match")["result"].alias("r"))
+    assert [r["r"] for r in both.collect()] == [True, True, False, True, None]

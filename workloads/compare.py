@@ -299,7 +299,7 @@ FROM j""",
 def regex_per_row(t: Tables) -> DataFrame:
     """Every order brings its own pattern, made from its line count and flag."""
     pattern = F.concat(F.lit("^["), F.col("n").cast("string"), F.lit("]-.*[M"), F.col("flag"), F.lit("]"))
-    pairs = [ColumnPair("o_orderpriority", "pattern", "regex_match")]
+    pairs = [ColumnPair("o_orderpriority", "pattern", "regex_match", {"dialect": "shared"})]
     lines = order_lines(t).withColumn("pattern", pattern)
     compared = apply_pairs(cross(t.orders, lines, "o_orderkey", "l_orderkey", pairs), pairs)
     return compared.select("llave_cruce", "`0_regex_match`")
