@@ -11,8 +11,8 @@ IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 def split_list(text: str | Sequence[str]) -> list[str]:
     """Items of a comma-separated list, or of a sequence, without blanks."""
     if not isinstance(text, str):
-        return split_list(",".join(text))
-    return re.findall(r"[^\s,](?:[^,]*[^\s,])?", text)
+        text = ",".join(text)
+    return [item.strip() for item in text.split(",") if item.strip()]
 
 
 def safe_part(name: str) -> str:
