@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import ascii_lower, let, row_key, text_of, with_columns
+from cotejo.llm.common import ascii_lower, let, row_key, text_of
 
 #: What stands between words once A-Z is in lower case, and a word before that.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -162,7 +162,7 @@ def decontaminate(
     """Adds n_words, n_hit, ``item_ids`` (of items with occurring windows), contaminated and
     ``clean_text`` (without the covered words)."""
     found = find_windows(docs, items, size, text_col, item_col, item_text_col, broadcast_rows)
-    text = text_of(text_col)
+    text = F.col("text")
     item_type = items.schema[item_col].dataType.simpleString()
 
     def judged(words: Column) -> Column:
@@ -170,9 +170,9 @@ def decontaminate(
             return F.array_join(F.slice(words, x["pos"] + 1, x["size"]), " ") == x["window"]
 
         def summed(hits: Column) -> Column:
-            true_windows = F.when(F.size(hits) == F.size("_hits"), F.col("_windows")).otherwise(
+            true_windows = F.when(F.size(hits) == F.size("hits"), F.col("windows")).otherwise(
                 F.filter(
-                    F.col("_windows"),
+                    F.col("windows"),
                     lambda w: F.exists(hits, lambda x: x["window"] == w["window"]),
                 )
             )
@@ -186,7 +186,7 @@ def decontaminate(
             )
 
         found_here = F.when(
-            F.col("_hits").isNull(),
+            F.col("hits").isNull(),
             F.struct(
                 F.size(words).cast("long").alias("n_words"),
                 F.lit(0).cast("long").alias("n_hit"),
@@ -195,14 +195,24 @@ def decontaminate(
             ),
         )
         return found_here.otherwise(
-            let(F.array_sort(F.filter(F.col("_hits"), true_hit)), summed)
+            let(F.array_sort(F.filter(F.col("hits"), true_hit)), summed)
         )
 
-    joined = with_columns(docs, _key=row_key(text)).join(found, "_key", "left")
-    result = with_columns(joined, _judged=let(benchmark_words(text), judged))
+    # the document's own columns travel as one, so that none of their names can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, text_of(text_col).alias("text"), row_key(text_of(text_col)).alias("key"))
+    hits = found.select(
+        F.col("_key").alias("key"), F.col("_hits").alias("hits"), F.col("_windows").alias("windows")
+    )
+    result = keyed.join(hits, "key", "left").select(
+        "row", let(benchmark_words(text), judged).alias("judged")
+    )
     figures = {
-        name: F.col("_judged")[name] for name in ("n_words", "n_hit", "item_ids", "clean_text")
+        name: F.col("judged")[name] for name in ("n_words", "n_hit", "item_ids", "clean_text")
     }
-    return with_columns(
-        result, **figures, contaminated=F.col("_judged")["n_hit"] > 0
-    ).drop("_key", "_hits", "_windows", "_judged")
+    figures["contaminated"] = F.col("judged")["n_hit"] > 0
+    rest = [c for c in docs.columns if c.lower() not in figures]
+    return result.select(
+        *[F.col("row").getField(c).alias(c) for c in rest],
+        *[value.alias(name) for name, value in figures.items()],
+    )

@@ -213,3 +213,14 @@ def test_decontamination_on_odd_rows(odd_docs, no_docs, make):
     assert decontaminate(no_docs, bench).count() == 0
     empty = make([], "item_id long, text string")
     assert not any(r["contaminated"] for r in decontaminate(odd_docs, empty).collect())
+
+
+def test_decontamination_keeps_columns_of_any_name(make):
+    schema = "doc_id long, text string, _hits int, _key int, row int, N_HIT int"
+    docs = make([(1, "a b c d", 2, 3, 4, 5), (2, None, 6, 7, 8, 9)], schema)
+    items = make([(7, "b c")], "item_id long, text string")
+    found = decontaminate(docs, items, size=2)
+    assert found.columns[:5] == ["doc_id", "text", "_hits", "_key", "row"]
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert (rows[1]["_hits"], rows[1]["row"], rows[1]["n_hit"], rows[1]["item_ids"]) == (2, 4, 2, [7])
+    assert (rows[2]["_key"], rows[2]["n_hit"], rows[2]["contaminated"]) == (7, 0, False)
