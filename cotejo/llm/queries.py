@@ -66,7 +66,7 @@ def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ids = token_bytes(docs, rank_file(), public_tokenizers.PATTERN).drop("text")
     return write_shards(
-        stored(ids, "tokens"),
+        stored(ids, "tokens", compression="zstd"),
         scratch_folder(spark, "shards"),
         key=20240229,
         length=2048,
