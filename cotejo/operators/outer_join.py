@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ from cotejo.session import conf_bytes, estimated_bytes, written
 HOT_ROWS = 1_000_000  # rows of one key that a single task may hold
 HOT_PAIRS = 100_000_000  # joined rows of one key that a single task may produce
 SPREAD = 1 << 20  # salts of rows whose key is NULL
+CELL_ROWS = 256  # rows of a side that a part of a hot key has at least, beyond the first parts:
+FIRST_PARTS = 8  # smaller parts would only repeat the other side's rows more often
+MOST_TASKS = 20_000  # of a join that makes very many rows
 
 Keys = Sequence[tuple[str, str]]
 
@@ -90,16 +94,20 @@ def hot_keys(
 ) -> DataFrame | None:
     """Every key above a limit with its grid, as a small written table; None if there is none.
 
-    ``parts_a`` and ``parts_b`` are the numbers of parts its rows are dealt over.
+    ``parts_a`` and ``parts_b`` are the numbers of parts its rows are dealt over: a row is repeated
+    once per part of the other side, so a low limit makes more keys hot and not their parts tiny.
     """
     rows_a, rows_b = F.col("rows_a"), F.col("rows_b")
     pairs = rows_a.cast("double") * rows_b
     names = [f"k{i}" for i in range(len(on))]
     joinable = F.lit(True) if null_safe else _all(F.col(name).isNotNull() for name in names)
-    parts_b = F.greatest(F.ceil(rows_b / hot_rows), F.lit(1))
-    parts_a = F.greatest(
-        F.ceil(rows_a / hot_rows), F.ceil(pairs / (F.lit(float(HOT_PAIRS)) * parts_b)), F.lit(1)
-    )
+
+    def dealt(rows: Column) -> Column:
+        enough = F.greatest(F.ceil(rows / CELL_ROWS), F.lit(FIRST_PARTS))
+        return F.greatest(F.least(F.ceil(rows / hot_rows), enough), F.lit(1))
+
+    parts_b = dealt(rows_b)
+    parts_a = F.greatest(dealt(rows_a), F.ceil(pairs / (F.lit(float(HOT_PAIRS)) * parts_b)))
     hot = written(
         key_counts(a, b, on)
         .filter((F.greatest("rows_a", "rows_b") > hot_rows) | (pairs > HOT_PAIRS))
@@ -108,6 +116,7 @@ def hot_keys(
             parts_a.cast("long").alias("__parts_a"),
             parts_b.cast("long").alias("__parts_b"),
             (joinable & (rows_a > 0) & (rows_b > 0)).alias("__matched"),
+            F.when(joinable, pairs).otherwise(F.lit(0.0)).alias("__pairs"),
         ),
         "hot-keys",
     )
@@ -197,17 +206,23 @@ def _on_grid(
             part.alias(f"__part_{own}"),
             F.explode(F.coalesce(cells, zero)).alias(f"__cell_{own}"),
             F.coalesce("__matched", F.lit(False)).alias(f"__matched_{own}"),
-            F.lit(True).alias(f"__in_{own}"),
         )
 
     left = tagged(a, [ka for ka, _ in on], "a", "b")
     right = tagged(b, [kb for _, kb in on], "b", "a")
+    pairs = hot.agg(F.sum("__pairs")).first()[0]
+    if pairs > HOT_PAIRS:
+        # few bytes are shuffled for what comes out, so Spark would join them in few tasks
+        tasks = max(4 * a.sparkSession.sparkContext.defaultParallelism, ceil(pairs / HOT_PAIRS))
+        tasks = min(tasks, MOST_TASKS)
+        left = left.repartition(tasks, *[quoted(ka) for ka, _ in on], "__part_a", "__cell_a")
+        right = right.repartition(tasks, *[quoted(kb) for _, kb in on], "__cell_b", "__part_b")
     same = (
         _equal(on, null_safe)
         & (F.col("__part_a") == F.col("__cell_b"))
         & (F.col("__cell_a") == F.col("__part_b"))
     )
-    alone = F.col("__in_a").isNull() | F.col("__in_b").isNull()
+    alone = F.col("__matched_a").isNull() | F.col("__matched_b").isNull()
     matched = F.coalesce("__matched_a", "__matched_b")
     joined = left.join(right, same, "full_outer")
     return joined.filter(~(alone & matched)).select(*_columns(a), *_columns(b))

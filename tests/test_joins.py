@@ -440,3 +440,21 @@ def test_readers_are_never_without_a_version(spark):
     replace_table(spark.range(1), "plain_table")
     with pytest.raises(ValueError, match="is a table"):
         replace_version(spark.range(1), "plain_table")
+
+
+def test_parts_of_a_hot_key_do_not_shrink_with_its_limit(spark):
+    a = spark.range(20_000).select((F.col("id") % 2).alias("ka"), F.col("id").alias("x"))
+    b = spark.range(3_000).select((F.col("id") % 2).alias("kb"), F.col("id").alias("y"))
+    hot = outer_join.hot_keys(a, b, [("ka", "kb")], False, 60)
+    # 10,000 and 1,500 rows a key: by the limit of 60 rows, 167 and 25 parts
+    assert {tuple(row[1:3]) for row in hot.collect()} == {(40, 8)}
+
+
+def test_a_join_that_makes_many_rows_has_many_tasks(spark, monkeypatch):
+    a, b = sides(spark, 5)
+    wanted = Counter(map(tuple, outer_join.full_outer(a, b, [("ka", "kb")], strategy="full").collect()))
+    monkeypatch.setattr(outer_join, "HOT_PAIRS", 100)
+    joined = outer_join.full_outer(a, b, [("ka", "kb")], hot_rows=5)
+    assert Counter(map(tuple, joined.collect())) == wanted
+    # coalesced by their bytes, they would be one
+    assert joined.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
