@@ -18,6 +18,7 @@ from cotejo.operators.state import CLOSED, CURRENT, REMOVED, VAULT_SCHEMA
 from cotejo.session import ensure_checkpoint_dir
 
 CHANGE = "cambio"
+RANGE_ROWS = 250_000  # records of a range, where hot entities have many ranges
 KEPT, ENDED, DROPPED, INSERTED, UPDATED = "kept", "closed", "removed", "inserted", "updated"
 
 PROPERTY = ["entidad_interna_id", "propiedad_origen"]
@@ -57,7 +58,8 @@ def apply_changes(
     entity = F.col("entidad_interna_id")
     rest = is_among(versions, entity, hot, wanted=False)
     listed = is_among(versions, entity, hot, wanted=True)
-    ranges = max(8, -(-hot.agg(F.sum("rows")).first()[0] // hot_rows))
+    records_of_hot = hot.agg(F.sum("rows")).first()[0]
+    ranges = max(8, -(-records_of_hot // max(hot_rows, RANGE_ROWS)))
     chained = _chained(rest, records).unionByName(
         _chained_in_ranges(listed, hot_records, ranges)
     )

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cotejo.functions.cleaning import number_digits, number_type, typed_value
+from cotejo.operators import scd2
 from cotejo.operators.pivot import wide_entities
 from cotejo.operators.state import (
     INVENTORY_SCHEMA,
@@ -510,3 +511,23 @@ def test_interleaved_history_runs_get_two_numbers(spark):
     assert found == {(0, numbers[0]), (1, numbers[1])}
     assert history.claim_run_id(spark, "raced") == numbers[1] + 1
     spark.sql("DROP TABLE raced")
+
+
+def test_ranges_of_hot_entities_follow_their_records(spark, monkeypatch):
+    rows = [(i, "k", "z", f"n{i}", float(i % 3), "n") for i in range(200)]
+    asked = []
+    chained = scd2._chained_in_ranges
+
+    def counted(current, records, ranges):
+        asked.append(ranges)
+        return chained(current, records, ranges)
+
+    monkeypatch.setattr(scd2, "_chained_in_ranges", counted)
+    run = refine(
+        spark.createDataFrame(rows, SCHEMA), CONFIG, empty(spark, VAULT_SCHEMA),
+        empty(spark, INVENTORY_SCHEMA), source_table="uno", job_id="j",
+        at=datetime(2024, 1, 1), order_by=["seq"], hot_rows=3,
+    )
+    assert run.changes.filter("estado = 'VIGENTE'").count() == len(KEPT)
+    # a range for every three records would be a task each
+    assert asked == [8]
