@@ -47,12 +47,16 @@ def updated_inventory(
 ) -> DataFrame:
     """The inventory after a run: seen entities active, missing ones inactive, others as before.
 
-    The three inputs hold one row per entity, so stacking and folding them takes one shuffle.
+    The three inputs hold one row per entity. The live counts are placed by entity already; the
+    others are placed alike, so what is stacked is folded without another shuffle.
     """
     stacked = (
         inventory.select(ENTITY, F.struct(*INVENTORY_SCHEMA.names[1:]).alias("old"))
+        .repartition(ENTITY)
         .unionByName(
-            seen.select(ENTITY, F.col("llave_humana_completa").alias("key"), "faultless"),
+            seen.select(
+                ENTITY, F.col("llave_humana_completa").alias("key"), "faultless"
+            ).repartition(ENTITY),
             allowMissingColumns=True,
         )
         .unionByName(live, allowMissingColumns=True)

@@ -155,8 +155,10 @@ def counted_entities(tagged: DataFrame, accepted: str, *, shared_ids: bool = Fal
     """
     known = F.col(accepted) & has_key()
     by = ENTITY if shared_ids else KEY
+    # where ids follow from keys, an entity has one key: no need to look for its latest
+    latest = [F.max_by(KEY, F.struct(ORDER, KEY)).alias("key")] if shared_ids else []
     grouped = tagged.groupBy(F.col(accepted), F.when(known, F.col(by)).alias("by")).agg(
-        F.max_by(KEY, F.struct(ORDER, KEY)).alias("key"),
+        *latest,
         F.max(F.col(ERROR).isNull()).alias("faultless"),
         F.count(F.lit(1)).alias("rows"),
         F.count(ERROR).alias("errors"),
@@ -169,7 +171,7 @@ def counted_entities(tagged: DataFrame, accepted: str, *, shared_ids: bool = Fal
     has_id = F.col("by").isNotNull()
     return derived.select(
         F.when(has_id, F.col("id")).alias("entidad_interna_id"),
-        F.when(has_id, F.col("key")).alias("llave_humana_completa"),
+        F.when(has_id, F.col("key" if shared_ids else "by")).alias("llave_humana_completa"),
         "faultless",
         F.col(accepted).alias("accepted"),
         "rows",

@@ -32,7 +32,7 @@ from cotejo.operators.scd2 import (
     apply_changes,
 )
 from cotejo.operators.skew import hot_values, is_among
-from cotejo.operators.state import ACTIVE
+from cotejo.operators.state import ACTIVE, empty
 from cotejo.sources.config import ConfigRow, kept_properties, load_config
 from cotejo.sources.vault_store import VaultStore
 
@@ -169,8 +169,12 @@ def refine(
     missing = missing_entities(
         inventory, _seen(counted), source_table=source_table, job_id=job_id
     )
+    first = inventory.filter(F.col("tabla_origen") == source_table).isEmpty()
+    if first:  # nothing of this source can be missing, so nothing need be looked for
+        missing = empty(source.sparkSession, missing.schema)
     present = [row for row in kept_properties(config) if row.columna_origen in source.columns]
-    hot = hot_values(rows.filter(has_key()), F.col(ENTITY), hot_rows, within=source)
+    alike = F.col(KEY if known is None else ENTITY)
+    hot = hot_values(rows.filter(has_key()), F.col(ENTITY), hot_rows, within=source, alike=alike)
     usual, hot_records = rows, None
     if hot is not None:
         entity = F.col(ENTITY)
@@ -187,7 +191,7 @@ def refine(
         property_records(usual, config, source_table=source_table),
         job_id=job_id,
         at=at,
-        removed=missing,
+        removed=None if first else missing,
         source_table=source_table,
         hot=hot,
         hot_records=hot_records,

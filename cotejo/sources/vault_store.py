@@ -20,7 +20,7 @@ from contextlib import contextmanager
 from datetime import datetime
 from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,11 @@ Manifest = dict[str, dict[int, int]]  # part -> bucket -> version that holds it
 Result = TypeVar("Result")
 
 
+def _compact(rows: DataFrame) -> DataFrameWriter:
+    """Ids and hashes are most of a vault: texts of hex digits, which zstd halves."""
+    return rows.write.mode("overwrite").option("compression", "zstd")
+
+
 class Outdated(RuntimeError):
     """Another run has committed on the version that this one builds on."""
 
@@ -204,9 +209,11 @@ class VaultStore:
         return rows.withColumn("bucket", self.bucket_of(F.col(ENTITY)))
 
     def _write(self, part: str, version: int, rows: DataFrame, keys: list[str]) -> list[int]:
-        """Write rows, a file per bucket and state; gives the buckets that have some."""
+        """Write rows by bucket and state, large buckets in several files; gives the buckets that
+        have some."""
         target = f"{self.path}/{part}/version={version}"
-        rows.repartition("bucket").write.mode("overwrite").partitionBy(*keys).parquet(target)
+        placed = rows.hint("rebalance", F.col("bucket"))
+        _compact(placed).partitionBy(*keys).parquet(target)
         found = (name.partition("=") for name in names_in(self.spark, target))
         return sorted(int(value) for key, _, value in found if key == "bucket")
 
@@ -222,7 +229,10 @@ class VaultStore:
         base = self._bases[version]
         path = f"{self.path}/staged/version={version}"
         moved = self._bucketed(rows.filter(F.col(CHANGE) != KEPT))
-        moved.write.mode("overwrite").parquet(path)
+        if not self._manifest(base)["vault"]:
+            self._write_vault(version, moved)  # there is nothing to be put beside
+            return
+        _compact(moved).parquet(path)
         staged = self.spark.read.schema(moved.schema).parquet(path)
         buckets = [row["bucket"] for row in staged.select("bucket").distinct().collect()]
         left = staged.filter(F.col(CHANGE).isin(ENDED, DROPPED)).select(*PROPERTY)
@@ -244,7 +254,7 @@ class VaultStore:
     def keep_counted(self, version: int, rows: DataFrame) -> DataFrame:
         """What a run counted of its source, written beside its changes and read back."""
         path = f"{self.path}/counted/version={version}"
-        rows.write.mode("overwrite").parquet(path)
+        _compact(rows).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     # --- failures ---

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cotejo.functions.cleaning import number_digits, number_type, typed_value
-from cotejo.operators import scd2
+from cotejo.operators import scd2, skew
 from cotejo.operators.pivot import wide_entities
 from cotejo.operators.state import (
     INVENTORY_SCHEMA,
@@ -20,6 +20,7 @@ from cotejo.plans.refine import refine, run_refine
 from cotejo.sources import history
 from cotejo.sources.claims import claim_next, create_if_absent, read_file
 from cotejo.sources.config import ConfigRow, load_config
+from cotejo.session import setting
 from cotejo.sources.vault_store import VaultStore
 from replay import Replay
 
@@ -531,3 +532,57 @@ def test_ranges_of_hot_entities_follow_their_records(spark, monkeypatch):
     assert run.changes.filter("estado = 'VIGENTE'").count() == len(KEPT)
     # a range for every three records would be a task each
     assert asked == [8]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_a_first_run_neither_stages_nor_looks_for_missing_entities(spark, tmp_path):
+    store = VaultStore(spark, str(tmp_path / "store"))
+    config = spark.createDataFrame(CONFIG_ROWS, CONFIG_SCHEMA)
+    rows = [(i, f"c{i}", "z", f"n{i}", float(i), "") for i in range(40)]
+    source = spark.createDataFrame(rows, SCHEMA)
+    run_refine(store, source, config, source_table="uno", job_id="j1", at=datetime(2024, 1, 1))
+    assert not (tmp_path / "store" / "staged").exists()
+    assert store.current().count() == 40 * len(KEPT) and store.inventory().count() == 40
+    second = refine(
+        source, CONFIG, store.current(), store.inventory(), source_table="dos", job_id="j2",
+        at=datetime(2024, 1, 2),
+    )
+    assert second.missing.isEmpty() and "LeftOuter" not in _plan(second.changes)
+    assert second.inventory().count() == 40
+    third = refine(
+        source.limit(3), CONFIG, store.current(), store.inventory(), source_table="uno",
+        job_id="j3", at=datetime(2024, 1, 3),
+    )
+    assert third.missing.count() == 37
+
+
+def test_hot_values_are_bounded_by_groups_first(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") % 500).cast("string").alias("k"))
+    monkeypatch.setattr(skew, "written", lambda *_: pytest.fail("all values were counted"))
+    assert skew.hot_values(rows, F.col("k"), 900, within=rows) is None
+    monkeypatch.undo()
+    one = rows.unionByName(spark.range(950).select(F.lit("7").alias("k")))
+    for alike in (None, F.concat(F.lit("x"), "k")):
+        hot = skew.hot_values(one, F.col("k"), 900, within=one, alike=alike)
+        assert [tuple(row) for row in hot.collect()] == [("7", 960)]
+    assert skew.hot_values(one, F.col("k"), 9, within=one).count() == 500
+
+
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path):
+    store = VaultStore(spark, str(tmp_path / "store"), buckets=1)
+    config = spark.createDataFrame(CONFIG_ROWS, CONFIG_SCHEMA)
+    source = spark.range(4000).select(
+        F.col("id").cast("int").alias("seq"), F.concat(F.lit("c"), "id").alias("codigo"),
+        F.lit("z").alias("zona"), F.sha1(F.col("id").cast("string")).alias("nombre"),
+        F.rand(1).alias("precio"), F.lit("").alias("nota"),
+    ).repartition(8)
+    with (
+        setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k"),
+        setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"),
+    ):
+        run_refine(store, source, config, source_table="uno", job_id="j", at=datetime(2024, 1, 1))
+    files = list((tmp_path / "store" / "vault").rglob("*.parquet"))
+    assert len(files) > 1 and store.current().count() == 4000 * len(KEPT)
