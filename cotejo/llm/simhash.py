@@ -8,8 +8,10 @@ way to blank as many bits of a partition as its threshold says; those filed alik
 which verifies the whole fingerprint.
 
 Documents of one fingerprint are folded first. A bucket with more than ``BLOCK`` fingerprints is
-dealt into blocks, and pairs of blocks are compared in tasks of their own. A task gives back only
-the links that join what is not yet connected inside it, so a group of n gives n - 1 links.
+dealt into blocks, and pairs of blocks are compared in tasks of their own. Of the links a fingerprint
+has to smaller ones filed alike, those go that its link to the smallest of them makes superfluous, so
+n fingerprints all near each other give n - 1 links. All of this is SQL; fingerprints are computed by
+row in Python, or by ``text_fingerprints`` in SQL where a job may not run Python.
 
 Defined results: a text with fewer words than a shingle is one shingle; a NULL text or one without
 words has the fingerprint zero, which is linked like any other; NULL ids are never the smallest of
@@ -20,7 +22,7 @@ and the text, and a column that is added replaces one of its name in any case.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 from math import comb
 
@@ -31,7 +33,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cotejo.llm.common import LOWER, UPPER, stored, text_hash, text_of, with_columns
+from cotejo.llm.common import (
+    LOWER,
+    SPACE,
+    SPACE_PATTERN,
+    UPPER,
+    ascii_lower,
+    let,
+    row_key,
+    stored,
+    text_hash,
+    text_of,
+    with_columns,
+)
 from cotejo.llm.components import components
 
 WIDTH = 64
@@ -77,33 +91,60 @@ def fingerprints(docs: DataFrame, size: int = 4, text_col: str = "text") -> Data
     return source.select(*[f"`{f.name}`" for f in rest], "_text").mapInArrow(run, out)
 
 
+def _bit(value: Column, i: int) -> Column:
+    return F.shiftrightunsigned(value, i).bitwiseAND(F.lit(1))
+
+
+def text_fingerprints(docs: DataFrame, size: int = 4, text_col: str = "text") -> DataFrame:
+    """``key`` (see row_key) and ``simhash`` of every different text, without Python.
+
+    Shingles are counted bit by bit under the text's key, so equal texts add up to one row, with the
+    same majorities; what is shuffled are the counts of a text, not its shingles.
+    """
+    text = text_of(text_col)
+    inner = F.btrim(ascii_lower(text), F.lit(SPACE))
+    # exploded, so that later steps do not split the text again
+    split = F.explode(F.array(F.split("inner", SPACE_PATTERN, -1))).alias("words")
+    words = docs.select(row_key(text).alias("key"), inner.alias("inner")).select("key", split)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))
+    shingle = F.concat_ws(" ", *[F.get("words", F.col("at") + i) for i in range(size)])
+    # a text without words gives one empty word
+    value = F.when(F.get("words", F.lit(0)) == "", F.lit(0)).otherwise(F.xxhash64(shingle))
+    hashes = words.select("key", "words", F.explode(starts).alias("at")).select(
+        F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"), value.alias("h")
+    )
+    ones = [F.sum(_bit(F.col("h"), i)).alias(f"b{i}") for i in range(WIDTH)]
+    counted = hashes.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), *ones)
+    # folded over an array: 64 conditions in a row would be more code than the JVM compiles
+    bits = F.transform(
+        F.array(*[f"b{i}" for i in reversed(range(WIDTH))]),
+        lambda b: (2 * b > F.col("n")).cast("long"),
+    )
+    simhash = F.aggregate(
+        bits, F.lit(0).cast("long"), lambda found, b: F.shiftleft(found, 1).bitwiseOR(b)
+    )
+    return counted.select(F.struct("k1", "k2").alias("key"), simhash.alias("simhash"))
+
+
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints, and for every two bits how often both are set; over all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, n = np.zeros((WIDTH, WIDTH), np.int64), 0
-        for batch in batches:
-            data = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for part in np.array_split(data, len(data) // 65536 + 1):
-                bits = np.unpackbits(
-                    part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
-                ).astype(np.float32)
-                both += (bits.T @ bits).astype(np.int64)
-            n += len(data)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(WIDTH + 1), pa.int32()),
-                pa.array([*both.tolist(), [n] * WIDTH], pa.list_(pa.int64())),
-            ],
-            names=["bit", "counts"],
-        )
-
-    parts = prints.select("simhash").mapInArrow(run, "bit int, counts array<bigint>")
-    sums = [F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(WIDTH)]
-    rows = {row["bit"]: row[1:] for row in parts.groupBy("bit").agg(*sums).collect()}  # 65 rows
-    if not rows:
-        return 0, np.zeros((WIDTH, WIDTH))
-    return rows[WIDTH][0], np.array([rows[i] for i in range(WIDTH)], np.float64)
+    half = WIDTH // 2
+    turned = prints.select(
+        "simhash", F.explode(F.sequence(F.lit(0), F.lit(half))).alias("turn")
+    ).select(
+        "turn",
+        F.expr(
+            f"simhash & (shiftrightunsigned(simhash, turn) | shiftleft(simhash, {WIDTH} - turn))"
+        ).alias("both"),
+    )
+    sums = [F.sum(_bit(F.col("both"), i)).alias(f"b{i}") for i in range(WIDTH)]
+    rows = turned.groupBy("turn").agg(F.count(F.lit(1)).alias("n"), *sums).collect()  # 33 rows
+    both = np.zeros((WIDTH, WIDTH))
+    bits = np.arange(WIDTH)
+    for row in rows:
+        other = (bits + row["turn"]) % WIDTH
+        both[bits, other] = both[other, bits] = row[2:]
+    return (rows[0]["n"] if rows else 0), both
 
 
 def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
@@ -183,40 +224,6 @@ def _masks(plan: list[tuple[list[int], int]]) -> list[int]:
     return masks
 
 
-def _forest(codes: np.ndarray, prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links at most ``bits`` apart within runs of equal codes, without those that close a ring."""
-    label = np.arange(len(codes))
-    found: list[tuple[int, int]] = []
-    for lag in range(1, len(codes)):
-        alike = np.flatnonzero(codes[lag:] == codes[:-lag])
-        if not len(alike):
-            break
-        near = np.bitwise_count(prints[alike] ^ prints[alike + lag]) <= bits
-        pairs = alike[near]
-        pairs = pairs[label[pairs] != label[pairs + lag]]
-        if not len(pairs):
-            continue
-        moved: dict[int, int] = {}
-
-        def root(x: int, moved: dict[int, int] = moved) -> int:
-            while x in moved:
-                x = moved[x]
-            return x
-
-        for i in pairs.tolist():
-            a, b = root(label[i]), root(label[i + lag])
-            if a != b:
-                moved[max(a, b)] = min(a, b)
-                found.append((i, i + lag))
-        if moved:
-            old = np.array(list(moved))
-            new = np.array([root(x) for x in moved])
-            table = np.arange(len(codes))
-            table[old] = new
-            label = table[label]
-    return found
-
-
 def links(prints: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
     """Links ``a``, ``b`` that connect distinct fingerprints as all pairs within ``bits`` would."""
     n, both = bit_statistics(prints)
@@ -229,10 +236,10 @@ def links(prints: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
             else F.array().cast("array<bigint>")
         ).alias("way", "value"),
     )
-    large = (
+    shared = (
         filed.groupBy("way", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > block)
+        .where("n > 1")
         .select("way", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
     own = F.pmod(F.xxhash64("simhash"), F.col("blocks")).cast("int")
@@ -240,61 +247,31 @@ def links(prints: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
     def pair(j: Column) -> Column:
         return F.struct(F.least(own, j).alias("p"), F.greatest(own, j).alias("q"))
 
+    at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)
+    keys = ["way", "value", "p", "q"]
     dealt = (
-        filed.join(large, ["way", "value"], "left")
-        .withColumn(
-            "at",
-            F.explode(
-                F.when(
-                    F.col("blocks").isNull(),
-                    F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q"))),
-                ).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
-            ),
-        )
+        filed.join(shared, ["way", "value"])
+        .select("way", "value", "simhash", F.explode(at).alias("at"))
         .select("way", "value", F.col("at.p").alias("p"), F.col("at.q").alias("q"), "simhash")
     )
-    keys = ["way", "value", "p", "q"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def compared(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.any(rows[1:, :4] != rows[:-1, :4], axis=1)
-            codes = np.concatenate([[0], np.cumsum(new)]) if len(rows) else np.zeros(0)
-            prints = np.ascontiguousarray(rows[:, 4])
-            forest = _forest(codes, prints.view(np.uint64), bits)
-            found = np.array(forest, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(prints[found[:, 0]]), pa.array(prints[found[:, 1]])], names=["a", "b"]
-            )
-
-        for batch in batches:
-            rows = np.stack(
-                [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1
-            )
-            if not len(rows):
-                continue
-            changes = np.flatnonzero(np.any(rows[1:, :4] != rows[:-1, :4], axis=1))
-            first_differs = bool(held) and bool(np.any(held[-1][-1, :4] != rows[0, :4]))
-            if first_differs:
-                yield compared(np.concatenate(held))
-                held = []
-            if len(changes):
-                cut = changes[-1] + 1
-                yield compared(np.concatenate([*held, rows[:cut]]))
-                held = [rows[cut:]]
-            else:
-                held.append(rows)
-        if held:
-            yield compared(np.concatenate(held))
-
-    return (
+    alike = (
         dealt.repartition(*keys)
-        .sortWithinPartitions(*keys)
-        .mapInArrow(run, "a bigint, b bigint")
-        .distinct()
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list("simhash")).alias("alike"))
+        .select("alike", F.posexplode("alike").alias("pos", "a"))
     )
 
+    def near(other: Column) -> Callable[[Column], Column]:
+        return lambda x: F.bit_count(x.bitwiseXOR(other)) <= bits
+
+    def needed(found: Column) -> Column:
+        # the link to a third, smaller fingerprint that both are near makes a link superfluous
+        least = F.get(found, F.lit(0))
+        return F.filter(found, lambda x: (x == least) | ~near(least)(x))
+
+    smaller = F.filter(F.slice("alike", F.lit(1), F.col("pos")), near(F.col("a")))
+    return alike.select("a", F.explode(let(smaller, needed)).alias("b")).distinct()
+
 
 def _rooted(nodes: DataFrame, bits: int, block: int) -> DataFrame:
     """The rows of ``nodes``, one per fingerprint, with the ``root`` of their group."""
@@ -336,15 +313,21 @@ def with_group(
     bits: int = 4,
     text_col: str = "text",
 ) -> DataFrame:
-    """Adds the root fingerprint of each row's group, the same for all near copies of a text."""
+    """Adds the root fingerprint of each row's group, the same for all near copies of a text; without
+    Python. Texts move once, to the fingerprints of their keys."""
     rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    marked = stored(fingerprints(docs.select(rows, text_of(text_col).alias("text")), size), "simhash")
+    marked = stored(text_fingerprints(docs, size, text_col), "simhash")
     nodes = stored(marked.select("simhash").distinct(), "simhash-nodes")
     roots = components(links(nodes, bits)).where("node <> root")
-    joined = marked.join(stored(roots, "roots"), marked["simhash"] == F.col("node"), "left")
-    group = F.coalesce("root", "simhash").alias(group_col)
+    grouped = marked.join(stored(roots, "roots"), marked["simhash"] == F.col("node"), "left").select(
+        "key", F.coalesce("root", "simhash").alias("group")
+    )
+    keyed = docs.select(rows, row_key(text_of(text_col)).alias("key"))
+    joined = keyed.join(stored(grouped, "groups"), "key")
     rest = [c for c in docs.columns if c.lower() != group_col.lower()]
-    return joined.select(*[F.col("row").getField(c).alias(c) for c in rest], group)
+    return joined.select(
+        *[F.col("row").getField(c).alias(c) for c in rest], F.col("group").alias(group_col)
+    )
 
 
 def near_dedup(

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from test_simhash import least_reachable, plain_fingerprint
 from test_text_rules import LOWER, plain_hits
@@ -120,6 +121,20 @@ def test_stages_take_odd_rows(spark, make):
                 docs = spark.createDataFrame(found, docs.schema)
 
 
+@pytest.mark.parametrize("name", ["quality_rules", "line_dedup", "decontamination"])
+def test_stages_of_sql_only_run_no_python(spark, monkeypatch, name):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for method in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), method, refused)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() and not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert rows and all(r["round_trip"] for r in rows)

@@ -10,6 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cotejo.llm.common import row_key, text_of
 from cotejo.llm.components import components
 from cotejo.llm.simhash import (
     allocate,
@@ -19,6 +20,7 @@ from cotejo.llm.simhash import (
     links,
     near_dedup,
     simhash_groups,
+    text_fingerprints,
     with_group,
 )
 
@@ -40,6 +42,21 @@ def test_fingerprint_equals_plain_one(text):
     assert fingerprint(text, 4) % (1 << 64) == plain_fingerprint(text)
 
 
+def test_fingerprints_in_sql_equal_plain_ones(make, sample_docs):
+    texts = [None, "", " \t\n", "A", "b C", "a\x0bB\x0cc\r\nD", "É é\x1c\x85 x\u00a0y ÄÖ z w", "a b c d " * 9000]
+    texts += [r["text"] for r in sample_docs.collect()]
+    rows = [(i % 7, t) for i, t in enumerate(texts + texts[:20])]
+    docs = make(rows)
+    keys = docs.select("text", row_key(text_of("text")).alias("key"))
+    got = keys.join(text_fingerprints(docs, 4), "key").select("text", "simhash").collect()
+    assert len(got) == len(rows)
+    assert all(r["simhash"] % (1 << 64) == plain_fingerprint(r["text"]) for r in got)
+    pairs = [(f"{x} {y}",) for x in "aB" for y in "Cd"]
+    found = text_fingerprints(make(pairs, "t string"), 2, "t").collect()
+    assert {r["simhash"] % (1 << 64) for r in found} == {plain_fingerprint(t, 2) for (t,) in pairs}
+    assert text_fingerprints(make([])).count() == 0
+
+
 def least_reachable(near, names):
     """The smallest name in each component of a matrix of links."""
     label, before = list(range(len(names))), None
